@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,3 +38,45 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(keys: np.ndarray, columns: dict[str, np.ndarray], extra: dict | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, column blobs): the entries of ``columns`` dealt out by ``keys``, packed as bytes.
+
+    One row holds all entries of one bucket, so a shuffle moves few rows of many entries.
+    """
+    if not len(keys):
+        return
+    order = np.argsort(keys, kind="stable")
+    cuts = np.flatnonzero(np.diff(keys[order])) + 1
+    first = np.concatenate(([0], cuts))
+    arrays = [pa.array(keys[order][first].astype(np.int64))]
+    for c in columns.values():
+        arrays.append(pa.array([x.tobytes() for x in np.split(c[order], cuts)], pa.binary()))
+    arrays += [pa.array([v] * len(first), pa.int64()) for v in (extra or {}).values()]
+    yield pa.RecordBatch.from_arrays(arrays, ["bucket", *columns, *(extra or {})])
+
+
+def by_bucket(df: DataFrame, work: Callable[[int, dict[str, list]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Calls ``work(bucket, columns)`` once for each bucket of ``df`` (bucket, blobs...).
+
+    Rows are dealt by bucket and sorted, so a task holds one bucket at a time.
+    """
+    names = [c for c in df.columns if c != "bucket"]
+
+    def run(batches):
+        now, held = None, {n: [] for n in names}
+        for batch in batches:
+            columns = {n: batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names}
+            for i, bucket in enumerate(batch.column(batch.schema.get_field_index("bucket")).to_pylist()):
+                if bucket != now:
+                    if now is not None:
+                        yield from work(now, held)
+                    now, held = bucket, {n: [] for n in names}
+                for n in names:
+                    held[n].append(columns[n][i])
+        if now is not None:
+            yield from work(now, held)
+
+    n = shuffle_partitions(df.sparkSession)
+    return df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
