@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, quality_cnn, quality_rules, simhash, url_filter, warc
+from . import chat, quality_cnn, quality_rules, simhash, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_simhash": simhash.op7_simhash,
     "op8_warc": warc.op8_warc,
     "op9_chat_format": chat.op9_chat_format,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 SQL = {"op5_url_filter": url_filter.SQL, "op8_warc": warc.SQL, "op9_chat_format": chat.SQL}
