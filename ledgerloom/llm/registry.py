@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, quality_cnn, quality_rules, simhash, substring_dedup, url_filter, warc
+from . import chat, packing, quality_cnn, quality_rules, simhash, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_quality_classifier": quality_cnn.op4_quality_classifier,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_packing": packing.op6_packing,
     "op7_simhash": simhash.op7_simhash,
     "op8_warc": warc.op8_warc,
     "op9_chat_format": chat.op9_chat_format,
