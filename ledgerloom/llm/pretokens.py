@@ -105,6 +105,42 @@ def hashes(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return k.mix((total[end] - total[start]) * _POWERS[1][start])
 
 
+class Memory:
+    """Ids of parts by the parts' 64-bit keys; bounded, as it starts anew beyond ``limit`` keys."""
+
+    def __init__(self, limit: int = MEMORY):
+        self.limit = limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)  # sorted
+        self.slots = np.zeros(0, np.int64)
+        self.begin, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def find(self, h: np.ndarray, learn) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the parts with keys ``h`` one after the other, and the n + 1 places of the parts.
+
+        ``learn(firsts)`` gives ids and sizes of the parts at these places of ``h``.
+        """
+        keys, first, back = np.unique(h, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        new = np.ones(len(keys), bool) if not len(self.keys) else self.keys[at] != keys
+        if new.any():
+            if len(self.keys) + new.sum() > self.limit:
+                self._forget()
+                new[:] = True
+            ids, size = learn(first[new])
+            slots = len(self.begin) - 1 + np.arange(len(size))
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
+            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+            at = np.searchsorted(self.keys, keys[new])
+            self.keys, self.slots = np.insert(self.keys, at, keys[new]), np.insert(self.slots, at, slots)
+        slot = self.slots[np.searchsorted(self.keys, keys)][back] if len(keys) else np.zeros(0, np.int64)
+        size = self.begin[slot + 1] - self.begin[slot]
+        to = np.concatenate(([0], np.cumsum(size)))
+        return self.ids[np.arange(to[-1]) + np.repeat(self.begin[slot] - to[:-1], size)], to
+
+
 class Encoder:
     """Ids of texts by the tokenizer file at ``path``; one for each worker."""
 
@@ -117,21 +153,7 @@ class Encoder:
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in s): i for s, i in self.tokenizer.get_vocab(False).items() if s != SPECIAL}
         self.one = tiktoken.Encoding("pretokens", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-        self._forget()
-
-    def _forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # sorted hashes
-        self.slots = np.zeros(0, np.int64)
-        self.begin, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
-
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        lists = [self.one._encode_single_piece(p) for p in pieces]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        slots = len(self.begin) - 1 + np.arange(len(keys))
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))])
-        at = np.searchsorted(self.keys, keys)  # both are sorted
-        self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots)
+        self.memory = Memory()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the n + 1 places of the texts among them."""
@@ -143,19 +165,13 @@ class Encoder:
         start = splits(cp, off)
         end = np.append(start[1:], len(cp))
         h = hashes(cp, start, end) if len(start) else np.zeros(0, np.uint64)
-        keys, first, back = np.unique(h, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        new = np.ones(len(keys), bool) if not len(self.keys) else self.keys[at] != keys
-        if new.any():
-            if len(self.keys) + new.sum() > MEMORY:
-                self._forget()
-                new[:] = True
-            f = first[new]
-            self._learn(keys[new], [whole[a:b] for a, b in zip(start[f].tolist(), end[f].tolist())])
-        slot = self.slots[np.searchsorted(self.keys, keys)][back] if len(keys) else np.zeros(0, np.int64)
-        size = self.begin[slot + 1] - self.begin[slot]
-        to = np.concatenate(([0], np.cumsum(size)))
-        ids = self.ids[np.arange(to[-1]) + np.repeat(self.begin[slot] - to[:-1], size)]
+
+        def learn(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            lists = [self.one._encode_single_piece(whole[a:b]) for a, b in zip(start[at].tolist(), end[at].tolist())]
+            size = np.fromiter(map(len, lists), np.int64, len(lists))
+            return np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum())), size
+
+        ids, to = self.memory.find(h, learn)
         place = to[np.searchsorted(start, off)]
         if special:
             parts = np.split(ids, place[1:-1])

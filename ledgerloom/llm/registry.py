@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, packing, quality_cnn, quality_rules, simhash, substring_dedup, url_filter, warc
+from . import chat, fingerprint, packing, pieces, quality_cnn, quality_rules, simhash, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
+    "op2_sentencepiece_dropout": pieces.op2_sentencepiece_dropout,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_quality_classifier": quality_cnn.op4_quality_classifier,
     "op5_url_filter": url_filter.op5_url_filter,
