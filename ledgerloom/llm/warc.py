@@ -1,6 +1,6 @@
 """Operator 8: WARC archives, written by Spark's text writer and read back by boundary chains.
 
-Writing: one record per page, one archive file per write task and ``records_per_file`` pages. Of
+Writing: one record per page, one gzip archive per write task and ``records_per_file`` pages. Of
 pages with equal payloads of at least ``min_revisit`` bytes those with the smallest page_id become
 ``response`` records and the others ``revisit`` records without payload, which name the response
 and carry length and digest of the full payload.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,7 +75,7 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
 
 def write_warc(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, records_per_file: int = RECORDS_PER_FILE) -> None:
     """Writes archives below ``path``; each record ends with two line ends."""
-    records(pages, min_revisit).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records_per_file).text(path)
+    records(pages, min_revisit).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 _CANDIDATES = pa.schema(
@@ -138,7 +139,8 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     def scan(batches):
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = list(_candidates(name, data.as_py(), payloads))
+                # offsets are those of the archive's own bytes, before compression
+                rows = list(_candidates(name, zlib.decompress(data.as_py(), 31), payloads))
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=_CANDIDATES)
 
