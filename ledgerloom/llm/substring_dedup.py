@@ -15,10 +15,13 @@ with a smaller doc_id; every word that a repeat covers is removed.
    which are its path from the root, and the least doc_id of its chunk: equal suffixes of a chunk are
    one entry before the shuffle, so a passage that a third of all documents share sends one entry a chunk.
 4. A subtree's suffixes are sorted by their paths; runs of equal paths are the internal nodes of depth
-   ``min_words``, the deep nodes. A deep node with several chunks tells each of them its least doc_id.
+   ``min_words``, the deep nodes. A deep node tells each of its chunks but the one with its least
+   doc_id that the window is a repeat there, in whatever document of that chunk it stands.
    Deep nodes that follow each other in a document join to its maximal repeats.
 5. Each chunk adds the deep nodes within itself, marks its windows, and cuts.
 
+Both joins with the chunks read one shuffle of them, by the chunk's number.
+
 Hashes are of 64 bits, those of step 2 of 40 bits (they only choose candidates).
 
 Defined cases: a null text has no words; documents shorter than a window keep all words; rows with the
@@ -101,7 +104,7 @@ def pack(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, other.schema) as out:
                     out.write_batch(other.slice(i, j - i))
-                press = zstandard.ZstdCompressor(3)
+                press = zstandard.ZstdCompressor(9)
                 row = [number, ids[i:j].tobytes(), o.tobytes(), press.compress(b.tobytes()), press.compress(sink.getvalue().to_pybytes()), bins.tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], _CHUNK.replace(" bigint", "").replace(" binary", "").split(", "))
                 number += 1
@@ -165,12 +168,14 @@ def _known(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[at] == x
 
 
-def _least_docs(base: DataFrame, seeds: DataFrame, min_words: int, splits: np.ndarray) -> DataFrame:
-    """(chunk, h, d): least doc_ids that other chunks have for windows of a chunk (steps 3 and 4)."""
+def _told(base: DataFrame, seeds: DataFrame, min_words: int, splits: np.ndarray) -> DataFrame:
+    """(chunk, told): windows of a chunk that other chunks have with a smaller doc_id (steps 3 and 4)."""
 
     def send(batches):
         for batch in batches:
-            for chunk, ids, offsets, body, seeds in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for chunk, ids, offsets, body, seeds in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5))):
+                if not seeds:
+                    continue
                 w = _Words(*_unpack(ids, offsets, body), min_words)
                 five = np.frombuffer(b"".join(seeds), np.uint8).reshape(-1, 5)
                 known = np.zeros((len(five), 8), np.uint8)
@@ -180,17 +185,18 @@ def _least_docs(base: DataFrame, seeds: DataFrame, min_words: int, splits: np.nd
                 # one entry for equal suffixes, with their least document
                 order = np.lexsort((doc, full))
                 order = order[np.concatenate(([True], np.diff(full[order]) != 0))] if len(order) else order
+                order = np.sort(order)  # by document again: runs of one doc_id compress well
                 which, full, doc = which[order], full[order], doc[order]
                 short, long = w.short[which], k.window_hashes(w.h, min(LONG, min_words))[w.at[which]]
                 group, parts = splits[(short >> U(54)).astype(np.int64)].T
                 bucket = (group << 31) + (long >> U(20)).astype(np.int64) % parts
-                # the path: 32 bits for each of the two upper nodes, 64 for the deep one
-                path = (short & U(0xFFFFFFFF)) << U(32) | long >> U(32)
+                # the path: 16 bits for each of the two upper nodes, 64 for the deep one
+                path = ((short & U(0xFFFF)) << U(16) | long & U(0xFFFF)).astype(np.uint32)
                 yield from dealt(bucket, {"path": path, "h": full, "d": doc}, {"chunk": chunk})
 
     def subtree(bucket, held):
         size = [len(x) // 8 for x in held["h"]]
-        path, h, d = (np.frombuffer(b"".join(held[c]), t) for c, t in (("path", np.uint64), ("h", np.uint64), ("d", np.int64)))
+        path, h, d = (np.frombuffer(b"".join(held[c]), t) for c, t in (("path", np.uint32), ("h", np.uint64), ("d", np.int64)))
         chunk = np.repeat(np.array(held["chunk"], np.int64), size)
         order = np.lexsort((d, h, path))  # suffixes in the order of their paths
         path, h, d, chunk = path[order], h[order], d[order], chunk[order]
@@ -199,25 +205,19 @@ def _least_docs(base: DataFrame, seeds: DataFrame, min_words: int, splits: np.nd
         first = np.concatenate(([0], np.flatnonzero(~deep) + 1))
         least = d[first][node]
         tell = d > least
-        yield from dealt(chunk[tell], {"h": h[tell], "d": least[tell]})
+        yield from dealt(chunk[tell], {"h": h[tell]})
 
-    ready = base.join(seeds, "chunk").select("chunk", "ids", "offsets", "body", "seeds")
+    # the same columns and kind of join as the last join, so that both read one shuffle of the chunks
+    ready = base.join(seeds, "chunk", "left").select(*base.columns, "seeds")
     sent = ready.mapInArrow(send, "bucket bigint, path binary, h binary, d binary, chunk bigint")
-    back = by_bucket(sent, subtree, "bucket bigint, h binary, d binary")
-    return back.groupBy(F.col("bucket").alias("chunk")).agg(F.collect_list(F.struct("h", "d")).alias("told"))
+    back = by_bucket(sent, subtree, "bucket bigint, h binary")
+    return back.groupBy(F.col("bucket").alias("chunk")).agg(F.collect_list("h").alias("told"))
 
 
-def _repeats(w: _Words, hs: list[bytes], ds: list[bytes]) -> np.ndarray:
+def _repeats(w: _Words, told: list[bytes]) -> np.ndarray:
     """Which windows of a chunk are repeats."""
     least = w.doc.copy()
-    if hs:
-        h, d = np.frombuffer(b"".join(hs), np.uint64), np.frombuffer(b"".join(ds), np.int64)
-        order = np.argsort(h, kind="stable")
-        h, d = h[order], d[order]
-        full = k.window_hashes(w.h, w.n)[w.at]
-        at = np.minimum(np.searchsorted(h, full), len(h) - 1)
-        hit = h[at] == full
-        least[hit] = np.minimum(least[hit], d[at[hit]])
+    elsewhere = _known(np.sort(np.frombuffer(b"".join(told), np.uint64)), k.window_hashes(w.h, w.n)[w.at]) if told else np.zeros(len(w.at), bool)
     # within the chunk: only windows whose least hash two of its documents have
     change = np.concatenate(([True], (w.least[1:] != w.least[:-1]) | (w.doc[1:] != w.doc[:-1]))) if len(w.least) else np.zeros(0, bool)
     seed, doc = w.least[change], w.doc[change]
@@ -232,7 +232,7 @@ def _repeats(w: _Words, hs: list[bytes], ds: list[bytes]) -> np.ndarray:
         first = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
         which = which[order]
         least[which] = np.minimum(least[which], first)
-    return least < w.doc
+    return elsewhere | (least < w.doc)
 
 
 def _joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,19 +253,18 @@ def _cut(docs: DataFrame, min_words: int, subtree: int, finish, schema) -> DataF
     parts = max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     base = chunks.select("chunk", "ids", "offsets", "body", "rest").repartition(parts, "chunk")
     seeds = _shared_seeds(chunks, min_words, -(-n // CHUNKS_PER_GROUP) or 1)
-    told = stored(_least_docs(base, seeds, min_words, _splits(chunks, subtree)), "repeats")
+    told = _told(base, seeds, min_words, _splits(chunks, subtree))
 
     def run(batches):
         for batch in batches:
-            for ids, offsets, body, rest, told in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for ids, offsets, body, rest, told in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
                 buf, off, ids = _unpack(ids, offsets, body)
                 w = _Words(buf, off, ids, min_words)
-                repeats = _repeats(w, [t["h"] for t in told or []], [t["d"] for t in told or []])
+                repeats = _repeats(w, told or [])
                 gone = k.covered(w.at[repeats], min_words, len(w.h)) if repeats.any() else np.zeros(len(w.h), bool)
                 yield finish(w, off, gone, ids, rest)
 
-    # few large rows: the smaller side is what was told
-    return chunks.join(told, "chunk", "left").select("ids", "offsets", "body", "rest", "told").mapInArrow(run, schema)
+    return base.join(told, "chunk", "left").select(*base.columns, "told").mapInArrow(run, schema)
 
 
 def _digest(w: _Words, off, gone, ids, rest) -> pa.RecordBatch:

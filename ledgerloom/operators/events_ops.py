@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BY = Window.partitionBy("user_id").orderBy("day")
+
+def _by():
+    return Window.partitionBy("user_id").orderBy("day")
 
 
 def days_of(events: DataFrame) -> DataFrame:
@@ -24,13 +26,13 @@ def trailing_sessions(events: DataFrame, days: int = 7, least: int = 3) -> DataF
 
 def returns(events: DataFrame, gap: int) -> DataFrame:
     """Days after a gap of at least ``gap`` days."""
-    d = days_of(events).withColumn("before", F.lag("day").over(_BY))
+    d = days_of(events).withColumn("before", F.lag("day").over(_by()))
     return d.withColumn("gap", F.datediff("day", "before")).filter(F.col("gap") >= gap).select("user_id", "day", "gap")
 
 
 def islands(days: DataFrame) -> DataFrame:
     """Runs of consecutive days: user_id, first, last, length."""
-    run = F.date_sub("day", F.row_number().over(_BY))
+    run = F.date_sub("day", F.row_number().over(_by()))
     return days.withColumn("run", run).groupBy("user_id", "run").agg(F.min("day").alias("first"), F.max("day").alias("last"), F.count("*").alias("length")).drop("run")
 
 
@@ -44,7 +46,7 @@ def clear_spans(events: DataFrame, trigger: Column, days: int) -> DataFrame:
     """Users' first span of ``days`` without a trigger, between triggers or before the first."""
     all_days = events.groupBy("user_id").agg(F.min(F.to_date("ts")).alias("since"))
     t = events.filter(trigger).select("user_id", F.to_date("ts").alias("day")).distinct()
-    t = t.withColumn("before", F.lag("day").over(_BY)).join(all_days, "user_id")
+    t = t.withColumn("before", F.lag("day").over(_by())).join(all_days, "user_id")
     return t.withColumn("span", F.datediff("day", F.coalesce("before", "since"))).filter(F.col("span") >= days).groupBy("user_id").agg(F.min("day").alias("day"))
 
 

@@ -1 +1,154 @@
-"""Registered queries."""
+"""Interval joins, decisions, anti and outer joins, and graph queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import graph as G
+from ledgerloom.operators import linking as K
+
+from .catalogue import query
+from .ledger import SQL, ledger, table
+
+DOCS = """docs AS (SELECT CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS doc, l_suppkey, CAST(l_shipdate AS DATE) AS doc_date, CAST(l_extendedprice AS DECIMAL(18,2)) AS total FROM lineitem WHERE l_quantity >= 49)"""
+TXS = """txs AS (SELECT o_orderkey AS tx, o_custkey, CAST(o_orderdate AS DATE) AS tx_date, CAST(o_totalprice AS DECIMAL(18,2)) AS value FROM orders)"""
+PAIRS = """pairs AS (SELECT doc, tx, CAST(abs(tx_date - doc_date) AS INTEGER) AS delta, abs(CAST(value AS DOUBLE) - CAST(total AS DOUBLE)) AS diff, total, l_suppkey, o_custkey FROM docs JOIN txs
+  ON abs(tx_date - doc_date) <= 7 AND abs(CAST(value AS DOUBLE) - CAST(total AS DOUBLE)) <= greatest(CAST(total AS DOUBLE) * 0.02, 0.01))"""
+SCORE = """scored AS (SELECT doc, tx, round(greatest(0.0, least(1.0, 1 - delta * 0.05 - 0.5 * least(diff / greatest(CAST(total AS DOUBLE), 1.0), 1.0)
+  + CASE WHEN l_suppkey % 7 = o_custkey % 7 THEN 0.3 ELSE 0.0 END + CASE WHEN l_suppkey % 7 = o_custkey % 7 AND delta = 0 THEN 0.1 ELSE 0.0 END)), 4) AS score FROM pairs)"""
+
+
+def documents(spark, d):
+    li = table(spark, d, "lineitem").filter("l_quantity >= 49")
+    return li.select(
+        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("doc"), "l_suppkey",
+        F.to_date("l_shipdate").alias("doc_date"), F.col("l_extendedprice").cast("decimal(18,2)").alias("total"),
+    )
+
+
+def transactions(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("tx"), "o_custkey", F.to_date("o_orderdate").alias("tx_date"), F.col("o_totalprice").cast("decimal(18,2)").alias("value"))
+
+
+def _scored(spark, d):
+    same = F.col("l_suppkey") % 7 == F.col("o_custkey") % 7
+    return K.candidates(documents(spark, d), transactions(spark, d), 7, 0.02).withColumn("score", K.score(0.05, same))
+
+
+@query(f"WITH {DOCS}, {TXS}, {PAIRS} SELECT doc, tx, delta, round(diff, 4) AS diff FROM pairs")
+def link_candidates(spark, d):
+    return K.candidates(documents(spark, d), transactions(spark, d), 7, 0.02).select("doc", "tx", "delta", F.round("diff", 4).alias("diff"))
+
+
+@query(f"""WITH {DOCS}, {TXS}, {PAIRS}, {SCORE}, r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, tx) AS rn, count(*) OVER (PARTITION BY doc) AS candidates FROM scored)
+ SELECT a.doc, a.candidates, a.tx, a.score, b.score AS "next", CASE WHEN round(a.score - b.score, 6) < 0.02 THEN 'conflict' WHEN a.score < 0.7 THEN 'low' ELSE 'link' END AS verdict
+ FROM r a LEFT JOIN r b ON a.doc = b.doc AND b.rn = 2 WHERE a.rn = 1""")
+def link_decision(spark, d):
+    return K.decide(_scored(spark, d), 0.02, 0.7)
+
+
+@query(f"""WITH {SQL}, {DOCS.replace('49', '50')}, p AS (SELECT identificador AS tx, data AS tx_date, CAST(round(valor / 100) * 100 AS DECIMAL(18,2)) AS value FROM ledger WHERE tipo = 'Imposto'),
+ h AS (SELECT tx, min(l_suppkey % 3) AS a, max(l_suppkey % 3) AS b FROM p JOIN docs ON abs(tx_date - doc_date) <= 30 AND abs(value - CAST(round(total / 100) * 100 AS DECIMAL(18,2))) <= 0.05 GROUP BY 1) SELECT tx, a AS debtor FROM h WHERE a = b""")
+def crossed_payments(spark, d):
+    cent = lambda c: (F.round(F.col(c) / 100) * 100).cast("decimal(18,2)")
+    p = ledger(spark, d).filter(F.col("tipo") == "Imposto").select(F.col("identificador").alias("tx"), F.col("data").alias("tx_date"), cent("valor").alias("value"))
+    docs = documents(spark, d).filter("total is not null").join(table(spark, d, "lineitem").filter("l_quantity >= 50").select(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("doc")).distinct(), "doc", "left_semi")
+    return K.agreed_debtor(p, docs.select((F.col("l_suppkey") % 3).alias("person"), "doc_date", cent("total").alias("total")), 30, 0.05)
+
+
+@query("""WITH t AS (SELECT p_brand, p_size, p_name, min(p_partkey) AS id FROM part GROUP BY 1, 2, 3)
+ SELECT a.id AS first, b.id AS second, CAST(levenshtein(a.p_name, b.p_name) AS INTEGER) AS distance FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.id < b.id WHERE levenshtein(a.p_name, b.p_name) <= 4""")
+def invoice_twins(spark, d):
+    return K.invoice_twins(table(spark, d, "part").select("p_brand", "p_size", "p_name", F.col("p_partkey").alias("id")), ["p_brand", "p_size"], "p_name", "id")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def orphans_anti(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("""SELECT coalesce(a.k, b.k) AS k, a.n AS provas, b.n AS nos, CASE WHEN a.k IS NULL THEN 'so_no' WHEN b.k IS NULL THEN 'so_prova' ELSE 'ambos' END AS estado
+ FROM (SELECT substring(sha256(c_name), 1, 2) AS k, count(*) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT substring(sha256(s_name), 1, 2) AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k""")
+def cross_audit_full_outer(spark, d):
+    side = lambda t, c, n: table(spark, d, t).groupBy(F.substring(F.sha2(c, 256), 1, 2).alias("k")).agg(F.count("*").alias(n))
+    out = side("customer", "c_name", "provas").join(side("supplier", "s_name", "nos"), "k", "full")
+    return out.withColumn("estado", F.when(F.col("provas").isNull(), "so_no").when(F.col("nos").isNull(), "so_prova").otherwise("ambos"))
+
+
+@query(f"""WITH {DOCS}, {TXS}, {PAIRS}, g AS (SELECT doc, w, p FROM (VALUES (1), (3), (7)) a(w), (VALUES (0.005), (0.01), (0.02)) b(p), pairs WHERE delta <= w AND diff <= greatest(CAST(total AS DOUBLE) * p, 0.01))
+ SELECT doc, min(w) AS w, CAST(arg_min(p, (w, p)) AS DOUBLE) AS p FROM g GROUP BY 1""")
+def grid_min_window(spark, d):
+    pairs = K.candidates(documents(spark, d), transactions(spark, d), 7, 0.02)
+    w = F.explode(F.filter(F.array(*map(F.lit, (1, 3, 7))), lambda x: x >= F.col("delta")))
+    total = F.col("total").cast("double")
+    p = F.filter(F.array(*map(F.lit, (0.005, 0.01, 0.02))), lambda x: F.col("diff") <= F.greatest(total * x, F.lit(0.01)))
+    out = pairs.withColumn("w", w).withColumn("p", F.get(p, F.lit(0))).filter("p is not null")
+    return out.groupBy("doc").agg(F.min(F.struct("w", "p")).alias("m")).select("doc", "m.w", "m.p")
+
+
+EDGES = """edges AS (SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst, 'contraparte' AS kind FROM orders UNION ALL SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey, 'contem' FROM lineitem
+  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'de' FROM customer),
+ deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1)"""
+
+
+def edges(spark, d):
+    ident = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    e = lambda t, a, b, kind: table(spark, d, t).select(ident(*a).alias("src"), ident(*b).alias("dst"), F.lit(kind).alias("kind"))
+    return (
+        e("orders", ("o", "o_orderkey"), ("c", "o_custkey"), "contraparte")
+        .unionByName(e("lineitem", ("o", "l_orderkey"), ("p", "l_partkey"), "contem").distinct())
+        .unionByName(e("customer", ("c", "c_custkey"), ("n", "c_nationkey"), "de"))
+    )
+
+
+@query(f"WITH {EDGES} SELECT kind, count(*) AS n, count(DISTINCT src) AS sources FROM edges GROUP BY 1")
+def graph_stats(spark, d):
+    return edges(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"))
+
+
+@query(f"WITH {EDGES} SELECT id, degree FROM deg ORDER BY degree DESC, id LIMIT 25")
+def degree_top(spark, d):
+    return G.most_linked(edges(spark, d), 25)
+
+
+@query(f"""WITH RECURSIVE {EDGES}, b AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges),
+ k AS (SELECT 'c1' AS id, 0 AS distance UNION SELECT y, distance + 1 FROM k JOIN b ON x = id WHERE distance < 2) SELECT id, min(distance) AS distance FROM k GROUP BY 1""")
+def khop_subgraph(spark, d):
+    return G.khop(edges(spark, d), ["c1"], 2)
+
+
+@query("SELECT DISTINCT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey <= 20")
+def two_hop_items(spark, d):
+    e = edges(spark, d)
+    back = e.filter("kind = 'contraparte'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("compra").alias("kind")).filter(F.substring("src", 2, 20).cast("int") <= 20)
+    return G.two_hops(back.unionByName(e.filter("kind = 'contem'")), "compra", "contem")
+
+
+@query(f"WITH {EDGES} SELECT dst, count(*) AS n FROM edges WHERE kind = 'contem' GROUP BY 1 HAVING count(*) >= 30")
+def recurrent_suppliers(spark, d):
+    return G.incoming(edges(spark, d), "contem", 30)
+
+
+@query(f"WITH {EDGES} SELECT 's' || s_suppkey AS id FROM supplier WHERE 's' || s_suppkey NOT IN (SELECT id FROM deg) UNION ALL SELECT 'c' || c_custkey FROM customer WHERE 'c' || c_custkey NOT IN (SELECT id FROM deg)")
+def graph_orphans(spark, d):
+    nodes = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id")).unionByName(table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("id")))
+    return G.orphans(nodes, edges(spark, d))
+
+
+@query("""SELECT 'marca' AS kind, coalesce(a.p_brand, b.p_brand) AS name, coalesce(b.n, a.n) AS meta FROM (SELECT p_brand, CAST(count(*) AS VARCHAR) AS n FROM part WHERE p_size <= 25 GROUP BY 1) a
+ FULL JOIN (SELECT p_brand, CAST(count(*) AS VARCHAR) AS n FROM part WHERE p_size > 20 GROUP BY 1) b ON a.p_brand = b.p_brand""")
+def node_upsert_merge(spark, d):
+    side = lambda c: table(spark, d, "part").filter(c).groupBy(F.col("p_brand").alias("name")).agg(F.collect_set("p_type").alias("aliases"), F.count("*").cast("string").alias("meta")).withColumn("kind", F.lit("marca"))
+    return G.merge_nodes(side("p_size <= 25"), side("p_size > 20")).select("kind", "name", "meta")
+
+
+@query("""SELECT kind, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey, 'fornece' AS kind FROM lineitem) GROUP BY 1""")
+def edge_insert_ignore(spark, d):
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("fornece").alias("kind"), "l_linenumber")
+    old = e.filter("l_linenumber = 1").drop("l_linenumber").distinct()
+    return G.insert_edges(old, e.drop("l_linenumber")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT l_suppkey, count(DISTINCT l_orderkey) AS docs, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS spend FROM lineitem GROUP BY 1""")
+def supplier_rollup(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.countDistinct("l_orderkey").alias("docs"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(28,2)").alias("spend"))

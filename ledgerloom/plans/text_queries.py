@@ -1 +1,113 @@
-"""Registered queries."""
+"""Text operators over documents, parts and pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import expressions as X
+from ledgerloom.operators import text_ops as T
+from ledgerloom.operators.rules import first_match
+
+from .catalogue import query
+from .ledger import table
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\b[0-9]{2}\.?[0-9]{3}\.?[0-9]{3}/?[0-9]{4}-?[0-9]{2}\b', '**.***.***/****-**', 'g'),
+ '\b[0-9]{3}\.?[0-9]{3}\.?[0-9]{3}-?[0-9]{2}\b', '***.***.***-**', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '***@***', 'g') AS masked FROM documents""")
+def pii_mask(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.mask_pii(F.col("text")).alias("masked"))
+
+
+@query("""SELECT doc_id, (a < 40) OR (n > 100 AND n - a > n * 0.5) AS illegible FROM (SELECT doc_id, length(text) AS n, length(regexp_replace(text, '[^A-Za-z0-9À-ÿ]', '', 'g')) AS a FROM documents)""")
+def legibility(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.illegible(F.col("text")).alias("illegible"))
+
+
+@query("""WITH g AS (SELECT text, min(doc_id) AS keep, count(*) AS n FROM documents GROUP BY 1) SELECT keep AS doc_id, n FROM g""")
+def exact_text_dedup(spark, d):
+    return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).drop("h")
+
+
+@query("""SELECT doc_id, CASE WHEN text LIKE '%@%' THEN 'contato' WHEN length(text) < 300 THEN 'curto' WHEN lang = 'en' AND contains(text, 'the') THEN 'ingles' ELSE 'outro' END AS tipo FROM documents""")
+def doc_classify(spark, d):
+    rules = [(F.col("text").contains("@"), "contato"), (F.length("text") < 300, "curto"), ((F.col("lang") == "en") & F.col("text").contains("the"), "ingles")]
+    return table(spark, d, "documents").select("doc_id", first_match(rules, "outro").alias("tipo"))
+
+
+@query(r"""WITH t AS (SELECT DISTINCT p_partkey, unnest(regexp_extract_all(lower(p_name), '[a-zA-ZÀ-ÿ0-9]{2,}')) AS token FROM part)
+ SELECT token, count(*) AS df, round(ln(CAST((SELECT count(*) FROM part) AS DOUBLE) / (1 + count(*))) + 1, 9) AS idf FROM t GROUP BY 1""")
+def tfidf_idf(spark, d):
+    part = table(spark, d, "part")
+    return T.idf(T.term_counts(part, "p_partkey", "p_name"), part.count()).withColumn("idf", F.round("idf", 9))
+
+
+@query()
+def tfidf_knn_vote(spark, d):
+    part = table(spark, d, "part")
+    corpus = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), F.col("p_brand").alias("label"))
+    queries = part.groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("q"))
+    return T.knn_vote(queries, corpus, 5)
+
+
+@query(r"""WITH t AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS token FROM part) SELECT token, count(*) AS n FROM t WHERE length(token) >= 4 GROUP BY 1 HAVING count(*) >= 5""")
+def shared_token_groups(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("token"))
+    return p.filter(F.length("token") >= 4).groupBy("token").agg(F.count("*").alias("n")).filter("n >= 5")
+
+
+@query("""(SELECT 'part' AS kind, CAST(p_partkey AS BIGINT) AS id, p_name AS name FROM part WHERE lower(p_name) LIKE '%re%' ORDER BY p_partkey LIMIT 50)
+ UNION ALL (SELECT 'supplier', s_suppkey, s_name FROM supplier WHERE lower(s_name) LIKE '%re%' ORDER BY s_suppkey LIMIT 50)
+ UNION ALL (SELECT 'nation', n_nationkey, n_name FROM nation WHERE lower(n_name) LIKE '%re%' ORDER BY n_nationkey LIMIT 50)""")
+def global_search(spark, d):
+    out = None
+    for kind, key, name in (("part", "p_partkey", "p_name"), ("supplier", "s_suppkey", "s_name"), ("nation", "n_nationkey", "n_name")):
+        rows = table(spark, d, kind).filter(F.lower(name).contains("re")).orderBy(key).limit(50).select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id"), F.col(name).alias("name"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""WITH u AS (SELECT n_name AS name, 1 AS prio FROM nation UNION ALL SELECT p_name, 2 FROM part), f AS (SELECT lower(name) AS k, min(prio) AS prio, min(name) AS name FROM u WHERE lower(name) LIKE 'b%' GROUP BY 1)
+ SELECT name, prio FROM f ORDER BY prio, name LIMIT 10""")
+def autocomplete(spark, d):
+    u = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.lit(1).alias("prio")).unionByName(table(spark, d, "part").select(F.col("p_name").alias("name"), F.lit(2).alias("prio")))
+    f = u.filter(F.lower("name").startswith("b")).groupBy(F.lower("name").alias("k")).agg(F.min("prio").alias("prio"), F.min("name").alias("name"))
+    return f.orderBy("prio", "name").limit(10).select("name", "prio")
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang,
+ CAST(len(regexp_extract_all(html, '<a href="')) AS INTEGER) AS links FROM pages""")
+def html_extract(spark, d):
+    h = F.col("html")
+    return table(spark, d, "pages").select("page_id", F.regexp_extract(h, r"<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract(h, r'<html lang="([a-z]+)"', 1).alias("lang"), F.size(F.regexp_extract_all(h, F.lit(r'(<a href=")'), F.lit(1))).alias("links"))
+
+
+@query()
+def entity_resolution(spark, d):
+    canon = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    names = table(spark, d, "part").select(F.concat_ws(" ", F.reverse(F.split("p_name", " "))).alias("name")).distinct()
+    return T.resolve_names(names, canon)
+
+
+@query("""SELECT p_partkey AS id, p_name AS name, min(p_partkey) OVER (PARTITION BY p_name) AS cluster FROM part""")
+def product_clusters(spark, d):
+    # names of this table differ in whole words, so only equal normal names join
+    return T.cluster_products(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), 100.1)
+
+
+@query()
+def item_fuzzy_match(spark, d):
+    names = table(spark, d, "part").select("p_name").distinct()
+    return T.closest_names(names.select(F.col("p_name").alias("a")), names.select(F.concat(F.col("p_name"), F.lit(" extra")).alias("b")), 82.0)
+
+
+@query(r"""SELECT c_custkey, trim(regexp_replace(regexp_replace(upper(c_name), '[^A-Z0-9 ]', ' ', 'g'), '\s+', ' ', 'g')) AS norm,
+ substring(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS slug FROM customer""")
+def supplier_names(spark, d):
+    return table(spark, d, "customer").select("c_custkey", X.normal_supplier(F.col("c_name")).alias("norm"), X.slug(F.col("c_name")).alias("slug"))
+
+
+@query("""SELECT conv_id, CASE WHEN max(CASE WHEN lower(text) LIKE '%password%' OR lower(text) LIKE '%secret%' THEN 1 ELSE 0 END) = 1 THEN 'ALTO' WHEN count(*) > 6 THEN 'MEDIO' ELSE 'BAIXO' END AS risco FROM conversations GROUP BY 1""")
+def domain_risk(spark, d):
+    bad = F.lower("text").contains("password") | F.lower("text").contains("secret")
+    g = table(spark, d, "conversations").groupBy("conv_id").agg(F.max(bad.cast("int")).alias("b"), F.count("*").alias("n"))
+    return g.select("conv_id", first_match([(F.col("b") == 1, "ALTO"), (F.col("n") > 6, "MEDIO")], "BAIXO").alias("risco"))
