@@ -12,10 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm import packing, quality_cnn, quality_rules, simhash, substring_dedup
 from ledgerloom.llm.common import stored, table
 
-#: Bits in which fingerprints of near copies may differ here: what five-word shingles of a
-#: similarity of 0.8 differ by at the median.
-RADIUS = 6
-
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents that the rules or their model reject go."""
@@ -33,8 +29,8 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: one document of each group of near copies stays, that with the smallest doc_id."""
-    return simhash.keep_first(docs, radius=RADIUS)
+    """Operator 7: one document of each group of near copies (five-word shingles, 0.8) stays, that with the smallest doc_id."""
+    return simhash.keep_first(docs)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

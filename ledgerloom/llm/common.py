@@ -57,10 +57,10 @@ def dealt(keys: np.ndarray, columns: dict[str, np.ndarray], extra: dict | None =
     yield pa.RecordBatch.from_arrays(arrays, ["bucket", *columns, *(extra or {})])
 
 
-def by_bucket(df: DataFrame, work: Callable[[int, dict[str, list]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def by_bucket(df: DataFrame, work: Callable[[int, dict[str, list]], Iterator[pa.RecordBatch]], schema: str, least: int = 1) -> DataFrame:
     """Calls ``work(bucket, columns)`` once for each bucket of ``df`` (bucket, blobs...).
 
-    Rows are dealt by bucket and sorted, so a task holds one bucket at a time.
+    Rows are dealt by bucket, to ``least`` partitions at least, and sorted, so a task holds one bucket at a time.
     """
     names = [c for c in df.columns if c != "bucket"]
 
@@ -78,5 +78,5 @@ def by_bucket(df: DataFrame, work: Callable[[int, dict[str, list]], Iterator[pa.
         if now is not None:
             yield from work(now, held)
 
-    n = shuffle_partitions(df.sparkSession)
+    n = max(least, shuffle_partitions(df.sparkSession))
     return df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)

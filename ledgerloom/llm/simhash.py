@@ -12,6 +12,11 @@ before that. Within a bucket members are compared in its task, and no more than
 leaves it once it has over ``SMALL`` nodes; a bucket above ``HOT`` nodes is hashed again by covering
 masks over the bits that are still free, which loses no pair either.
 
+:func:`keep_first` asks for ``WIDE_SHINGLE``-word shingles of a similarity of about 0.8 or more: its
+fingerprints are of ``NEAR_SHINGLE`` words, as those of near copies differ in few bits, and a link must
+also hold in a second fingerprint of ``WIDE_BITS`` bits over the longer shingles, whose differing bits
+measure the similarity itself. It stands beside the first in every bucket.
+
 Defined cases: a null text has no words; documents without an id get their fingerprint and the
 component of equal fingerprints that have an id (null otherwise) and make no links of their own;
 repeated rows are equal fingerprints; an empty table gives no rows; other columns are ignored.
@@ -22,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as k
@@ -31,7 +36,11 @@ from .components import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 #: Buckets up to SMALL nodes give every linked pair, larger ones a spanning forest; above HOT they are split again.
-SMALL, HOT = 8, 4096
+SMALL, HOT = 8, 16384
+#: Of keep_first: words in a shingle and differing bits of its fingerprints; words and bits of the second one, and
+#: how many of these may differ: what 19 of 20 pairs of a similarity of 0.8 to 0.85 keep within.
+NEAR_SHINGLE, NEAR_RADIUS = 2, 6
+WIDE_SHINGLE, WIDE_BITS, WIDE_RADIUS = 5, 256, 43
 U = np.uint64
 #: The primes of XXH64.
 P1, P2, P3, P4, P5 = (
@@ -113,10 +122,8 @@ def shingles(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return out, to[at], to[last] + size[last] - to[at], place
 
 
-def fingerprints(buf: np.ndarray, off: np.ndarray, n: int = SHINGLE) -> np.ndarray:
-    """The 64-bit fingerprint of each text of a chunk."""
-    out, start, size, place = shingles(buf, off, n)
-    h = xxh64(out, start, size)
+def majority(h: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """64 bits of each text: those that over half of its hashes set."""
     count = np.diff(place)
     # sums of 8-bit counters hold up to 255 shingles; longer texts are summed in parts
     parts = -(-count // 255)
@@ -131,16 +138,33 @@ def fingerprints(buf: np.ndarray, off: np.ndarray, n: int = SHINGLE) -> np.ndarr
     return np.packbits(2 * bits > count[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text) -> (doc_id, fp bigint)."""
+def fingerprints(buf: np.ndarray, off: np.ndarray, n: int = SHINGLE) -> np.ndarray:
+    """The 64-bit fingerprint of each text of a chunk."""
+    out, start, size, place = shingles(buf, off, n)
+    return majority(xxh64(out, start, size), place)
+
+
+def wide_fingerprints(buf: np.ndarray, off: np.ndarray, n: int = WIDE_SHINGLE) -> np.ndarray:
+    """(texts, WIDE_BITS / 64) words of the second fingerprint, from differently mixed hashes of one shingle."""
+    out, start, size, place = shingles(buf, off, n)
+    h = xxh64(out, start, size)
+    return np.stack([majority(k.mix(h ^ U(0x9E3779B97F4A7C15 * (i + 1) % 2**64)), place) for i in range(WIDE_BITS // 64)], 1)
+
+
+def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE, wide: int | None = None) -> DataFrame:
+    """(doc_id, text) -> (doc_id, fp bigint[, wide binary: the second fingerprint over ``wide`` words])."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                fp = np.concatenate([fingerprints(b, o, shingle) for _, _, b, o in k.chunks(*k.utf8(batch.column(1)))])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                parts = list(k.chunks(*k.utf8(batch.column(1))))
+                columns = [batch.column(0), pa.array(np.concatenate([fingerprints(b, o, shingle) for _, _, b, o in parts]).view(np.int64))]
+                if wide:
+                    columns.append(pa.array([w.tobytes() for _, _, b, o in parts for w in wide_fingerprints(b, o, wide)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "wide"][: len(columns)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    schema = "doc_id bigint, fp bigint" + (", wide binary" if wide else "")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def covering_masks(radius: int = RADIUS, bits: list[int] | None = None) -> list[int]:
@@ -159,14 +183,33 @@ def covering_masks(radius: int = RADIUS, bits: list[int] | None = None) -> list[
     return max(tries, key=lambda m: min(x.bit_count() for x in m))
 
 
-def _forest(ids: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+class _Nodes:
+    """Nodes of a bucket: id, fingerprint and, if there is one, the second fingerprint."""
+
+    def __init__(self, ids: np.ndarray, fps: np.ndarray, wide: np.ndarray | None, radius: int):
+        self.ids, self.fps, self.wide, self.radius = ids, fps, wide, radius
+
+    def take(self, at) -> _Nodes:
+        return _Nodes(self.ids[at], self.fps[at], None if self.wide is None else self.wide[at], self.radius)
+
+    def near(self, a, b: np.ndarray) -> np.ndarray:
+        """Which of the nodes at ``b`` link to the one (or those) at ``a``."""
+        out = np.bitwise_count(self.fps[b] ^ self.fps[a]) <= self.radius
+        if self.wide is not None and out.any():
+            hit = np.flatnonzero(out)
+            other = self.wide[a[hit]] if isinstance(a, np.ndarray) else self.wide[a]
+            out[hit] = np.bitwise_count(self.wide[b[hit]] ^ other).sum(1, dtype=np.int64) <= WIDE_RADIUS
+        return out
+
+
+def _forest(nodes: _Nodes) -> tuple[np.ndarray, np.ndarray]:
     """Edges that span what the comparisons of one bucket link: each node is compared with those not yet reached."""
-    left, a, b = np.arange(len(fps)), [], []
+    ids, left, a, b = nodes.ids, np.arange(len(nodes.ids)), [], []
     while len(left):
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             j = todo.pop()
-            near = np.bitwise_count(fps[left] ^ fps[j]) <= radius
+            near = nodes.near(j, left)
             if near.any():
                 a.append(np.full(near.sum(), ids[j]))
                 b.append(ids[left[near]])
@@ -175,70 +218,99 @@ def _forest(ids: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
     return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
 
 
-def _pairs(ids: np.ndarray, fps: np.ndarray, mask: int, radius: int, hot: int, edges: list, depth: int = 0) -> None:
+def _spanned(edges: list) -> list:
+    """One edge to the least node of its component for each node of ``edges``."""
+    a, b = (np.concatenate([e[i] for e in edges]) for i in (0, 1)) if edges else (np.zeros(0, np.int64),) * 2
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while (label[x] != label[y]).any():
+        least = np.minimum(label[x], label[y])
+        for end in (x, y):
+            np.minimum.at(label, label[end], least)
+        while (label != label[label]).any():
+            label = label[label]
+    some = np.flatnonzero(label != np.arange(len(ids)))
+    return [(ids[some], ids[label[some]])]
+
+
+def _pairs(nodes: _Nodes, mask: int, hot: int, edges: list, depth: int = 0) -> None:
     """Adds edges that connect what links inside the buckets of one mask connect."""
-    key = fps & U(mask)
+    key = nodes.fps & U(mask)
     order = np.argsort(key, kind="stable")
-    ids, fps, key = ids[order], fps[order], key[order]
+    nodes, key = nodes.take(order), key[order]
     first = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
     size = np.diff(first)
     # small runs: every pair, by distance within the run
-    small = np.repeat((size > 1) & (size <= SMALL), size)
-    ids_s, fps_s, key_s = ids[small], fps[small], key[small]
+    small = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
     for lag in range(1, min(SMALL, int(size.max(initial=1)))):
-        if lag >= len(key_s):
+        if lag >= len(small):
             break
-        near = (key_s[lag:] == key_s[:-lag]) & (np.bitwise_count(fps_s[lag:] ^ fps_s[:-lag]) <= radius)
-        edges.append((ids_s[lag:][near], ids_s[:-lag][near]))
+        x, y = small[lag:], small[:-lag]
+        same = key[x] == key[y]
+        x, y = x[same], y[same]
+        near = nodes.near(x, y)
+        edges.append((nodes.ids[x[near]], nodes.ids[y[near]]))
     for r in np.flatnonzero(size > SMALL):
-        part = slice(first[r], first[r + 1])
+        part = nodes.take(slice(first[r], first[r + 1]))
         free = [i for i in range(64) if not mask >> i & 1]
         if size[r] > hot and len(free) > 8 and depth < 3:
-            # a large bucket is hashed again by masks that also cover its free bits
-            for deeper in covering_masks(radius, free):
-                _pairs(ids[part], fps[part], mask | deeper, radius, hot, edges, depth + 1)
+            # a large bucket is hashed again by masks that also cover its free bits; they find the same links again and again
+            found: list = []
+            for deeper in covering_masks(nodes.radius, free):
+                _pairs(part, mask | deeper, hot, found, depth + 1)
+                found = _spanned(found)
+            edges.extend(found)
         else:
-            edges.append(_forest(ids[part], fps[part], radius))
+            edges.append(_forest(part))
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT, bucket_nodes: int = 200_000) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT, bucket_nodes: int = 50_000) -> DataFrame:
     """Edges (a, b) that connect just what links of at most ``radius`` bits connect.
 
-    ``nodes`` has (node bigint, fp bigint), each fp once. The entries of all tables are dealt to
-    groups of about ``bucket_nodes`` by table and hashed key, packed as bytes.
+    ``nodes`` has (node bigint, fp bigint[, wide binary]), each once; with a second fingerprint links must hold
+    there too. The entries of all tables are dealt to groups of about ``bucket_nodes`` by table and hashed
+    key, packed as bytes, a few groups to a task.
     """
     masks = covering_masks(radius)
     parts = max(1, -(-nodes.count() // bucket_nodes))
+    names = ["ids", "fps", "wide"][: len(nodes.columns)]
 
     def spread(batches):
         for batch in batches:
-            ids, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            columns = {"ids": batch.column(0).to_numpy(), "fps": batch.column(1).to_numpy().view(np.uint64)}
+            if len(names) > 2:
+                columns["wide"] = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WIDE_BITS // 64)
             for v, mask in enumerate(masks):
-                sub = (k.mix(fps & U(mask)) >> U(33)).astype(np.int64) % parts
-                yield from dealt(v * parts + sub, {"ids": ids, "fps": fps})
+                sub = (k.mix(columns["fps"] & U(mask)) >> U(33)).astype(np.int64) % parts
+                yield from dealt(v * parts + sub, columns)
 
     def compare(bucket, held):
         ids, fps = (np.frombuffer(b"".join(held[c]), t) for c, t in (("ids", np.int64), ("fps", np.uint64)))
-        edges = []
-        _pairs(ids, fps, masks[bucket // parts], radius, hot, edges)
-        if edges:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([e[i] for e in edges])) for i in (0, 1)], ["a", "b"])
+        wide = np.frombuffer(b"".join(held["wide"]), np.uint64).reshape(-1, WIDE_BITS // 64) if "wide" in held else None
+        edges: list = []
+        _pairs(_Nodes(ids, fps, wide, radius), masks[bucket // parts], hot, edges)
+        a, b = _spanned(edges)[0]
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    entries = nodes.select("node", "fp").mapInArrow(spread, "bucket bigint, ids binary, fps binary")
-    return by_bucket(entries, compare, "a bigint, b bigint")
+    entries = nodes.mapInArrow(spread, "bucket bigint, " + ", ".join(f"{n} binary" for n in names))
+    return by_bucket(entries, compare, "a bigint, b bigint", -(-len(masks) * parts // 4))
 
 
 def components_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp) -> (fp, component_id), one row a fingerprint."""
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "fingerprints")
-    found = components(links(nodes.filter("node is not null"), radius))
-    return nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    """(doc_id, fp[, wide]) -> (fp[, wide], component_id), one row a fingerprint."""
+    keys = [c for c in prints.columns if c != "doc_id"]
+    nodes = stored(prints.groupBy(*keys).agg(F.min("doc_id").alias("node")), "fingerprints")
+    found = components(links(nodes.filter("node is not null").select("node", *keys), radius))
+    return nodes.join(found, "node", "left").select(*keys, F.coalesce("component", "node").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, text) -> (doc_id, fp, component_id)."""
-    prints = stored(fingerprint_table(docs, shingle), "simhash")
-    return prints.join(components_of(prints, radius), "fp").select("doc_id", "fp", "component_id")
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, wide: int | None = None) -> DataFrame:
+    """(doc_id, text) -> (doc_id, fp[, wide], component_id)."""
+    prints = stored(fingerprint_table(docs, shingle, wide), "simhash")
+    keys = [c for c in prints.columns if c != "doc_id"]
+    return prints.join(components_of(prints, radius), keys).select("doc_id", *keys, "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,11 +318,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = NEAR_SHINGLE, radius: int = NEAR_RADIUS, wide: int | None = WIDE_SHINGLE) -> DataFrame:
     """The documents with the smallest doc_id of their component, all columns as they are.
 
     Documents without an id stay; of rows that repeat the smallest id the first by text stays.
     """
-    marked = near_duplicates(docs, shingle, radius).filter("doc_id = component_id").select("doc_id").distinct()
+    marked = near_duplicates(docs, shingle, radius, wide).filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(marked, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    place = "_place_of_" + "_".join(docs.columns)
+    first = kept.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(place) == 1)
+    return first.select(docs.columns).unionByName(docs.filter("doc_id is null"))
