@@ -133,11 +133,3 @@ def contracts(rows: DataFrame, banks: DataFrame) -> DataFrame:
     classes = rows.filter(F.col("tipo").isin(*SPENT)).groupBy("mes_ref").agg(F.sum("valor").alias("a"), F.sum(F.when(F.col("classificacao").isin(*CLASSES), F.col("valor"))).alias("b"))
     sums = classes.filter(F.abs(F.col("a") - F.coalesce("b", F.lit(0))) > 0.01).agg(F.count("*").alias("violacoes")).select(F.lit("classes_somam_despesa").alias("contrato"), "violacoes")
     return out.unionByName(unknown).unionByName(sums)
-
-
-def progressive_tax(rows: DataFrame, base: str, brackets: list[tuple[float, float, float]]) -> DataFrame:
-    """Tax of ``base`` by the first bracket (limit, rate, deduction) that holds it; 0 beyond the last."""
-    from .rules import first_match
-
-    tax = first_match([(F.col(base) <= limit, F.greatest(F.lit(0.0), F.col(base) * rate - deduction)) for limit, rate, deduction in brackets], 0.0)
-    return rows.withColumn("imposto", F.round(tax, 2))
