@@ -139,6 +139,6 @@ def front_matter(files: DataFrame) -> DataFrame:
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, content) of all text files below a folder, without copies named `` (1)`` or `` (2)``."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     rows = rows.select(F.url_decode(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("content"))
     return rows.filter(~F.col("path").rlike(r" \([12]\)\.[^.]+$"))
