@@ -181,8 +181,9 @@ def train(sample: DataFrame, fitter) -> dict:
     import pickle
 
     def run(batches):
-        rows = pa.Table.from_batches(list(batches))
-        if rows.num_rows:
+        parts = list(batches)
+        if sum(b.num_rows for b in parts):
+            rows = pa.Table.from_batches(parts)
             rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
             # the order in which folds are dealt does not follow the ids
             rows = rows.take(pa.array(np.random.Generator(np.random.PCG64(7)).permutation(rows.num_rows)))
