@@ -84,20 +84,44 @@ def test_fingerprints_of_neighbours(docs, texts):
 # ---- operator 2
 
 
-def _reference_merge(model, part, skipped):
-    symbols = [(i, i + 1) for i in range(len(part))]
+def _merged_plainly(unit, score, part, skipped):
+    """Again and again the best adjacent pair that no hash skips; the leftmost of equals."""
+    cuts = list(range(len(part) + 1))
     while True:
-        best = None
-        for j in range(len(symbols) - 1):
-            (a, b), (_, c) = symbols[j], symbols[j + 1]
-            piece = model.PieceToId(part[a:c])
-            if model.IdToPiece(piece) == part[a:c] and not skipped(a, b, c):
-                s = (model.GetScore(piece), -a)
-                best = max(best, (*s, j)) if best else (*s, j)
-        if best is None:
-            return [part[a:b] for a, b in symbols]
-        j = best[2]
-        symbols[j : j + 2] = [(symbols[j][0], symbols[j + 1][1])]
+        found = [
+            (-score(unit[part[a:c]]), a, j)
+            for j, (a, b, c) in enumerate(zip(cuts, cuts[1:], cuts[2:]))
+            if part[a:c] in unit and not skipped(a, b, c)
+        ]
+        if not found:
+            return [(unit[part[a:b]], a) for a, b in zip(cuts, cuts[1:])]
+        del cuts[min(found)[2] + 1]
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5])
+def test_merges_equal_plain_ones(dropout):
+    import public_tokenizers
+    import sentencepiece
+
+    path = str(public_tokenizers.path("piece_bpe_32k.model"))
+    library, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Pieces(path)
+    rng, bar = np.random.default_rng(1), int(dropout * 2**64)
+    vocabulary = [" the", " international", "ization", "casa", "ção", " ", "aaaa", "e", "straße", "un"]
+    parts = ["".join(vocabulary[i] for i in rng.integers(0, 10, n)) for n in rng.integers(1, 7, 60)]
+    keys = rng.integers(0, 1 << 63, len(parts), dtype=np.uint64)
+    ids = [[int(model.char[ord(c)]) for c in p] for p in parts]
+    c = [int(x) for x in pieces._C]
+    want = []
+    for p, key in zip(parts, keys):
+        skip = lambda i, j, e, key=int(key): bool(bar) and pieces._mix1(key + i * c[0] + j * c[1] + e * c[2]) < bar
+        want.append(_merged_plainly(model.unit, library.get_score, p, skip))
+    assert [pieces.merge_one(model, x, int(key), bar) for x, key in zip(ids, keys)] == want
+    off = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+    part, first, found = pieces.merge_many(model, np.concatenate(ids), off, keys, bar)
+    got = [[] for _ in parts]
+    for i, a, x in zip(part.tolist(), first.tolist(), found.tolist()):
+        got[i].append((x, a))
+    assert got == want or [[(x, a - off[i]) for x, a in g] for i, g in enumerate(got)] == want
 
 
 def test_pieces_round_trip_and_without_dropout_equal_the_library(spark, docs):
