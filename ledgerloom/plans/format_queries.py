@@ -89,7 +89,7 @@ def csv_by_tag(spark, d):
     return sinks.tag_summary(back, "tag")
 
 
-@query(f"""{W} SELECT identificador, CASE WHEN identificador % 3 = 0 THEN valor + 1 ELSE valor END AS valor, CASE WHEN identificador % 2 = 0 THEN 'ok' END AS marca FROM ledger
+@query(f"""{W} SELECT identificador, CAST(CASE WHEN identificador % 3 = 0 THEN valor + 1 ELSE valor END AS DECIMAL(18,2)) AS valor, CASE WHEN identificador % 2 = 0 THEN 'ok' END AS marca FROM ledger
  WHERE identificador % 2 = 0 OR identificador % 3 = 0""")
 def validation_upsert(spark, d):
     rows = ledger(spark, d).select("identificador", "valor")
@@ -107,7 +107,7 @@ def stream_distinct(spark, d):
     return E.distinct_events(_stream(spark, d))
 
 
-@query("SELECT CAST(date_trunc('week', ts) AS DATE) AS semana, event_type, count(*) AS n, sum(CAST(value AS DECIMAL(18,6))) AS total FROM events GROUP BY 1, 2")
+@query("SELECT CAST(date_trunc('week', ts) AS DATE) AS semana, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DECIMAL(28,6)) AS total FROM events GROUP BY 1, 2")
 def stream_weekly(spark, d):
     return E.weekly(_stream(spark, d))
 
