@@ -5,9 +5,10 @@ leftmost of equals). With dropout each candidate merge - its text, the places wh
 right part begin and end - is skipped if a keyed hash falls below ``dropout``; the hash decides once
 for a candidate, so the agenda passes over it for good, and the same seed gives the same ids on every
 machine. Pieces never join a space to what stands before it, so texts are cut before each run of
-spaces, and each part takes one of ``variants`` keys by the seed, the document and the part's place:
-equal words differ within a document, between documents and between seeds, and a worker still
-remembers the ids of a (part, key).
+spaces, and each occurrence of a part has its own key by the seed, the document and the part's place:
+equal words differ within a document, between documents and between seeds. What a part becomes depends
+on no more than which of its candidates are skipped, so a worker remembers the candidates that any order
+of merges can propose for a part, and the ids of a (part, skipped candidates).
 
 Many parts are merged in step: symbols of all parts stand in one array, each round finds every part's
 best candidate and merges it. Parts of over ``LONG`` characters go through a heap one by one.
@@ -35,9 +36,11 @@ from . import textkernel as k
 from .common import table
 from .pretokens import Memory, hashes
 
-MODEL, SEED, DROPOUT, VARIANTS = "piece_bpe_32k.model", 42, 0.1, 4
+MODEL, SEED, DROPOUT = "piece_bpe_32k.model", 42, 0.1
 LONG = 96
 ENCODE_CHARS = 2_000_000
+#: Distinct parts whose candidates a worker remembers before it starts anew.
+PLANS = 400_000
 U = np.uint64
 _NONE = np.iinfo(np.int64).max
 _C = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))
@@ -90,6 +93,11 @@ class Pieces:
         self.n = n
         self.pair = np.array([x for x, _ in pairs], np.int64)
         self.merged = np.array([i for _, i in pairs], np.int64)
+        self.shift = U(64 - max(1, (len(pairs) * 16).bit_length()))
+        at = self._slot(self.pair)
+        self.slots = np.zeros(1 << 64 - int(self.shift), np.int32)
+        self.slots[at] = np.arange(len(at))
+        self.slots[np.flatnonzero(np.bincount(at, minlength=1) > 1)] = -1  # several pairs: found by search
         self.rank = rank
         self.by_pair = dict(pairs)
         self.char = np.full(0x110000, -1, np.int64)
@@ -97,12 +105,17 @@ class Pieces:
             if len(p) == 1:
                 self.char[ord(p)] = i
         self.char[0x2581] = -1
+        self.longest = max(map(len, self.unit), default=1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * _C[0] >> self.shift).astype(np.int64)
 
     def candidates(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged id of pairs; the rank is _NONE where nothing merges."""
         key = left * self.n + right
-        at = np.searchsorted(self.pair, key)
-        at[at == len(self.pair)] = 0
+        at = self.slots[self._slot(key)]
+        if len(more := np.flatnonzero(at < 0)):
+            at[more] = np.minimum(np.searchsorted(self.pair, key[more]), len(self.pair) - 1)
         ok = (self.pair[at] == key) & (left >= 0) & (right >= 0)
         merged = self.merged[at]
         return np.where(ok, self.rank[merged], _NONE), merged
@@ -196,15 +209,43 @@ def merge_many(model: Pieces, ids: np.ndarray, off: np.ndarray, keys: np.ndarray
     return tuple(np.concatenate(x) for x in zip(*done))
 
 
+def proposals(model: Pieces, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All candidates that any order of merges can propose, part after part, and their number in each part.
+
+    A candidate is its first character, the first of its right part and its end in seven bits each.
+    """
+    part = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    start = np.arange(len(ids)) - off[part]
+    room = off[part + 1] - np.arange(len(ids))
+    span = [ids, ids]  # span[n]: the piece of the n characters from each on, or a negative number
+    owner, code = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in range(2, model.longest + 1):
+        here = np.flatnonzero(room >= n)
+        if not len(here):
+            break
+        whole = np.full(len(ids), -1)
+        for m in range(1, n):
+            left, right = span[m][here], span[n - m][here + m]
+            ok = (left >= 0) & (right >= 0)
+            rank, merged = model.candidates(left[ok], right[ok])
+            at, merged = here[ok][rank != _NONE], merged[rank != _NONE]
+            whole[at] = merged
+            owner.append(part[at])
+            code.append(start[at] << 14 | start[at] + m << 7 | start[at] + n)
+        span.append(whole)
+    owner, code = np.concatenate(owner), np.concatenate(code)
+    return code[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(off) - 1)
+
+
 class Encoder:
     """Ids of texts with one seed and dropout; one for each worker."""
 
-    def __init__(self, path: str, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS):
+    def __init__(self, path: str, seed: int = SEED, dropout: float = DROPOUT):
         self.model = Pieces(path)
         self.bar = int(dropout * 2.0**64) if dropout else 0
         self.bar = min(self.bar, _ALL)
-        self.seed, self.variants = _mix1(seed + 1), max(1, variants if dropout else 1)
-        self.memory = Memory()
+        self.seed = _mix1(seed + 1)
+        self.memory, self.plans = Memory(), Memory(PLANS)
 
     def encode(self, texts: list[str], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the n + 1 places of the texts among them.
@@ -226,15 +267,32 @@ class Encoder:
         place = np.searchsorted(start, off)
         text = np.repeat(np.arange(len(texts)), np.diff(place))
         nth = (np.arange(len(start)) - place[text]).astype(np.uint64)
-        variant = k.mix(k.mix(docs.astype(np.int64).view(np.uint64)[text] ^ U(self.seed)) + nth) % U(self.variants)
-        key = k.mix(h ^ k.mix(variant + U(self.seed)))
+        key = k.mix(h ^ k.mix(k.mix(docs.astype(np.int64).view(np.uint64)[text] ^ U(self.seed)) + nth))
 
         def learn(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return self._merge(cp, start[at], end[at], key[at])
 
-        ids, to = self.memory.find(key, learn)
+        ids, to = self.memory.find(self._outcome(cp, start, end, h, key) if self.bar else h, learn)
         return ids, to[place]
 
+    def _outcome(self, cp, start, end, h, key) -> np.ndarray:
+        """Equal for occurrences of a part that skip the same candidates; that of a long part is its own."""
+        out = key.copy()
+        short = np.flatnonzero(end - start <= LONG)
+        start, end, h, key = start[short], end[short], h[short], key[short]
+
+        def learn(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            off = np.concatenate(([0], np.cumsum(end[at] - start[at])))
+            source = np.arange(off[-1]) + np.repeat(start[at] - off[:-1], np.diff(off))
+            return proposals(self.model, self.model.char[cp[source]], off)
+
+        code, to = self.plans.find(h, learn)
+        gone = np.flatnonzero(_skipped(np.repeat(key, np.diff(to)), code >> 14, code >> 7 & 127, code & 127, self.bar))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(k.mix(code[gone].astype(np.uint64) + U(1)))))
+        at = np.searchsorted(gone, to)
+        out[short] = k.mix(h ^ k.mix(total[at[1:]] - total[at[:-1]]))
+        return out
+
     def _merge(self, cp, start, end, key) -> tuple[np.ndarray, np.ndarray]:
         size = end - start
         short = size <= LONG
@@ -275,8 +333,8 @@ def decode(model: Pieces, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarra
 
 
 @lru_cache(4)
-def _encoder(path: str, seed: int, dropout: float, variants: int) -> Encoder:
-    return Encoder(path, seed, dropout, variants)
+def _encoder(path: str, seed: int, dropout: float) -> Encoder:
+    return Encoder(path, seed, dropout)
 
 
 def _path(model: str) -> str:
@@ -285,22 +343,22 @@ def _path(model: str) -> str:
     return model if model.startswith("/") else public_tokenizers.path(model)
 
 
-def _encoded(batches, model, seed, dropout, variants):
+def _encoded(batches, model, seed, dropout):
     for batch in batches:
         texts, ids = [x or "" for x in batch.column(1).to_pylist()], batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
         part = np.cumsum([len(t) for t in texts]) // ENCODE_CHARS
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
-        encoder = _encoder(_path(model), seed, dropout, variants)
+        encoder = _encoder(_path(model), seed, dropout)
         for a, b in zip(cuts[:-1], cuts[1:]):
             if b > a:
                 yield encoder, batch.slice(a, b - a), texts[a:b], encoder.encode(texts[a:b], ids[a:b])
 
 
-def encode(docs: DataFrame, model: str = MODEL, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
     """(doc_id, text) -> (doc_id, ids array<int>)."""
 
     def run(batches):
-        for _, batch, _, (ids, place) in _encoded(batches, model, seed, dropout, variants):
+        for _, batch, _, (ids, place) in _encoded(batches, model, seed, dropout):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(place.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>")
@@ -314,7 +372,7 @@ def decode_ids(rows: DataFrame, model: str = MODEL) -> DataFrame:
             if batch.num_rows:
                 lists = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
                 off = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))))
-                out, place = decode(_encoder(_path(model), 0, 0.0, 1).model, lists.flatten().to_numpy(zero_copy_only=False), off)
+                out, place = decode(_encoder(_path(model), 0, 0.0).model, lists.flatten().to_numpy(zero_copy_only=False), off)
                 raw = out.tobytes()
                 texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(place[:-1], place[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -324,11 +382,11 @@ def decode_ids(rows: DataFrame, model: str = MODEL) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
 
 
-def round_trip(docs: DataFrame, model: str = MODEL, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS) -> DataFrame:
+def round_trip(docs: DataFrame, model: str = MODEL, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
     """doc_id, n_chars, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256, lossless."""
 
     def run(batches):
-        for encoder, batch, texts, (ids, place) in _encoded(batches, model, seed, dropout, variants):
+        for encoder, batch, texts, (ids, place) in _encoded(batches, model, seed, dropout):
             raw, at = decode(encoder.model, ids, place)
             raw, four = memoryview(raw), memoryview(ids.astype("<u4")).cast("B")
             decoded = [raw[a:b] for a, b in zip(at[:-1], at[1:])]

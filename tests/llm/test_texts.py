@@ -142,6 +142,25 @@ def test_pieces_round_trip_and_without_dropout_equal_the_library(spark, docs):
     assert pieces.encode(empty(spark)).count() == 0
 
 
+def test_dropout_acts_on_each_occurrence():
+    encoder = pieces.Encoder(pieces._path(pieces.MODEL))
+    model = encoder.model
+    # a part with one possible merge: whole unless that is skipped
+    word = next(p for p in sorted(model.unit) if len(p) == 2 and p[0] == " " and p[1] != " " and model.char[ord(p[1])] >= 0)
+    for text, docs, n in (([word[1] + word * 19999], [7], 20000), ([word[1]] * 20000, list(range(20000)), 20000)):
+        ids, place = encoder.encode(text, np.array(docs))
+        assert abs((len(ids) - n) / n - 0.1) < 0.01
+
+
+def test_remembered_ids_equal_merging_every_occurrence(texts):
+    docs = [t for t in texts if t] + ["the international house of the the the uma ação e outra ação " * 400, "x" * 300 + " aaaa" * 300]
+    found, plain = (pieces.Encoder(pieces._path(pieces.MODEL), dropout=0.3) for _ in range(2))
+    plain.memory.find = lambda key, learn: (lambda ids, size: (ids, np.concatenate(([0], np.cumsum(size)))))(*learn(np.arange(len(key))))
+    for part in (docs, docs[::-1]):
+        at = np.arange(len(part))
+        assert [x.tolist() for x in found.encode(part, at)] == [x.tolist() for x in plain.encode(part, at)]
+
+
 # ---- operator 3
 
 
