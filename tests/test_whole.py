@@ -1,0 +1,20 @@
+"""Queries over all rows, where those of the same name without ``_whole`` take the part that their SQL takes."""
+
+import pytest
+
+from ledgerloom.plans import catalogue
+from ledgerloom.plans.ledger import ledger, table
+
+
+def run(spark, sf, name):
+    return catalogue.QUERIES[name](spark, sf)
+
+
+@pytest.mark.parametrize("name, where", [("ofx_parse", "true"), ("statement_text_parse", "identificador % 3 <> 0"), ("card_bill_parse", "not (month(data) = 2 and day(data) = 29)"), ("boleto_parse", "true")])
+def test_readers_see_every_ledger_row(spark, sf, name, where):
+    assert run(spark, sf, f"{name}_whole").count() == ledger(spark, sf).filter(where).count()
+    assert " % 5" not in catalogue.SQL[f"{name}_whole"]
+
+
+def test_recall_sees_every_order(spark, sf):
+    assert run(spark, sf, "receipt_recall_whole").count() == table(spark, sf, "lineitem").select("l_orderkey").distinct().count()
