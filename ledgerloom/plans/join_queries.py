@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import graph as G
 from ledgerloom.operators import linking as K
 
+from .catalogue import SQL as KNOWN
 from .catalogue import query
 from .ledger import SQL, ledger, table
 
@@ -18,8 +19,14 @@ SCORE = """scored AS (SELECT doc, tx, round(greatest(0.0, least(1.0, 1 - delta *
   + CASE WHEN l_suppkey % 7 = o_custkey % 7 THEN 0.3 ELSE 0.0 END + CASE WHEN l_suppkey % 7 = o_custkey % 7 AND delta = 0 THEN 0.1 ELSE 0.0 END)), 4) AS score FROM pairs)"""
 
 
-def documents(spark, d):
-    li = table(spark, d, "lineitem").filter("l_quantity >= 49")
+def _whole(name: str) -> str:
+    """The SQL of a query over all documents."""
+    return KNOWN[name].replace(" WHERE l_quantity >= 49", "").replace(" WHERE l_quantity >= 50", "")
+
+
+def documents(spark, d, whole: bool = False):
+    li = table(spark, d, "lineitem")
+    li = li if whole else li.filter("l_quantity >= 49")
     return li.select(
         F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("doc"), "l_suppkey",
         F.to_date("l_shipdate").alias("doc_date"), F.col("l_extendedprice").cast("decimal(18,2)").alias("total"),
@@ -30,32 +37,48 @@ def transactions(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("tx"), "o_custkey", F.to_date("o_orderdate").alias("tx_date"), F.col("o_totalprice").cast("decimal(18,2)").alias("value"))
 
 
-def _scored(spark, d):
+def _scored(spark, d, whole):
     same = F.col("l_suppkey") % 7 == F.col("o_custkey") % 7
-    return K.candidates(documents(spark, d), transactions(spark, d), 7, 0.02).withColumn("score", K.score(0.05, same))
+    return K.candidates(documents(spark, d, whole), transactions(spark, d), 7, 0.02).withColumn("score", K.score(0.05, same))
 
 
 @query(f"WITH {DOCS}, {TXS}, {PAIRS} SELECT doc, tx, delta, round(diff, 4) AS diff FROM pairs")
-def link_candidates(spark, d):
-    return K.candidates(documents(spark, d), transactions(spark, d), 7, 0.02).select("doc", "tx", "delta", F.round("diff", 4).alias("diff"))
+def link_candidates(spark, d, whole=False):
+    return K.candidates(documents(spark, d, whole), transactions(spark, d), 7, 0.02).select("doc", "tx", "delta", F.round("diff", 4).alias("diff"))
+
+
+@query(_whole("link_candidates"))
+def link_candidates_whole(spark, d):
+    return link_candidates(spark, d, whole=True)
 
 
 @query(f"""WITH {DOCS}, {TXS}, {PAIRS}, {SCORE}, r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, tx) AS rn, count(*) OVER (PARTITION BY doc) AS candidates FROM scored)
  SELECT a.doc, a.candidates, a.tx, a.score, b.score AS "next", CASE WHEN round(a.score - b.score, 6) < 0.02 THEN 'conflict' WHEN a.score < 0.7 THEN 'low' ELSE 'link' END AS verdict
  FROM r a LEFT JOIN r b ON a.doc = b.doc AND b.rn = 2 WHERE a.rn = 1""")
-def link_decision(spark, d):
-    return K.decide(_scored(spark, d), 0.02, 0.7)
+def link_decision(spark, d, whole=False):
+    return K.decide(_scored(spark, d, whole), 0.02, 0.7)
+
+
+@query(_whole("link_decision"))
+def link_decision_whole(spark, d):
+    return link_decision(spark, d, whole=True)
 
 
 @query(f"""WITH {SQL}, {DOCS.replace('49', '50')}, p AS (SELECT identificador AS tx, data AS tx_date, CAST(round(valor / 100) * 100 AS DECIMAL(18,2)) AS value FROM ledger WHERE tipo = 'Imposto'),
  h AS (SELECT tx, min(l_suppkey % 3) AS a, max(l_suppkey % 3) AS b FROM p JOIN docs ON abs(tx_date - doc_date) <= 30 AND abs(value - CAST(round(total / 100) * 100 AS DECIMAL(18,2))) <= 0.05 GROUP BY 1) SELECT tx, a AS debtor FROM h WHERE a = b""")
-def crossed_payments(spark, d):
+def crossed_payments(spark, d, whole=False):
     cent = lambda c: (F.round(F.col(c) / 100) * 100).cast("decimal(18,2)")
     p = ledger(spark, d).filter(F.col("tipo") == "Imposto").select(F.col("identificador").alias("tx"), F.col("data").alias("tx_date"), cent("valor").alias("value"))
-    docs = documents(spark, d).filter("total is not null").join(table(spark, d, "lineitem").filter("l_quantity >= 50").select(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("doc")).distinct(), "doc", "left_semi")
+    docs = documents(spark, d, whole).filter("total is not null")
+    docs = docs if whole else docs.join(table(spark, d, "lineitem").filter("l_quantity >= 50").select(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("doc")).distinct(), "doc", "left_semi")
     return K.agreed_debtor(p, docs.select((F.col("l_suppkey") % 3).alias("person"), "doc_date", cent("total").alias("total")), 30, 0.05)
 
 
+@query(_whole("crossed_payments"))
+def crossed_payments_whole(spark, d):
+    return crossed_payments(spark, d, whole=True)
+
+
 @query("""WITH t AS (SELECT p_brand, p_size, p_name, min(p_partkey) AS id FROM part GROUP BY 1, 2, 3)
  SELECT a.id AS first, b.id AS second, CAST(levenshtein(a.p_name, b.p_name) AS INTEGER) AS distance FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.id < b.id WHERE levenshtein(a.p_name, b.p_name) <= 4""")
 def invoice_twins(spark, d):
@@ -77,8 +100,8 @@ def cross_audit_full_outer(spark, d):
 
 @query(f"""WITH {DOCS}, {TXS}, {PAIRS}, g AS (SELECT doc, w, p FROM (VALUES (1), (3), (7)) a(w), (VALUES (0.005), (0.01), (0.02)) b(p), pairs WHERE delta <= w AND diff <= greatest(CAST(total AS DOUBLE) * p, 0.01))
  SELECT doc, min(w) AS w, CAST(arg_min(p, (w, p)) AS DOUBLE) AS p FROM g GROUP BY 1""")
-def grid_min_window(spark, d):
-    pairs = K.candidates(documents(spark, d), transactions(spark, d), 7, 0.02)
+def grid_min_window(spark, d, whole=False):
+    pairs = K.candidates(documents(spark, d, whole), transactions(spark, d), 7, 0.02)
     w = F.explode(F.filter(F.array(*map(F.lit, (1, 3, 7))), lambda x: x >= F.col("delta")))
     total = F.col("total").cast("double")
     p = F.filter(F.array(*map(F.lit, (0.005, 0.01, 0.02))), lambda x: F.col("diff") <= F.greatest(total * x, F.lit(0.01)))
@@ -86,6 +109,11 @@ def grid_min_window(spark, d):
     return out.groupBy("doc").agg(F.min(F.struct("w", "p")).alias("m")).select("doc", "m.w", "m.p")
 
 
+@query(_whole("grid_min_window"))
+def grid_min_window_whole(spark, d):
+    return grid_min_window(spark, d, whole=True)
+
+
 EDGES = """edges AS (SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst, 'contraparte' AS kind FROM orders UNION ALL SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey, 'contem' FROM lineitem
   UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'de' FROM customer),
  deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1)"""

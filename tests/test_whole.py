@@ -18,3 +18,15 @@ def test_readers_see_every_ledger_row(spark, sf, name, where):
 
 def test_recall_sees_every_order(spark, sf):
     assert run(spark, sf, "receipt_recall_whole").count() == table(spark, sf, "lineitem").select("l_orderkey").distinct().count()
+
+
+@pytest.mark.parametrize("name", ["link_candidates", "link_decision", "grid_min_window"])
+def test_links_reach_documents_of_every_quantity(spark, sf, name):
+    li = table(spark, sf, "lineitem").selectExpr("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as doc", "l_quantity")
+    assert run(spark, sf, f"{name}_whole").join(li.filter("l_quantity < 49"), "doc", "left_semi").count() > 0
+    assert "l_quantity" not in catalogue.SQL[f"{name}_whole"]
+
+
+def test_crossed_payments_ask_documents_of_every_quantity(spark, sf):
+    assert run(spark, sf, "crossed_payments_whole").count() > run(spark, sf, "crossed_payments").count()
+    assert "l_quantity" not in catalogue.SQL["crossed_payments_whole"]
