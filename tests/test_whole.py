@@ -1,6 +1,7 @@
 """Queries over all rows, where those of the same name without ``_whole`` take the part that their SQL takes."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.plans import catalogue
 from ledgerloom.plans.ledger import ledger, table
@@ -30,3 +31,9 @@ def test_links_reach_documents_of_every_quantity(spark, sf, name):
 def test_crossed_payments_ask_documents_of_every_quantity(spark, sf):
     assert run(spark, sf, "crossed_payments_whole").count() > run(spark, sf, "crossed_payments").count()
     assert "l_quantity" not in catalogue.SQL["crossed_payments_whole"]
+
+
+def test_two_hops_start_at_every_customer(spark, sf):
+    buyers = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey").distinct().count()
+    assert run(spark, sf, "two_hop_items_whole").select("src").distinct().count() == buyers > 20
+    assert "o_custkey <= 20" not in catalogue.SQL["two_hop_items_whole"]
