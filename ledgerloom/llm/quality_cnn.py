@@ -29,6 +29,8 @@ CHANNELS, FILTERS, STEP, GROUPS = 8, 24, 4, 4  # a filter spans STEP * GROUPS by
 BLOCK = 32  # positions in half a chunk
 BLOCK_BYTES = BLOCK * STEP
 LAGS = range(2, 33)
+#: Least padding behind a text, so that neither filters nor the match channel of a text reach another.
+PAD = max(STEP * GROUPS, max(LAGS) + 4)
 #: Labelled rows of each class that a fit may read, and passes over them.
 SAMPLE, EPOCHS = 800, 14
 THRESHOLD = 0.7
@@ -38,7 +40,7 @@ BATCH_BYTES = 1 << 18
 def _laid_out(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all texts, each padded to whole blocks; the match channel; block offsets."""
     size = np.diff(off)
-    blocks = -(-(size + STEP * GROUPS) // BLOCK_BYTES)
+    blocks = -(-(size + PAD) // BLOCK_BYTES)
     boff = np.concatenate(([0], np.cumsum(blocks)))
     out = np.zeros(int(boff[-1]) * BLOCK_BYTES, np.uint8)
     out[np.repeat(boff[:-1] * BLOCK_BYTES - off[:-1], size) + np.arange(len(buf))] = buf
@@ -57,7 +59,9 @@ def _forward(net: dict, out: np.ndarray, match: np.ndarray, boff: np.ndarray):
     x = x.reshape(-1, STEP * CHANNELS)
     wide = x @ net["filters"]  # (positions, GROUPS * FILTERS)
     y = wide[:, :FILTERS].copy()
+    ends = boff[1:-1, None] * BLOCK
     for g in range(1, GROUPS):
+        wide[(ends + np.arange(g)).ravel(), g * FILTERS : (g + 1) * FILTERS] = 0  # only the text before reads these
         y[:-g] += wide[g:, g * FILTERS : (g + 1) * FILTERS]
     y = y.reshape(-1, BLOCK, FILTERS)
     top = np.maximum(y.max(1) + net["shift"], 0)
@@ -104,7 +108,9 @@ def _backward(net: dict, out, boff, kept, dz) -> dict:
     grad["shift"] = dtop.sum(0)
     at = y.argmax(1) + (np.arange(len(y)) * BLOCK)[:, None]  # (blocks, FILTERS)
     filters, embed = np.zeros_like(net["filters"]), np.zeros((256, CHANNELS))
+    end = np.repeat(boff[1:] * BLOCK, np.diff(boff))[:, None]
     for g in range(GROUPS):
+        dtop = np.where(at + g < end, dtop, 0)  # what lies behind a text's blocks counts nothing
         place = np.minimum(at + g, len(x) - 1)
         seen = x[place]  # (blocks, FILTERS, STEP * CHANNELS)
         w = net["filters"][:, g * FILTERS : (g + 1) * FILTERS]

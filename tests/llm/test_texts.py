@@ -207,6 +207,22 @@ def test_models_without_labels_and_columns_kept(spark, docs):
     assert quality_rules.keep_quality_rules(odd, quality_rules.fit_rules(odd, labels)).columns == odd.columns
 
 
+def test_scores_do_not_depend_on_the_texts_beside():
+    rng = np.random.default_rng(5)
+    c = quality_cnn
+    draw = lambda *n: rng.normal(0, 1, n).astype(np.float32)
+    net = {"embed": draw(256, c.CHANNELS), "filters": draw(c.STEP * c.CHANNELS, c.GROUPS * c.FILTERS), "shift": draw(c.FILTERS), "v_mean": draw(c.FILTERS), "v_max": draw(c.FILTERS), "bias": 0.0}
+
+    def logits(texts):
+        return c.logits(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))), net)
+
+    words = [b"the ", b"casa ", b"of the ", b"word "]
+    texts = [b"".join(words[i] for i in rng.integers(0, 4, n // 4))[:n] for n in (0, 1, 92, 96, 108, 111, 112, 113, 236, 240, 368, 700) for _ in range(4)]
+    alone = np.concatenate([logits([t]) for t in texts])
+    for order in (np.arange(len(texts)), np.arange(len(texts))[::-1], rng.permutation(len(texts))):
+        np.testing.assert_allclose(logits([texts[i] for i in order]), alone[order], rtol=1e-4, atol=1e-4)
+
+
 # ---- operator 6
 
 
