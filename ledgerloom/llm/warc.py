@@ -132,15 +132,31 @@ def _reached(offset: np.ndarray, successor: np.ndarray) -> np.ndarray:
     return mark[:n]
 
 
-def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of all archives below ``path``, without those that only payloads contain."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+def _inflated(data: bytes) -> bytes:
+    """An archive's bytes: all gzip members one after the other, or the data itself where it is not compressed."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out, at, member = [], 0, None
+    while at < len(data):
+        member = member or zlib.decompressobj(31)
+        piece = data[at : at + 65536]  # small ones, as what follows a member is copied
+        out.append(member.decompress(piece))
+        at += len(piece) - len(member.unused_data)
+        member = None if member.eof else member
+    if member:
+        raise ValueError("archive ends within a gzip member")
+    return b"".join(out)
+
+
+def read_warc(spark: SparkSession, path: str, payloads: bool = True, pattern: str = "*") -> DataFrame:
+    """The records of all archives below ``path`` whose name fits ``pattern``, without those that only payloads contain."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
     def scan(batches):
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 # offsets are those of the archive's own bytes, before compression
-                rows = list(_candidates(name, zlib.decompress(data.as_py(), 31), payloads))
+                rows = list(_candidates(name, _inflated(data.as_py()), payloads))
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=_CANDIDATES)
 
@@ -159,7 +175,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
-    back = read_warc(spark, path, payloads=False)
+    back = read_warc(spark, path, payloads=False, pattern="part-*")
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
     return back.select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")

@@ -1,5 +1,6 @@
 """URL filter, WARC, chat formatting, the queries with SQL, and the pipeline as a whole."""
 
+import gzip
 import hashlib
 
 import duckdb
@@ -54,6 +55,14 @@ def test_warc_round_trip_with_records_inside_payloads(spark):
     assert got["<urn:page:3>"]["refers_to"] == "<urn:page:2>"
 
 
+@pytest.mark.parametrize("name, pack", [("x.warc.gz", gzip.compress), ("part-1.warc", bytes)])
+def test_warc_of_a_member_for_each_record_and_without_compression(spark, tmp_path, name, pack):
+    body = b"".join(b"%09d" % i for i in range(9000))
+    record = lambda i: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(body), body)
+    (tmp_path / name).write_bytes(b"".join(pack(record(i)) for i in range(5)))
+    assert sorted(r["record_id"] for r in warc.read_warc(spark, str(tmp_path)).collect()) == [f"<urn:page:{i}>" for i in range(5)]
+
+
 def test_chat_is_reversible(spark):
     turns = [
         (1, 2, "assistant", "<|end|> \\ |\\> <\\| |>"), (1, 1, "user", "a<|next|>b"), (1, 3, "assistant", ""), (1, None, "system", None),
