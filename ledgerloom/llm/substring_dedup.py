@@ -1,4 +1,7 @@
-"""Operator 10: substring dedup by prefix-partitioned suffix trees over words.
+"""Operator 10: substring dedup by hashed windows of words, grouped by hashed prefixes.
+
+No suffix tree is built: hashes have no suffix order, and nothing shorter than a window is found. Subtree,
+path and node below name groups of window hashes, the hashes of their prefixes, and runs of equal ones.
 
 A window is ``min_words`` consecutive words of one document, and the first ``min_words`` words of
 the suffix that starts there. A window is a repeat if its words also start a suffix of a document
