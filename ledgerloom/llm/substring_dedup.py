@@ -1,31 +1,32 @@
-"""Operator 10: substring dedup by hashed windows of words, grouped by hashed prefixes.
-
-No suffix tree is built: hashes have no suffix order, and nothing shorter than a window is found. Subtree,
-path and node below name groups of window hashes, the hashes of their prefixes, and runs of equal ones.
-
-A window is ``min_words`` consecutive words of one document, and the first ``min_words`` words of
-the suffix that starts there. A window is a repeat if its words also start a suffix of a document
-with a smaller doc_id; every word that a repeat covers is removed.
-
-1. Documents are packed, compressed, into chunks of about ``CHUNK_BYTES`` of text and stored; each
-   chunk counts its suffixes by ``BINS`` classes of their first ``SHORT`` words.
-2. Which windows can repeat at all: the least hash among a window's ``SHORT``-word runs is the same
-   in every copy, so each chunk sends its distinct least hashes (about a fifth of its words) and gets
-   back those that other chunks have too.
-3. Suffixes whose window can repeat are sent to subtrees by a prefix of variable length: the first
-   ``SHORT`` words, and for classes of more than ``SUBTREE`` suffixes also ``LONG`` words, so that a
-   group fits in memory. A suffix carries the hashes of its prefixes of 5, 9 and ``min_words`` words,
-   which are its path from the root, and the least doc_id of its chunk: equal suffixes of a chunk are
-   one entry before the shuffle, so a passage that a third of all documents share sends one entry a chunk.
-4. A subtree's suffixes are sorted by their paths; runs of equal paths are the internal nodes of depth
-   ``min_words``, the deep nodes. A deep node tells each of its chunks but the one with its least
-   doc_id that the window is a repeat there, in whatever document of that chunk it stands.
-   Deep nodes that follow each other in a document join to its maximal repeats.
-5. Each chunk adds the deep nodes within itself, marks its windows, and cuts.
-
-Both joins with the chunks read one shuffle of them, by the chunk's number.
-
-Hashes are of 64 bits, those of step 2 of 40 bits (they only choose candidates).
+"""Operator 10: substring dedup by prefix-partitioned suffix trees.
+
+A window is ``min_words`` consecutive words of one document. It is a repeat if its words also stand in a
+document with a smaller doc_id; every word that a repeat covers is removed.
+
+The trees are sparse: of a window's ``SHORT``-word runs the one with the least hash is its anchor, the same
+in every copy, and only suffixes that start at an anchor are kept, each with the words before it that
+windows of this anchor reach. A window is then the last l words before an anchor and the first
+``min_words`` - l words of the suffix there, so two suffixes share it just if their common prefix has at
+least ``min_words`` - l words and their words before the anchor agree in the last l.
+
+1. Documents are packed, compressed, into chunks of about ``CHUNK_BYTES`` of text and stored.
+2. Each chunk sends the distinct hashes of its anchors (about a fifth of its words) and gets back those
+   that other chunks have too, with a mark on those that more than ``hot`` chunks have. Hashes decide
+   here no more than which suffixes can share anything.
+3. Suffixes at such anchors are sent, words and all, to subtrees by a prefix: that of ``SHORT`` words, and
+   where it is marked, by the longest that matters, ``min_words`` words from the window's first on, so no
+   frequent phrase gathers all its suffixes. There are as many subtrees as memory asks for. Equal ones of
+   a chunk are one before the shuffle, with the least doc_id: a passage that a third of all documents
+   share sends one suffix a chunk (and a chunk for each ``CHUNK_BYTES`` of all text to one subtree).
+4. A subtree sorts its suffixes word by word; common prefixes of neighbours give its internal nodes at
+   each depth, and the same over the words before the anchor, backwards, gives those of the left tree.
+   Pairs of a node and a left node whose depths make ``min_words`` are the deep nodes. Each tells the
+   suffixes below it but those of its least document which of their windows are repeats; what of them
+   follows each other in a document joins to its maximal repeats.
+5. Each chunk adds the deep nodes within itself by the same tree, marks its windows, and cuts.
+
+Both joins with the chunks read one shuffle of them, by the chunk's number. Words are compared by 64-bit
+hashes of the words themselves; the hashes of step 2 have 40 bits.
 
 Defined cases: a null text has no words; documents shorter than a window keep all words; rows with the
 same doc_id do not remove from each other; a null doc_id counts as greater than any other; an empty
@@ -45,47 +46,99 @@ from pyspark.sql import functions as F
 from . import textkernel as k
 from .common import by_bucket, dealt, stored, table
 
-MIN_WORDS, SHORT, LONG = 13, 5, 9
+MIN_WORDS, SHORT = 13, 5
 CHUNK_BYTES = 1 << 21
-#: Classes of short prefixes, and suffixes in one subtree.
-BINS, SUBTREE = 1024, 2_000_000
-#: Chunks whose distinct least hashes make about one group of step 2.
-CHUNKS_PER_GROUP = 16
+#: Chunks whose distinct anchors make about one group of step 2, and whose suffixes make about one subtree.
+CHUNKS_PER_GROUP, CHUNKS_PER_TREE = 16, 6
+#: Anchors of more chunks than this are split by longer prefixes.
+HOT = 1024
 NO_ID = np.iinfo(np.int64).max
 U = np.uint64
 _LOW40 = U((1 << 40) - 1)
-_CHUNK = "chunk bigint, ids binary, offsets binary, body binary, rest binary, bins binary"
+_CHUNK = "chunk bigint, ids binary, offsets binary, body binary, rest binary"
 
 
 class _Words:
-    """Words, windows and window hashes of a chunk."""
+    """Words of a chunk, its windows (``at``: first words) and the suffixes at their anchors.
+
+    Suffix ``i`` starts at word ``q[i]`` and has the windows whose first words are ``s1[i]`` to ``s2[i]``.
+    """
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, ids: np.ndarray, n: int):
-        self.buf, self.n = buf, n
+        self.buf, self.n, self.short = buf, n, min(SHORT, n)
         self.starts, self.ends, self.woff = k.words(buf, off)
         self.h = k.word_hashes(buf, self.starts, self.ends)
         self.at, self.place = k.window_starts(self.woff, n)
-        self.doc = np.repeat(ids, np.diff(self.place))
-        short = k.window_hashes(self.h, SHORT)
-        least, width = short, 1
-        while width * 2 <= n - SHORT + 1:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        if rest := n - SHORT + 1 - width:
-            least = np.minimum(least[:-rest], least[rest:])
-        self.short, self.least = short[self.at], least[self.at]
-
-    def full(self, which: np.ndarray) -> np.ndarray:
-        return k.window_hashes(self.h, self.n)[self.at[which]]
+        runs = k.window_hashes(self.h, self.short)
+        # the leftmost least hash of the runs in each window
+        reach = n - self.short + 1
+        if len(self.at):
+            anchor = np.lib.stride_tricks.sliding_window_view(runs, reach).argmin(1)[self.at] + self.at
+        else:
+            anchor = self.at
+        new = np.concatenate(([True], anchor[1:] != anchor[:-1])) if len(anchor) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        self.suffix = np.cumsum(new) - 1
+        self.q, self.s1 = anchor[first], self.at[first]
+        self.s2 = self.at[np.append(first[1:], len(self.at)) - 1] if len(first) else self.s1
+        self.least = runs[self.q] if len(first) else np.zeros(0, np.uint64)
+        self.doc = ids[np.searchsorted(self.woff, self.s1, "right") - 1] if len(first) else ids[:0]
+
+    def keys(self) -> np.ndarray:
+        """A hash of each suffix's words and of where among them its anchor stands."""
+        power, inverse = k._powers(len(self.h))
+        total = np.zeros(len(self.h) + 1, np.uint64)
+        np.cumsum(self.h * power, out=total[1:])
+        return k.mix((total[self.s2 + self.n] - total[self.s1]) * inverse[self.s1] + (self.q - self.s1).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
 def _unpack(ids: bytes, offsets: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(zstandard.decompress(body), np.uint8), np.frombuffer(offsets, np.int64), np.frombuffer(ids, np.int64)
 
 
-def _distinct(x: np.ndarray) -> np.ndarray:
-    """Sorted distinct values; neighbours are often equal."""
-    return np.unique(x[np.concatenate(([True], x[1:] != x[:-1]))]) if len(x) else x
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... for ``size[i]`` numbers each."""
+    return np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
+
+
+def deep_windows(h: np.ndarray, off: np.ndarray, left: np.ndarray, doc: np.ndarray, n: int, short: int) -> np.ndarray:
+    """For each suffix a mask: bit l tells that its window with l words before the anchor is in a smaller document too.
+
+    Suffix ``i`` has the words ``h[off[i]:off[i + 1]]`` (hashes); its anchor is the one after ``left[i]`` of them.
+    """
+    size, reach = np.diff(off), n - short
+    right = size - left
+    mask = np.zeros(len(size), np.uint16 if reach < 16 else np.uint64)
+    if len(size) < 2:
+        return mask
+
+    def levels(first: np.ndarray, step: int, depth: int, have: np.ndarray) -> np.ndarray:
+        """Node of each suffix at each depth up to ``depth`` of the tree of the words from ``first`` on."""
+        words = np.zeros((depth, len(size)), np.uint64)
+        for j in range(depth):
+            some = np.flatnonzero(have > j)
+            words[j, some] = h[first[some] + step * j]
+        order = np.lexsort(words[::-1]) if depth else np.arange(len(size))
+        nodes, common = np.zeros((depth + 1, len(size)), np.int32), np.ones(len(size) - 1, bool)
+        for j in range(depth):
+            sorted_ = words[j][order]
+            common &= sorted_[1:] == sorted_[:-1]  # neighbours whose common prefix is longer than j
+            nodes[j + 1, order] = np.concatenate(([0], np.cumsum(~common)))
+        return nodes
+
+    below = levels(off[:-1] + left, 1, n, right)
+    before = levels(off[:-1] + left - 1, -1, reach, left)
+    for l in range(reach + 1):  # noqa: E741
+        some = np.flatnonzero((left >= l) & (right >= n - l))
+        if len(some) < 2:
+            continue
+        deep = below[n - l, some].astype(np.int64) << 32 | before[l, some]
+        order = np.lexsort((doc[some], deep))
+        deep, own = deep[order], doc[some][order]
+        new = np.concatenate(([True], deep[1:] != deep[:-1]))
+        least = own[np.flatnonzero(new)][np.cumsum(new) - 1]
+        mask[some[order[own > least]]] |= mask.dtype.type(1 << l)
+    return mask
 
 
 def pack(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -102,47 +155,30 @@ def pack(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             ids = batch.column(at_id).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             other = batch.drop_columns(["text"]) if len(names) > 1 else batch
             for i, j, b, o in k.chunks(buf, off, CHUNK_BYTES):
-                w = _Words(b, o, ids[i:j], min_words)
-                bins = np.bincount((w.short >> U(54)).astype(np.int64), minlength=BINS).astype(np.int64)
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, other.schema) as out:
                     out.write_batch(other.slice(i, j - i))
                 press = zstandard.ZstdCompressor(9)
-                row = [number, ids[i:j].tobytes(), o.tobytes(), press.compress(b.tobytes()), press.compress(sink.getvalue().to_pybytes()), bins.tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], _CHUNK.replace(" bigint", "").replace(" binary", "").split(", "))
+                row = [ids[i:j].tobytes(), o.tobytes(), press.compress(b.tobytes()), press.compress(sink.getvalue().to_pybytes())]
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], ["chunk", "ids", "offsets", "body", "rest"])
                 number += 1
 
     return stored(docs.mapInArrow(run, _CHUNK), "chunks")
 
 
-def _splits(chunks: DataFrame, subtree: int) -> np.ndarray:
-    """Into how many groups each class of short prefixes is split; tasks send one sum each."""
-
-    def add(batches):
-        total = np.zeros(BINS, np.int64)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.frombuffer(x, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["bins"])
-
-    total = np.zeros(BINS, np.int64)
-    for r in chunks.select("bins").mapInArrow(add, "bins binary").toLocalIterator():
-        total += np.frombuffer(r["bins"], np.int64)
-    # small classes share a group, large ones are split by their longer prefix
-    first = np.cumsum(total) // subtree
-    return np.stack([first, np.maximum(1, -(-total // subtree))], 1)
-
+def _shared_anchors(chunks: DataFrame, min_words: int, groups: int, hot: int) -> DataFrame:
+    """(chunk, anchors): those of a chunk's anchors that other chunks have, in six bytes each: 40 bits and the mark (step 2)."""
 
-def _shared_seeds(chunks: DataFrame, min_words: int, groups: int) -> DataFrame:
-    """(chunk, seeds): for each chunk those of its least hashes that other chunks have (step 2)."""
+    def six(low: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        out = np.ascontiguousarray(low).view(np.uint8).reshape(-1, 8)[:, :6].copy()
+        out[:, 5] = mark
+        return out
 
     def send(batches):
         for batch in batches:
             for chunk, ids, offsets, body in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                least = _distinct(_Words(*_unpack(ids, offsets, body), min_words).least)
-                low = _distinct(np.sort((least & _LOW40) | (((least >> U(40)) % U(groups)) << U(40))))
-                five = np.ascontiguousarray(low).view(np.uint8).reshape(-1, 8)[:, :5]
-                yield from dealt((low >> U(40)).astype(np.int64), {"h": five}, {"chunk": chunk})
+                least = np.unique(_Words(*_unpack(ids, offsets, body), min_words).least & _LOW40)
+                yield from dealt((k.mix(least.copy()) % U(groups)).astype(np.int64), {"h": six(least, 0)[:, :5]}, {"chunk": chunk})
 
     def meet(bucket, held):
         size = [len(x) // 5 for x in held["h"]]
@@ -151,91 +187,115 @@ def _shared_seeds(chunks: DataFrame, min_words: int, groups: int) -> DataFrame:
         h, chunk = h.view(np.uint64).ravel(), np.repeat(np.array(held["chunk"], np.int64), size)
         order = np.argsort(h, kind="stable")
         h, chunk = h[order], chunk[order]
-        same = h[1:] == h[:-1]
-        twice = np.zeros(len(h), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        h = np.ascontiguousarray(h[twice]).view(np.uint8).reshape(-1, 8)[:, :5]
-        yield from dealt(chunk[twice], {"h": h})
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        count = np.diff(np.append(first, len(h)))
+        count = np.repeat(count, count)
+        yield from dealt(chunk[count > 1], {"h": six(h[count > 1], count[count > 1] > hot)})
 
     sent = chunks.select("chunk", "ids", "offsets", "body").mapInArrow(send, "bucket bigint, h binary, chunk bigint")
     back = by_bucket(sent, meet, "bucket bigint, h binary")
-    return back.groupBy(F.col("bucket").alias("chunk")).agg(F.collect_list("h").alias("seeds"))
+    return back.groupBy(F.col("bucket").alias("chunk")).agg(F.collect_list("h").alias("anchors"))
 
 
-def _known(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+def _found(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``x`` are among the sorted values, and where."""
     if not len(sorted_values):
-        return np.zeros(len(x), bool)
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
     at = np.searchsorted(sorted_values, x)
     at[at == len(sorted_values)] = 0
-    return sorted_values[at] == x
+    return sorted_values[at] == x, at
 
 
-def _told(base: DataFrame, seeds: DataFrame, min_words: int, splits: np.ndarray) -> DataFrame:
-    """(chunk, told): windows of a chunk that other chunks have with a smaller doc_id (steps 3 and 4)."""
+def _told(base: DataFrame, anchors: DataFrame, min_words: int, groups: int) -> DataFrame:
+    """(chunk, told): suffixes of a chunk, by their keys, and which of their windows smaller documents elsewhere have (3 and 4)."""
 
     def send(batches):
         for batch in batches:
-            for chunk, ids, offsets, body, seeds in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5))):
-                if not seeds:
+            for chunk, ids, offsets, body, anchors in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5))):
+                if not anchors:
                     continue
                 w = _Words(*_unpack(ids, offsets, body), min_words)
-                five = np.frombuffer(b"".join(seeds), np.uint8).reshape(-1, 5)
-                known = np.zeros((len(five), 8), np.uint8)
-                known[:, :5] = five
-                which = np.flatnonzero(_known(np.unique(known.view(np.uint64).ravel()), w.least & _LOW40))
-                full, doc = w.full(which), w.doc[which]
-                # one entry for equal suffixes, with their least document
-                order = np.lexsort((doc, full))
-                order = order[np.concatenate(([True], np.diff(full[order]) != 0))] if len(order) else order
-                order = np.sort(order)  # by document again: runs of one doc_id compress well
-                which, full, doc = which[order], full[order], doc[order]
-                short, long = w.short[which], k.window_hashes(w.h, min(LONG, min_words))[w.at[which]]
-                group, parts = splits[(short >> U(54)).astype(np.int64)].T
-                bucket = (group << 31) + (long >> U(20)).astype(np.int64) % parts
-                # the path: 16 bits for each of the two upper nodes, 64 for the deep one
-                path = ((short & U(0xFFFF)) << U(16) | long & U(0xFFFF)).astype(np.uint32)
-                yield from dealt(bucket, {"path": path, "h": full, "d": doc}, {"chunk": chunk})
+                raw = np.frombuffer(b"".join(anchors), np.uint8).reshape(-1, 6)
+                known = np.zeros((len(raw), 8), np.uint8)
+                known[:, :5] = raw[:, :5]
+                known = known.view(np.uint64).ravel()
+                order = np.argsort(known)
+                yes, place = _found(known[order], w.least & _LOW40)
+                which = np.flatnonzero(yes)
+                marked = raw[order[place[which]], 5] > 0
+                # one of equal suffixes, with their least document
+                key, doc = w.keys()[which], w.doc[which]
+                order = np.lexsort((doc, key))
+                order = order[np.concatenate(([True], np.diff(key[order]) != 0))] if len(order) else order
+                which, key, doc, marked = which[order], key[order], doc[order], marked[order]
+                s1, end, q, shift = w.s1[which], w.s2[which] + min_words, w.q[which], np.zeros(len(which), np.int64)
+                bucket = (k.mix(w.least[which] + U(1)) % U(groups)).astype(np.int64)
+                if marked.any():
+                    # each window becomes a suffix of its own that starts with its first word
+                    lone, many = ~marked, np.flatnonzero(marked)
+                    count = (end - s1 - min_words + 1)[many]
+                    from_ = np.repeat(many, count)
+                    begin = _spread(s1[many], count)
+                    long = (k.mix(k.window_hashes(w.h, min_words)[begin] + U(1)) % U(groups)).astype(np.int64)
+                    shift = np.concatenate([shift[lone], q[from_] - begin])
+                    key, doc = np.concatenate([key[lone], key[from_]]), np.concatenate([doc[lone], doc[from_]])
+                    bucket = np.concatenate([bucket[lone], groups + long])
+                    s1, end, q = np.concatenate([s1[lone], begin]), np.concatenate([end[lone], begin + min_words]), np.concatenate([q[lone], begin])
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)])) if len(order) else [0]
+                press = zstandard.ZstdCompressor(3)
+                rows = []
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    own = order[a:b]
+                    which_words = _spread(s1[own], (end - s1)[own])
+                    text, _ = _joined(w.buf, w.starts[which_words], w.ends[which_words])
+                    small = np.stack([q[own] - s1[own], (end - s1)[own], shift[own]], 1).astype(np.uint8 if min_words < 100 else np.uint16)
+                    rows.append((int(bucket[own[0]]), key[own].tobytes(), doc[own].tobytes(), small.tobytes(), press.compress(text.tobytes()), chunk))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4, pa.int64()))], ["bucket", "key", "d", "small", "text", "chunk"])
 
     def subtree(bucket, held):
-        size = [len(x) // 8 for x in held["h"]]
-        path, h, d = (np.frombuffer(b"".join(held[c]), t) for c, t in (("path", np.uint32), ("h", np.uint64), ("d", np.int64)))
-        chunk = np.repeat(np.array(held["chunk"], np.int64), size)
-        order = np.lexsort((d, h, path))  # suffixes in the order of their paths
-        path, h, d, chunk = path[order], h[order], d[order], chunk[order]
-        deep = (path[1:] == path[:-1]) & (h[1:] == h[:-1])  # common prefix of neighbours reaches min_words
-        node = np.concatenate(([0], np.cumsum(~deep)))
-        first = np.concatenate(([0], np.flatnonzero(~deep) + 1))
-        least = d[first][node]
-        tell = d > least
-        yield from dealt(chunk[tell], {"h": h[tell]})
+        key, d = (np.frombuffer(b"".join(held[c]), t) for c, t in (("key", np.uint64), ("d", np.int64)))
+        left, size, shift = np.frombuffer(b"".join(held["small"]), np.uint8 if min_words < 100 else np.uint16).reshape(-1, 3).astype(np.int64).T
+        hashes = []
+        for text in held["text"]:
+            text = np.frombuffer(zstandard.decompress(text), np.uint8)
+            starts, ends, _ = k.words(text, np.array([0, len(text)]))
+            hashes.append(k.word_hashes(text, starts, ends))
+        off = np.concatenate(([0], np.cumsum(size)))
+        mask = deep_windows(np.concatenate(hashes), off, left, d, min_words, min_words if bucket >= groups else min(SHORT, min_words))
+        chunk = np.repeat(np.array(held["chunk"], np.int64), [len(x) // 8 for x in held["key"]])
+        tell = np.flatnonzero(mask)
+        yield from dealt(chunk[tell], {"key": key[tell], "mask": mask[tell].astype(np.uint64) << shift[tell].astype(np.uint64)})
 
     # the same columns and kind of join as the last join, so that both read one shuffle of the chunks
-    ready = base.join(seeds, "chunk", "left").select(*base.columns, "seeds")
-    sent = ready.mapInArrow(send, "bucket bigint, path binary, h binary, d binary, chunk bigint")
-    back = by_bucket(sent, subtree, "bucket bigint, h binary")
-    return back.groupBy(F.col("bucket").alias("chunk")).agg(F.collect_list("h").alias("told"))
+    ready = base.join(anchors, "chunk", "left").select(*base.columns, "anchors")
+    sent = ready.mapInArrow(send, "bucket bigint, key binary, d binary, small binary, text binary, chunk bigint")
+    back = by_bucket(sent, subtree, "bucket bigint, key binary, mask binary")
+    return back.groupBy(F.col("bucket").alias("chunk")).agg(F.collect_list(F.struct("key", "mask")).alias("told"))
 
 
-def _repeats(w: _Words, told: list[bytes]) -> np.ndarray:
+def _repeats(w: _Words, told: list[dict]) -> np.ndarray:
     """Which windows of a chunk are repeats."""
-    least = w.doc.copy()
-    elsewhere = _known(np.sort(np.frombuffer(b"".join(told), np.uint64)), k.window_hashes(w.h, w.n)[w.at]) if told else np.zeros(len(w.at), bool)
-    # within the chunk: only windows whose least hash two of its documents have
-    change = np.concatenate(([True], (w.least[1:] != w.least[:-1]) | (w.doc[1:] != w.doc[:-1]))) if len(w.least) else np.zeros(0, bool)
-    seed, doc = w.least[change], w.doc[change]
-    order = np.lexsort((doc, seed))
-    seed, doc = seed[order], doc[order]
-    two = np.unique(seed[1:][(seed[1:] == seed[:-1]) & (doc[1:] != doc[:-1])])
-    which = np.flatnonzero(_known(two, w.least))
+    mask = np.zeros(len(w.q), np.uint64)
+    if told:
+        key, said = (np.frombuffer(b"".join(t[c] for t in told), np.uint64) for c in ("key", "mask"))
+        order = np.argsort(key, kind="stable")
+        key, said = key[order], said[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        said = np.bitwise_or.reduceat(said, first)
+        yes, place = _found(key[first], w.keys())
+        mask[yes] = said[place[yes]]
+    # within the chunk: suffixes at anchors that two of its documents have
+    order = np.lexsort((w.doc, w.least))
+    anchor, doc = w.least[order], w.doc[order]
+    two = np.unique(anchor[1:][(anchor[1:] == anchor[:-1]) & (doc[1:] != doc[:-1])])
+    which = np.flatnonzero(_found(two, w.least)[0])
     if len(which):
-        full, doc = w.full(which), w.doc[which]
-        order = np.lexsort((doc, full))
-        new = np.concatenate(([True], np.diff(full[order]) != 0))
-        first = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        which = which[order]
-        least[which] = np.minimum(least[which], first)
-    return elsewhere | (least < w.doc)
+        size = w.s2[which] + w.n - w.s1[which]
+        off = np.concatenate(([0], np.cumsum(size)))
+        mask[which] |= deep_windows(w.h[_spread(w.s1[which], size)], off, (w.q - w.s1)[which], w.doc[which], w.n, w.short)
+    return (mask[w.suffix] >> (w.q[w.suffix] - w.at).astype(np.uint64) & U(1)) > 0
 
 
 def _joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,15 +308,17 @@ def _joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return out, to
 
 
-def _cut(docs: DataFrame, min_words: int, subtree: int, finish, schema) -> DataFrame:
+def _cut(docs: DataFrame, min_words: int, hot: int, finish, schema) -> DataFrame:
     """Runs all steps; ``finish(words, offsets, gone, ids, rest)`` makes the rows of a chunk."""
+    if min_words - min(SHORT, min_words) > 63:
+        raise ValueError("windows of at most 68 words")
     chunks = pack(docs.select(*[F.col(c) for c in docs.columns]), min_words)
     n = chunks.count()
     spark = docs.sparkSession
     parts = max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     base = chunks.select("chunk", "ids", "offsets", "body", "rest").repartition(parts, "chunk")
-    seeds = _shared_seeds(chunks, min_words, -(-n // CHUNKS_PER_GROUP) or 1)
-    told = _told(base, seeds, min_words, _splits(chunks, subtree))
+    anchors = _shared_anchors(chunks, min_words, -(-n // CHUNKS_PER_GROUP) or 1, hot)
+    told = _told(base, anchors, min_words, -(-n // CHUNKS_PER_TREE) or 1)
 
     def run(batches):
         for batch in batches:
@@ -284,10 +346,10 @@ def _digest(w: _Words, off, gone, ids, rest) -> pa.RecordBatch:
     )
 
 
-def repeat_digests(docs: DataFrame, min_words: int = MIN_WORDS, subtree: int = SUBTREE) -> DataFrame:
+def repeat_digests(docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT) -> DataFrame:
     """(doc_id, text) -> doc_id, n_words, n_removed, kept_sha256."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _cut(ids, min_words, subtree, _digest, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return _cut(ids, min_words, hot, _digest, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def _spans(w: _Words, off, gone, ids, rest) -> pa.RecordBatch:
@@ -302,13 +364,13 @@ def _spans(w: _Words, off, gone, ids, rest) -> pa.RecordBatch:
     )
 
 
-def repeat_spans(docs: DataFrame, min_words: int = MIN_WORDS, subtree: int = SUBTREE) -> DataFrame:
+def repeat_spans(docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT) -> DataFrame:
     """(doc_id, first_word, n_words): the maximal runs of words that repeats cover."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _cut(ids, min_words, subtree, _spans, "doc_id bigint, first_word bigint, n_words bigint")
+    return _cut(ids, min_words, hot, _spans, "doc_id bigint, first_word bigint, n_words bigint")
 
 
-def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, subtree: int = SUBTREE) -> DataFrame:
+def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT) -> DataFrame:
     """``docs`` with repeats cut from the texts, all columns as they are but ``n_chars`` counted anew.
 
     A removed word goes with the white space after it; texts without repeats stay byte by byte.
@@ -341,7 +403,7 @@ def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, subtree: int = SUBT
 
     import pyarrow.compute  # noqa: F401  pa.compute is used in finish
 
-    return _cut(docs, min_words, subtree, finish, schema)
+    return _cut(docs, min_words, hot, finish, schema)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
