@@ -315,27 +315,105 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept[None] == 1 and kept[7000] == 1 and kept[7001] == 0
 
 
+def _jaccard_pairs(texts, n=5, least=0.8):
+    """All pairs of different word sets with a likeness of ``least`` in distinct n-word shingles, by an inverted index."""
+    sets = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (words(t.lower()) for t in texts)]
+    rows, shared = {}, Counter()
+    for i, x in enumerate(sets):
+        for g in x:
+            rows.setdefault(g, []).append(i)
+    for ids in rows.values():
+        if len(ids) < 300:
+            shared.update((a, b) for j, b in enumerate(ids) for a in ids[:j])
+    return [(a, b) for (a, b), c in shared.items() if c >= least * (len(sets[a]) + len(sets[b]) - c) and sets[a] != sets[b]]
+
+
+def test_similar_groups_find_pairs_of_the_stated_similarity(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").filter("text is not null").collect()
+    one_each = list({" ".join(words(r["text"].lower())): r for r in rows}.values())
+    pairs = _jaccard_pairs([r["text"] for r in one_each])
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    linked = sum(found[one_each[a]["doc_id"]] == found[one_each[b]["doc_id"]] for a, b in pairs)
+    assert len(pairs) > 20 and linked >= 0.9 * len(pairs)
+
+
+def test_simhash_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (3, "x y z"), (None, "only here"), (9, None), (8, "")]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as fp", "'x' as component_id")
+    got = Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect())
+    assert got == Counter([(None, 5), (5, 5), (5, 5), (3, 3), (None, None), (9, 8), (8, 8)])
+    assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.keep_first(empty(spark)).count() == 0
+
+
 # ---- operator 10
 
 
-@pytest.mark.parametrize("subtree", [2_000_000, 5])
-def test_substring_dedup(spark, docs, texts, subtree, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 2000)
-    n = 13
-    got = by_id(substring_dedup.repeat_digests(docs.dropDuplicates(), n, subtree))
+def _removed(rows, n):
+    """For each row the words that stay: those outside windows that a row of a smaller id has; null ids come last."""
+    key = lambda d: float("inf") if d is None else d
     first = {}
-    for i, t in enumerate(texts):
+    for d, t in rows:
         w = words(t)
         for j in range(len(w) - n + 1):
-            first.setdefault(tuple(w[j : j + n]), 10 * i + 3)
-    for i, t in enumerate(texts):
-        w, d = words(t), 10 * i + 3
-        gone = {j + x for j in range(len(w) - n + 1) if first[tuple(w[j : j + n])] < d for x in range(n)}
-        kept = [x for j, x in enumerate(w) if j not in gone]
-        assert (got[d]["n_words"], got[d]["n_removed"]) == (len(w), len(gone))
-        assert got[d]["kept_sha256"] == hashlib.sha256(" ".join(kept).encode()).hexdigest()
-    cut = by_id(substring_dedup.cut_repeats(docs.dropDuplicates().selectExpr("*", "length(text) as n_chars", "1 as told"), n, subtree))
-    for d, r in cut.items():
-        assert hashlib.sha256(" ".join(words(r["text"])).encode()).hexdigest() == got[d]["kept_sha256"]
+            first[tuple(w[j : j + n])] = min(key(d), first.get(tuple(w[j : j + n]), float("inf")))
+    out = []
+    for d, t in rows:
+        w = words(t)
+        gone = {j + x for j in range(len(w) - n + 1) if first[tuple(w[j : j + n])] < key(d) for x in range(n)}
+        kept = " ".join(x for j, x in enumerate(w) if j not in gone)
+        out.append((d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1024, 1])
+@pytest.mark.parametrize("n", [13, 4])
+def test_substring_dedup(spark, texts, hot, n, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 2000)
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(10 * i + 3, t) for i, t in enumerate(texts)]
+    rows += [(1000 + i, " ".join(f"w{x}" for x in rng.integers(0, 3, 60))) for i in range(20)]  # few words: many ties of hashes
+    rows += [(2000 + i, f"a{i} {passage} b{i} c{i} {passage[:-4]}") for i in range(40)]
+    rows += [(None, passage), (None, passage + " end"), (2005, "again " + passage), rows[8], rows[8], (7, "x" * 5000 + " " + passage)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = [tuple(r) for r in substring_dedup.repeat_digests(docs.selectExpr("*", "1 as key", "'y' as chunk"), n, hot).collect()]
+    assert Counter(got) == Counter(_removed(rows, n))
+    whole = {}
+    for d, _, gone, sha in got:
+        whole.setdefault(d, []).append((sha, gone))
+    cut = substring_dedup.cut_repeats(docs.selectExpr("*", "length(text) as n_chars", "1 as told"), n, hot).collect()
+    assert len(cut) == len(rows)
+    for r in cut:
+        assert hashlib.sha256(" ".join(words(r["text"])).encode()).hexdigest() in {sha for sha, _ in whole[r["doc_id"]]}
         assert r["told"] == 1 and (r["n_chars"] in (None, len(r["text"])))
+    spans = Counter()
+    for r in substring_dedup.repeat_spans(docs, n, hot).collect():
+        spans[r["doc_id"]] += r["n_words"]
+    assert spans == Counter({d: x for d, x in ((d, sum(g for _, g in v)) for d, v in whole.items()) if x})
     assert substring_dedup.repeat_digests(empty(spark)).count() == 0
+
+
+def test_deep_windows_equal_brute_force():
+    rng, n, short = np.random.default_rng(4), 6, 2
+    for _ in range(30):
+        rows = []
+        for _ in range(60):
+            left = int(rng.integers(0, n - short + 1))
+            right = int(rng.integers(max(short, n - left), n + 1))
+            rows.append((left, rng.integers(1, 3, left + right).astype(np.uint64), int(rng.integers(0, 20))))
+        h, off = np.concatenate([w for _, w, _ in rows]), np.concatenate(([0], np.cumsum([len(w) for _, w, _ in rows])))
+        got = substring_dedup.deep_windows(h, off, np.array([x for x, _, _ in rows]), np.array([d for _, _, d in rows]), n, short)
+        window = lambda left, w, l: tuple(w[left - l : left - l + n]) if l <= left and len(w) - left >= n - l else None  # noqa: E731, E741
+        for l in range(n - short + 1):  # noqa: E741
+            least = {}
+            for left, w, d in rows:
+                least[window(left, w, l)] = min(d, least.get(window(left, w, l), d))
+            want = [window(left, w, l) is not None and least[window(left, w, l)] < d for left, w, d in rows]
+            assert [bool(m >> l & 1) for m in got.tolist()] == want
+
+
+def test_maximal_repeats_join_in_the_document(spark):
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(1, f"a b c {shared} d e"), (2, f"x {shared} y z"), (3, " ".join(shared.split()[5:25]) + " tail")]
+    got = {(r["doc_id"], r["first_word"], r["n_words"]) for r in substring_dedup.repeat_spans(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(2, 1, 40), (3, 0, 20)}
