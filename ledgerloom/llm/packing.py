@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import shuffle_partitions, stored, table
 
 CAPACITY, END_ID = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Characters that are encoded in one go, and pieces in one salt.
-ENCODE_CHARS, SALT_ROWS = 3_000_000, 100_000
+#: Characters that are encoded in one go.
+ENCODE_CHARS = 3_000_000
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -117,12 +117,12 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                         out.append((doc, n, start, length, zlib.crc32(seen.tobytes()), seen.astype(np.int64) if ids else None))
                         start += length
                 columns = list(zip(*out))
-                arrays = [pa.array(c, pa.int64()) for c in columns[:5]]
+                arrays = [pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(columns[:5])]
                 if ids:
                     arrays.append(pa.array(columns[5], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
 
-    schema = "doc_id bigint, piece bigint, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * ids
+    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
@@ -139,7 +139,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
     histogram = cut.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``capacity`` rows
     counts = {r["length"]: r["n"] for r in histogram}
     places = Places(plan(counts, capacity))
-    salts = max(1, -(-sum(counts.values()) // SALT_ROWS))
+    salts = shuffle_partitions(docs.sparkSession)  # a length's pieces spread over all tasks, whatever their number
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     groups = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.coalesce(
