@@ -22,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ _TIMES = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * U(2) + U(1)
 _LOW52 = U((1 << 52) - 1)
 #: Texts in one chunk; their number fits the upper 12 bits of a sorting key.
 _TEXTS = 4000
+#: Ranges of ids at most.
+RANGES = 65536
 
 
 def terms(buf: np.ndarray, off: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,21 +138,22 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Rows (range, tail, doc_id, text), dealt by range and sorted so that each row's neighbour follows it.
 
-    At most 4096 ranges, bounded by quantiles of the ids; only their bounds and the first ids of each
-    come to the driver. A row with ``tail`` is the first of the range below (of the topmost for the last).
+    Eight ranges a shuffle partition (at most ``RANGES``), bounded by quantiles of the ids; only their bounds and
+    the first ids of each come to the driver. A row with ``tail`` is the first of the range below (of the topmost
+    for the last).
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = shuffle_partitions(spark)
-    ranges = min(4096, ranges or 8 * n)
+    ranges = min(RANGES, ranges or 8 * n)
     cuts = rows.filter("doc_id is not null").stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
     cuts = sorted({int(c) for c in cuts})
     blocks = [cuts[i : i + 64] for i in range(0, len(cuts), 64)] or [[]]
-    longs = lambda x: F.array(*[F.lit(v).cast("long") for v in x]).cast("array<bigint>")
+    longs = lambda x: F.from_json(F.lit(json.dumps(x)), "array<bigint>")  # noqa: E731  a literal, once folded
     below = lambda a: F.size(F.filter(a, lambda c: c < F.col("doc_id")))
     block = F.least(below(longs([b[-1] for b in blocks if b])), F.lit(len(blocks) - 1))
     rows = rows.withColumn("block", block)
-    rows = rows.withColumn("range", F.col("block") * 64 + below(F.get(F.array(*map(longs, blocks)), F.col("block"))))
+    rows = rows.withColumn("range", F.col("block") * 64 + below(F.get(F.from_json(F.lit(json.dumps(blocks)), "array<array<bigint>>"), F.col("block"))))
     heads = {r["range"]: r["head"] for r in rows.groupBy("range").agg(F.max("doc_id").alias("head")).collect()}
     order = sorted(heads, reverse=True)
     above = {r: order[i - 1] for i, r in enumerate(order)}  # the topmost goes to the lowest
@@ -160,7 +164,8 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     own = place(F.col("range"), False)
     places = F.when(F.col("doc_id").eqNullSafe(head), F.array(own, place(target, True))).otherwise(F.array(own))
     dealt = rows.select("doc_id", "text", F.explode(places).alias("p")).select("p.range", "p.tail", "doc_id", "text")
-    return dealt.repartition(n, "range").sortWithinPartitions("range", "tail", F.col("doc_id").desc_nulls_last(), "text")
+    # neighbouring ranges go to one task, each task gets about as many
+    return dealt.repartitionById(n, (F.col("range") * n / F.lit(size)).cast("int")).sortWithinPartitions("range", "tail", F.col("doc_id").desc_nulls_last(), "text")
 
 
 _FIELDS = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
