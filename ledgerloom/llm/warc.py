@@ -1,9 +1,11 @@
-"""Operator 8: WARC archives, written by Spark's text writer and read back by boundary chains.
+"""Operator 8: WARC archives of one gzip member a record, read back by boundary chains.
 
-Writing: one record per page, one gzip archive per write task and ``records_per_file`` pages. Of
-pages with equal payloads of at least ``min_revisit`` bytes those with the smallest page_id become
-``response`` records and the others ``revisit`` records without payload, which name the response
-and carry length and digest of the full payload.
+Writing: one record per page; of pages with equal payloads of at least ``min_revisit`` bytes those with the
+smallest page_id become ``response`` records and the others ``revisit`` records without payload, which name
+the response and carry length and digest of the full payload. A task makes each record a gzip member of its
+own and starts a new archive when the one at hand would exceed ``archive_bytes`` before compression, so an
+archive is as large as that or as its only record. Spark's text writer puts the members down; its line
+separator is the zero byte that ends a member of less than 16 MiB (a larger one is followed by a zero byte).
 
 Reading: every archive is searched for all places where the version line stands with a readable
 header, and for each of them the offset of its successor (header, block, two line ends) is
@@ -12,8 +14,8 @@ emitted. These candidates also hold version lines inside payloads. Pointer jumpi
 the file's start, and only that is kept; bytes after a broken link are not records.
 
 Defined cases: a null html is an empty payload; pages with a null page_id are responses unless an
-equal payload has a page with an id; rows that repeat the smallest page_id are all responses; line
-ends and control characters in a url are percent-encoded; a null url is left out; an empty
+equal payload has a page with an id; rows that repeat the smallest page_id are all responses; white space
+and control characters in a url are percent-encoded; a null url is left out; an empty
 table gives no archive and no rows; other columns are ignored.
 """
 
@@ -23,6 +25,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -33,49 +36,62 @@ from .common import table, work_dir
 
 VERSION = b"WARC/1.1\r\n"
 MIN_REVISIT = 100
-#: Bounds an archive's size, and with it what one reading task holds.
-RECORDS_PER_FILE = 1000
-CRLF = "\r\n"
+#: Bytes of an archive before compression; what one reading task holds.
+ARCHIVE_BYTES = 1 << 26
+_BAD = re.compile("[\x00-\x20\x7f-\x9f\u2028\u2029]")
 
 
-def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """(page_id, url, html) -> (value): the text of each record without its two final line ends."""
+def revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """(page_id, url, html, digest, first): ``first`` is the page that a revisit refers to, null for responses."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html")).withColumns(
-        {"digest": F.sha2("html", 256), "bytes": F.octet_length("html")}
-    )
+    rows = pages.select("page_id", "url", html.alias("html")).withColumn("digest", F.sha2("html", 256))
     # the first page of each payload: pre-aggregated, one row a digest
-    first = rows.filter(F.col("bytes") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"))
-    rows = rows.join(first, "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    url = F.col("url")
-    for bad, good in (("%0D", "\r"), ("%0A", "\n"), ("%09", "\t"), ("%00", "\0")):
-        url = F.replace(url, F.lit(good), F.lit(bad))
-    head = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
-    http = F.concat(
-        F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=UTF-8{CRLF}Content-Length: "),
-        F.col("bytes").cast("string"), F.lit(CRLF + CRLF),
-    )
-    block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
-    value = F.concat(
-        F.lit(VERSION.decode()),
-        head("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        head("WARC-Record-ID", F.coalesce(urn(F.col("page_id")), F.lit("<urn:page:none>"))),
-        head("WARC-Target-URI", url),
-        head("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        head("WARC-Refers-To", F.when(revisit, urn(F.col("first")))),
-        head("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-        head("Content-Type", F.lit("application/http;msgtype=response")),
-        head("Content-Length", F.octet_length(block).cast("string")),
-        F.lit(CRLF), block,
-    )
-    return rows.select(value.alias("value"))
+    first = rows.filter(F.octet_length("html") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"))
+    own = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    return rows.join(first, "digest", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "digest", own.cast("long").alias("first"))
+
+
+def _record(page_id: int | None, url: str | None, html: bytes, digest: str, first: int | None) -> bytes:
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n" % len(html)
+    block = http if first is not None else http + html
+    head = {
+        "WARC-Type": "response" if first is None else "revisit",
+        "WARC-Record-ID": f"<urn:page:{'none' if page_id is None else page_id}>",
+        "WARC-Target-URI": None if url is None else _BAD.sub(lambda m: quote(m[0], safe=""), url),
+        "WARC-Payload-Digest": f"sha256:{digest}",
+        "WARC-Refers-To": None if first is None else f"<urn:page:{first}>",
+        "WARC-Profile": None if first is None else "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+        "Content-Type": "application/http;msgtype=response",
+        "Content-Length": str(len(block)),
+    }
+    lines = "".join(f"{name}: {value}\r\n" for name, value in head.items() if value is not None)
+    return VERSION + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def members(pages: DataFrame, min_revisit: int = MIN_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """(archive, member): gzip members without the zero byte at their end; archives are numbered in each task."""
+
+    def run(batches):
+        archive, held = 0, 0
+        for batch in batches:
+            rows = []
+            for page_id, url, html, digest, first in zip(*(batch.column(i) for i in range(5))):
+                record = _record(page_id.as_py(), url.as_py(), html.as_py().encode(), digest.as_py(), first.as_py())
+                if held and held + len(record) > archive_bytes:
+                    archive, held = archive + 1, 0
+                held += len(record)
+                press = zlib.compressobj(6, zlib.DEFLATED, 31)
+                rows.append((archive, (press.compress(record) + press.flush()).removesuffix(b"\0")))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary()))], ["archive", "member"])
 
+    return revisits(pages, min_revisit).mapInArrow(run, "archive bigint, member binary")
 
-def write_warc(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Writes archives below ``path``; each record ends with two line ends."""
-    records(pages, min_revisit).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+
+def write_warc(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes archives below ``path``, in one folder for each number of archives in a task."""
+    rows = members(pages, min_revisit, archive_bytes).select("archive", F.col("member").cast("string").alias("value"))
+    rows.write.partitionBy("archive").option("lineSep", "\0").text(path)
 
 
 _CANDIDATES = pa.schema(
@@ -133,11 +149,17 @@ def _reached(offset: np.ndarray, successor: np.ndarray) -> np.ndarray:
 
 
 def _inflated(data: bytes) -> bytes:
-    """An archive's bytes: all gzip members one after the other, or the data itself where it is not compressed."""
+    """An archive's bytes: all gzip members one after the other, or the data itself where it is not compressed.
+
+    Zero bytes between members are passed over.
+    """
     if data[:2] != b"\x1f\x8b":
         return data
     out, at, member = [], 0, None
     while at < len(data):
+        if member is None and not data[at]:
+            at += 1  # padding between members
+            continue
         member = member or zlib.decompressobj(31)
         piece = data[at : at + 65536]  # small ones, as what follows a member is copied
         out.append(member.decompress(piece))
@@ -150,7 +172,7 @@ def _inflated(data: bytes) -> bytes:
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True, pattern: str = "*") -> DataFrame:
     """The records of all archives below ``path`` whose name fits ``pattern``, without those that only payloads contain."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def scan(batches):
         for batch in batches:
