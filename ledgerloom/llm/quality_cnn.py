@@ -1,7 +1,7 @@
 """Operator 4: quality classifier - a byte-level convolutional network in numpy.
 
-A text's UTF-8 bytes get an embedding (7 learned channels; the eighth says whether the four bytes
-here also stand 2 to 32 bytes before). Filters of 16 bytes are applied at every fourth byte of the
+A text's UTF-8 bytes get an embedding (7 learned channels; the eighth is given, not learned: it says whether
+the four bytes here also stand 2 to 32 bytes before). Filters of 16 bytes are applied at every fourth byte of the
 whole text and max-pooled over chunks of 256 bytes that overlap by half; the chunks' mean and
 maximum of each filter are combined into one logit and, after Platt scaling on rows left out
 of the fit, one probability.

@@ -81,6 +81,20 @@ def test_fingerprints_of_neighbours(docs, texts):
         assert got[d]["near_edited"] == (a == b).mean() and got[d]["near_next"] == (a == c).mean()
 
 
+def test_fingerprints_of_null_repeated_and_few_rows(spark):
+    rows = [(5, "a b c"), (5, "a b c"), (None, "x"), (9, None)]
+    got = fingerprint.edited_likeness(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as range", "2 as tail")).collect()
+    assert Counter((r["doc_id"], r["n_chars"]) for r in got) == Counter([(5, 5), (5, 5), (None, 1), (9, 0)])
+    (alone,) = fingerprint.edited_likeness(spark.createDataFrame([(1, "abcdef")], SCHEMA)).collect()
+    assert alone["near_next"] == 1.0 and alone["edited_sha256"] == hashlib.sha256(b"abcabc").hexdigest()
+    assert fingerprint.edited_likeness(empty(spark)).count() == 0
+    many = spark.createDataFrame([(i, f"t{i}") for i in range(500)], SCHEMA)
+    for ranges in (1, 3, 200):
+        got = {r["doc_id"]: r["edited_sha256"] for r in fingerprint.edited_likeness(many, ranges).collect()}
+        edit = lambda i: (a := f"t{i}")[: len(a) - len(a) // 2] + f"t{(i - 1) % 500}"[: len(a) // 2]
+        assert got == {i: hashlib.sha256(edit(i).encode()).hexdigest() for i in range(500)}
+
+
 # ---- operator 2
 
 
@@ -178,6 +192,17 @@ def test_quality_rules_counts(docs, texts):
         assert not (r["kept"] and r["base_failed"])
 
 
+def test_rule_scores_do_not_depend_on_the_texts_beside(texts):
+    rng = np.random.default_rng(5)
+    model = {"weights": [rng.normal(0, 1, 1 << quality_rules.BITS).astype(np.float32) for _ in range(3)], "bias": 0.3, "a": 1.1, "b": -0.2}
+    own = [t for t in texts if t is not None]
+    alone = [quality_rules.score(*k.utf8(pa.array([t])), model)[0] for t in own]
+    for order in (range(len(own)), rng.permutation(len(own))):
+        assert quality_rules.score(*k.utf8(pa.array([own[i] for i in order])), model).tolist() == [alone[i] for i in order]
+    grams = quality_rules._features(*k.utf8(pa.array(["é日🙂aé日🙂a"])))[2]
+    assert len(grams[0]) == 5 and grams[0][0] == grams[0][4]
+
+
 def _auc(p, y):
     order = np.argsort(np.argsort(p))
     good = y == 1

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -39,6 +40,54 @@ def test_url_rules_and_reputation(spark):
     assert got[5][:3] == ("", "", None) and got[6][:3] == ("", "", None) and got[7][2:] == (None, "allow") and got[8] == ("b.bad.example", "/p", None, "block")
 
 
+def test_sites_suffixes_and_domains(spark):
+    hosts = [("a.b.co.uk", "co.uk", "b.co.uk"), ("co.uk", "co.uk", "co.uk"), ("u@x.example.com:8080", "com", "example.com"), ("10.0.0.1:80", "10.0.0.1", "10.0.0.1"),
+             ("[::1]:80", "[::1]", "[::1]"), ("localhost", "localhost", "localhost"), ("", "", ""), ("example.org.", "org", "example.org")]
+    df = spark.createDataFrame([(h,) for h, _, _ in hosts], "host string").withColumn("site", url_filter.site_of(url_filter.F.col("host")))
+    got = {r["host"]: (r["s"], r["d"]) for r in df.select("host", url_filter.suffix_of(url_filter.F.col("site")).alias("s"), url_filter.domain_of(url_filter.F.col("site")).alias("d")).collect()}
+    assert got == {h: (s, d) for h, s, d in hosts}
+
+
+def test_reputation_is_shared_by_domain_but_not_by_public_suffix(spark):
+    pages = [(i, f"http://h{i % 7}.bad.co.uk/{i}") for i in range(70)] + [(100 + i, f"http://h{i}.good.co.uk:81/{i}") for i in range(70)]
+    pages += [(300, "http://new.bad.co.uk/"), (301, "http://new.good.co.uk/"), (302, "http://other.co.uk/")]
+    outcomes = [(i, int(i < 70)) for i in [*range(70), *range(100, 170)]] * 2
+    frames = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad int").distinct()
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(*frames).collect()}
+    assert got[300] == "block" and got[301] == "allow" and got[302] == "allow" and got[5] == "block" and got[105] == "allow"
+    assert url_filter.filter_urls(frames[0].limit(0), frames[1]).count() == 0
+    assert {r["verdict"] for r in url_filter.filter_urls(frames[0], frames[1].limit(0)).collect()} == {"allow"}
+
+
+def test_bound_is_near_the_beta_quantile():
+    rng = np.random.default_rng(2)
+    for a, b in ((9, 1), (5, 5), (6.5, 3.5), (12, 4), (60, 40)):
+        m = a / (a + b)
+        lower = m - url_filter.Z * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5
+        assert abs(lower - np.quantile(rng.beta(a, b, 200_000), 0.05)) < 0.06
+
+
+def test_warc_of_odd_pages(spark):
+    rng = np.random.default_rng(1)
+    big = bytes(rng.integers(97, 123, 5_000_000, dtype=np.uint8)).decode()
+    huge = "WARC/1.1\r\n" + "z" * (17 << 20)  # its gzip member does not end with a zero byte
+    rows = [(1, "http://a/\x01\x0b\x85 x", "k" * 200), (1, "http://a/", "k" * 200), (None, "n", "k" * 200), (None, None, "m" * 200), (5, "b", big), (6, "b", big), (7, "h", huge), (8, "t", "tail")]
+    path = work_dir(spark, "warc-test")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(df.selectExpr("*", "1 as digest", "2 as first"), path, archive_bytes=1000)
+    got = sorted((r["record_id"], r["record_type"], r["refers_to"] or "", r["payload_bytes"], r["target_uri"] or "", r["path"]) for r in warc.read_warc(spark, path, payloads=False).collect())
+    assert [x[:4] for x in got] == [
+        ("<urn:page:1>", "response", "", 200), ("<urn:page:1>", "response", "", 200), ("<urn:page:5>", "response", "", 5_000_000), ("<urn:page:6>", "revisit", "<urn:page:5>", 5_000_000),
+        ("<urn:page:7>", "response", "", len(huge)), ("<urn:page:8>", "response", "", 4), ("<urn:page:none>", "response", "", 200), ("<urn:page:none>", "revisit", "<urn:page:1>", 200),
+    ]
+    assert "http://a/%01%0B%C2%85%20x" in {x[4] for x in got} and len({x[5] for x in got}) > 3
+    first = sorted({x[5] for x in got})[0].removeprefix("file:")
+    assert gzip.open(first).read().startswith(b"WARC/1.1")
+    path = work_dir(spark, "warc-test")
+    warc.write_warc(df.limit(0), path)
+    assert warc.read_warc(spark, path).count() == 0
+
+
 def test_warc_round_trip_with_records_inside_payloads(spark):
     inner = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     rows = [(1, "http://a/", inner * 3), (2, "http://b/", "x" * 100), (3, None, "x" * 100), (4, "u\r\nv", None), (5, "http://c/", "x" * 99), (6, "http://d/", "x" * 99), (7, "e", "é\n日\r\n\r\n")]
