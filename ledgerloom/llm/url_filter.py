@@ -136,7 +136,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: flo
     """
     split = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     judged = split.select("page_id", "host").join(outcomes.select("page_id", "bad"), "page_id")
-    hosts = host_reputation(judged, split).select("host", F.col("mean").alias("bad_share"), "lower")
+    # stored, so that both sides of the last join are plain shuffles, which Spark splits where a host is frequent
+    hosts = stored(host_reputation(judged, split).select("host", F.col("mean").alias("bad_share"), "lower"), "reputation")
     rule, verdict = rule_column(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("lower") > max_bad, F.lit("block")).otherwise(F.lit("allow"))
     return split.join(hosts, "host", "left").select(
