@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Accented letters and what they fold to, in equal places.
 ACCENTED, PLAIN = "ÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑáàâãäéèêëíìîïóòôõöúùûüçñ", "AAAAAEEEEIIIIOOOOOUUUUCNaaaaaeeeeiiiiooooouuuucn"
 MONTHS = ("jan", "fev", "mar", "abr", "mai", "jun", "jul", "ago", "set", "out", "nov", "dez")
-#: Legal suffixes of company names, stripped one after the other.
-SUFFIXES = ("LTDA", "EIRELI", "S/A", "SA", "ME", "EPP")
-UNITS = "KG|G|MG|L|ML|UN|UND|PCT|CX"
+# Legal suffixes of company names in the order of their stripping, units, and product synonyms in theirs.
+SUFFIXES = (" S/A", " S.A.", " S A", " SA", " LTDA", " ME", " EIRELI", " EPP", " MEI")
+UNITS = "ML|L|LT|G|GR|KG|UN|PC|PCT|CX|MG|MCG"
+SYNONYMS = (
+    ("DESODORANTE", ("DESOD", "DEODORANT", "DEO")),
+    ("SABONETE", ("SABONET", "BAR SOAP", "SOAP", "SAB")),
+    ("SHAMPOO", ("XAMPU", "XAMPUZINHO", "SHAMP")),
+    ("CONDICIONADOR", ("COND", "CONDITIONER")),
+    ("AMACIANTE", ("AMACI", "SOFTENER")),
+    ("ROLLON", ("ROLL-ON", "ROL", "ROLON")),
+    ("AEROSOL", ("AERO", "SPRAY")),
+    ("ARROZ", ("ARROZINHO",)),
+    ("FEIJAO", ("FEIJ",)),
+)
+
+
+def fenced(rows: DataFrame) -> DataFrame:
+    """The same rows, each computed once: filters and rules that follow are not rewritten in terms of what made them.
+
+    Long CASE expressions would else be copied into every place that reads their result.
+    """
+    return rows.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))))
 
 
 def fold(x: Column) -> Column:
@@ -27,8 +44,9 @@ def payment_method(description: Column, kind: Column) -> Column:
     """Card statements are credit; else the first keyword decides, else the statement's default."""
     text = F.upper(description)
     return (
-        F.when(kind == "cartao", "Crédito").when(text.contains("PIX"), "Pix").when(text.contains("DEBITO"), "Débito")
-        .when(text.contains("BOLETO"), "Boleto").when(text.contains("TED") | text.contains("DOC"), "Transferência").otherwise("Débito")
+        F.when(kind == "cartao", "Crédito").when(text.contains("PIX"), "Pix").when(text.contains("DÉBITO") | text.contains("DEBITO"), "Débito")
+        .when(text.contains("BOLETO"), "Boleto").when(text.contains("TED") | text.contains("DOC"), "Transferência")
+        .otherwise(F.when(kind == "cc", "Débito").otherwise("Crédito"))
     )
 
 
@@ -47,7 +65,7 @@ def ledger_key(date: Column, value: Column, local: Column, bank: Column) -> Colu
 
 def dedup_text(local: Column) -> Column:
     """What follows the first ' - ', trimmed and lower-cased."""
-    return F.lower(F.trim(F.regexp_replace(local, r"^.*? - ", "")))
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(local, F.lit("")), r"^.*? - ", "")))
 
 
 def parse_br(text: Column) -> Column:
@@ -71,17 +89,27 @@ def quarter_label(date: Column) -> Column:
 
 
 def normal_supplier(name: Column) -> Column:
-    out = F.upper(fold(name))
+    """Capitals without legal suffixes (each stripped once, in order) and light punctuation; accents stay."""
+    out = F.trim(F.upper(name))
     for suffix in SUFFIXES:
-        out = F.regexp_replace(out, rf"\b{suffix}\b\.?", "")
-    return squeeze(F.regexp_replace(out, r"[^A-Z0-9 ]", " "))
+        out = F.regexp_replace(out, r"\s*" + suffix.replace(".", r"\.") + "$", "")
+    return squeeze(F.regexp_replace(out, r"[.,;:\-()/]+", " "))
+
+
+def synonyms(text: Column) -> Column:
+    """Words that stand for others, replaced group by group, in the order of the table."""
+    for chosen, others in SYNONYMS:
+        for word in others:
+            text = F.regexp_replace(text, rf"\b{word}\b", chosen)
+    return text
 
 
 def normal_product(text: Column) -> Column:
-    out = normal_supplier(text)
-    for pattern in (rf"\b[0-9]+ ?({UNITS})\b", rf"\b({UNITS})\b", r"\b[0-9]+\b"):
+    """The supplier's normal form without accents, amounts, units and numbers, with one word for synonyms."""
+    out = fold(normal_supplier(text))
+    for pattern in (rf"\b[0-9]+([.,][0-9]+)?\s*({UNITS})\b", rf"\b({UNITS})\b", r"\b[0-9]+([.,][0-9]+)?\b"):
         out = F.regexp_replace(out, pattern, " ")
-    return squeeze(out)
+    return squeeze(synonyms(out))
 
 
 def mask_pii(text: Column) -> Column:
@@ -101,11 +129,21 @@ def invoice_key(raw: Column) -> Column:
     return F.when(F.length(digits) == 44, digits)
 
 
-def check_digit_ok(key: Column) -> Column:
-    """Modulo-11 check digit of a 44-digit key, weights 2 to 9 from the right."""
-    total = reduce(lambda a, b: a + b, [F.substring(key, 43 - i, 1).cast("int") * (2 + i % 8) for i in range(43)])
+def check_digit(key: Column) -> Column:
+    """Modulo-11 check digit of the first 43 digits of a key, weights 2 to 9 from the right, as text."""
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(42)), F.lit(0), lambda s, i: s + F.substring(key, 43 - i, F.lit(1)).cast("int") * (2 + i % 8))
     rest = F.pmod(total, F.lit(11))
-    return F.substring(key, 44, 1).cast("int") == F.when(rest < 2, 0).otherwise(11 - rest)
+    return F.when(rest < 2, 0).otherwise(11 - rest).cast("string")
+
+
+def check_digit_ok(key: Column) -> Column:
+    return F.substring(key, 44, 1) == check_digit(key)
+
+
+def key_parts(key: Column) -> list[Column]:
+    """Tax id, model, state, year and month, series and number of a 44-digit key."""
+    places = {"cnpj": (7, 14), "modelo": (21, 2), "uf": (1, 2), "aamm": (3, 4), "serie": (23, 3), "numero": (26, 9)}
+    return [F.substring(key, at, n).alias(name) for name, (at, n) in places.items()]
 
 
 def tokens(text: Column, least: int = 1) -> Column:

@@ -43,11 +43,17 @@ def first_run(events: DataFrame, length: int) -> DataFrame:
 
 
 def clear_spans(events: DataFrame, trigger: Column, days: int) -> DataFrame:
-    """Users' first span of ``days`` without a trigger, between triggers or before the first."""
-    all_days = events.groupBy("user_id").agg(F.min(F.to_date("ts")).alias("since"))
-    t = events.filter(trigger).select("user_id", F.to_date("ts").alias("day")).distinct()
-    t = t.withColumn("before", F.lag("day").over(_by())).join(all_days, "user_id")
-    return t.withColumn("span", F.datediff("day", F.coalesce("before", "since"))).filter(F.col("span") >= days).groupBy("user_id").agg(F.min("day").alias("day"))
+    """Users' first span of ``days`` without a trigger, by the day on which it ends.
+
+    That is the last day where there is no trigger at all, else the day before the first trigger that comes so
+    long after the first event or after the trigger before it.
+    """
+    day = F.to_date("ts")
+    ends = events.groupBy("user_id").agg(F.min(day).alias("since"), F.max(day).alias("until"))
+    t = events.filter(trigger).select("user_id", day.alias("day")).distinct().withColumn("before", F.lag("day").over(_by()))
+    none = ends.join(t.select("user_id").distinct(), "user_id", "left_anti").filter(F.datediff("until", "since") >= days).select("user_id", F.col("until").alias("day"))
+    spans = t.join(ends, "user_id").filter(F.datediff("day", F.coalesce("before", "since")) >= days)
+    return none.unionByName(spans.groupBy("user_id").agg(F.date_sub(F.min("day"), 1).alias("day")))
 
 
 def first_of_week(events: DataFrame, win: Column) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.expressions import normal_supplier
-from ledgerloom.functions.similarity import token_set_ratio, token_sort_ratio
+from ledgerloom.functions.expressions import normal_product, normal_supplier
+from ledgerloom.functions.similarity import token_set, token_set_ratio, token_sort_ratio
 
 TOKEN = r"([a-zA-ZÀ-ÿ0-9]{2,})"
 
@@ -49,52 +49,129 @@ def knn_vote(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return best.select("q", "label", F.round(F.col("vote") / F.col("all"), 3).alias("confidence"))
 
 
-def resolve_names(names: DataFrame, canon: DataFrame, least: float = 85.0) -> DataFrame:
-    """Each distinct name with the canonical name that equals it in normal form, else the most similar one.
+def _keys(names: DataFrame, key: str, norm: str, frequent: DataFrame) -> DataFrame:
+    """(key, norm, block): a name's rare tokens; where it has none, the pairs of its tokens."""
+    tokens = names.select(key, norm, F.array_distinct(F.split(norm, " ")).alias("t"))
+    marked = tokens.select(key, norm, "t", F.explode("t").alias("token")).join(frequent.withColumn("f", F.lit(True)), "token", "left")
+    rare = marked.filter("f is null").select(key, norm, F.col("token").alias("block"))
+    plain = tokens.join(rare.select(key).distinct(), key, "left_anti").withColumn("t", F.array_sort("t"))
+    pairs = F.flatten(F.transform("t", lambda a, i: F.transform(F.slice("t", i + 1, F.size("t")), lambda b: F.concat(a, F.lit(" "), b))))
+    return rare.unionByName(plain.select(key, norm, F.explode(pairs).alias("block")))
 
-    Candidates share a token; tokens of over 1 % of the canonical names only pair names that have no rarer one.
+
+def _frequent(sides: list[tuple[DataFrame, str]], share: float, least: int) -> DataFrame:
+    """Tokens of more than ``share`` of all names and of more than ``least`` of them."""
+    parts = [df.select(F.explode(F.array_distinct(F.split(c, " "))).alias("token")) for df, c in sides]
+    n = sum(df.count() for df, _ in sides)
+    all_ = parts[0]
+    for p in parts[1:]:
+        all_ = all_.unionByName(p)
+    return all_.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > max(least, share * n)).select("token")
+
+
+def resolve_names(names: DataFrame, canon: DataFrame, least: float = 85.0, share: float = 0.01, rare: int = 1000) -> DataFrame:
+    """Each distinct name with its canonical name: name, canonical, score, kind, source.
+
+    ``names`` has (name, tax_id), ``canon`` (canonical, tax_id), tax ids may be null. A name whose normal form equals
+    a canonical one's takes it unless their tax ids differ; else the most similar one by the sorted ratio counts:
+    95 and more is a match, ``least`` and more a suggestion, less, or another tax id, a new name. Names are
+    compared if they share a rare token (of at most ``share`` of the names or ``rare`` of them), or, where a name
+    has none, two tokens.
     """
-    n = names.select("name", normal_supplier(F.col("name")).alias("norm")).distinct()
-    c = canon.select(F.col("name").alias("canonical"), normal_supplier(F.col("name")).alias("cnorm")).distinct()
-    exact = n.join(c, n.norm == c.cnorm).groupBy("name").agg(F.min("canonical").alias("canonical")).withColumn("score", F.lit(100.0))
+    n = names.select("name", "tax_id", normal_supplier(F.col("name")).alias("norm")).groupBy("name", "norm").agg(F.min("tax_id").alias("tax_id"))
+    c = canon.select("canonical", F.col("tax_id").alias("other_id"), normal_supplier(F.col("canonical")).alias("cnorm")).groupBy("canonical", "cnorm").agg(F.min("other_id").alias("other_id"))
+    differ = F.coalesce(F.col("tax_id") != F.col("other_id"), F.lit(False))
+    exact = n.join(c, n.norm == c.cnorm).filter(~differ).groupBy("name").agg(F.min("canonical").alias("canonical"))
+    exact = exact.select("name", "canonical", F.lit(100.0).alias("score"), F.lit("match").alias("kind"), F.lit("equal").alias("source"))
     rest = n.join(exact.select("name"), "name", "left_anti")
-    tok = lambda df, col: df.withColumn("token", F.explode(F.array_distinct(F.split(col, " "))))
-    pairs = tok(rest, "norm").join(tok(c, "cnorm"), "token").select("name", "norm", "canonical", "cnorm").distinct()
-    scored = pairs.withColumn("score", F.round(token_sort_ratio("norm", "cnorm"), 4)).filter(F.col("score") >= least)
+    frequent = _frequent([(n, "norm"), (c, "cnorm")], share, rare)
+    pairs = _keys(rest, "name", "norm", frequent).join(_keys(c, "canonical", "cnorm", frequent), "block").select("name", "norm", "canonical", "cnorm").distinct()
+    scored = pairs.withColumn("score", F.floor(token_sort_ratio("norm", "cnorm")).cast("double"))
     best = scored.groupBy("name").agg(F.min_by("canonical", F.struct((-F.col("score")).alias("s"), "canonical")).alias("canonical"), F.max("score").alias("score"))
-    return exact.unionByName(best).withColumn("kind", F.when(F.col("score") >= 95, "match").otherwise("suggestion"))
+    near = rest.join(best, "name", "left").join(c.select("canonical", "other_id"), "canonical", "left")
+    low = F.coalesce(F.col("score") < least, F.lit(True))
+    near = near.select(
+        "name", F.when(low | differ, F.col("norm")).otherwise(F.col("canonical")).alias("canonical"), F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.when(low | differ, "new").when(F.col("score") >= 95, "match").otherwise("suggestion").alias("kind"),
+        F.when(low, "new").when(differ, "other tax id").otherwise("similar").alias("source"),
+    )
+    return exact.unionByName(near)
 
 
-def cluster_products(items: DataFrame, least: float = 95.0) -> DataFrame:
-    """Groups of equal or very similar normal product names: (id, name, cluster), cluster = least id.
+def greedy_clusters(rows: list[tuple[int, str]], least: float, proposal: float) -> list[tuple[int, int, float, str]]:
+    """(id, cluster, score, role) of names in the order of their ids: each joins the most similar head of ``least`` or more.
 
-    Compares distinct normal names that share their first token; a block of names goes through the greedy
-    pass in order of ids (a name joins the first representative it reaches ``least`` with).
+    From ``proposal`` on a name is only proposed to that head; below it founds a cluster. The earliest of equal heads wins.
+    """
+    heads: list[tuple[int, str]] = []
+    out = []
+    for i, norm in sorted(rows):
+        score, head = 0.0, None
+        for h, text in heads:
+            s = float(int(token_set(norm, text)))
+            if s > score:
+                score, head = s, h
+        if head is not None and score >= least:
+            out.append((i, head, score, "member"))
+        elif head is not None and score >= proposal:
+            out.append((i, head, score, "proposal"))
+        else:
+            heads.append((i, norm))
+            out.append((i, i, 100.0, "member"))
+    return out
+
+
+def cluster_products(items: DataFrame, least: float = 95.0, proposal: float = 80.0, overrides: dict[str, str] | None = None) -> DataFrame:
+    """Groups of similar product names: (id, name, cluster, score, role), role member, proposal or override.
+
+    Names are compared in normal form; ``overrides`` maps normal forms to canonical names and goes first: its names
+    form the cluster of the canonical form (the least id among them). Distinct names that reach ``proposal``
+    with a name they share a token with are connected, and the greedy pass of :func:`greedy_clusters` runs over each
+    connected component, as names of different components never meet.
     """
     import pandas as pd
 
-    from ledgerloom.functions.expressions import normal_product
-    from ledgerloom.functions.similarity import token_set
-
-    named = items.withColumn("norm", normal_product(F.col("name")))
-    distinct = named.groupBy("norm").agg(F.min("id").alias("id")).withColumn("block", F.substring_index("norm", " ", 1))
+    from .graph import connected
+
+    named = items.withColumn("norm", normal_product(F.col("name"))).filter("norm <> ''")
+    mapped = {k: v for k, v in (overrides or {}).items()}
+    canon = F.create_map(*[F.lit(x) for kv in mapped.items() for x in kv])[F.col("norm")] if mapped else F.lit(None).cast("string")
+    named = named.withColumn("canon", canon)
+    done = named.filter("canon is not null")
+    first = done.groupBy("canon").agg(F.min("id").alias("cluster"))
+    done = done.join(first, "canon").select("id", "name", "cluster", F.lit(100.0).alias("score"), F.lit("override").alias("role"))
+    named = named.filter("canon is null")
+    distinct = named.groupBy("norm").agg(F.min("id").alias("node"))
+    blocks = _keys(distinct, "node", "norm", _frequent([(distinct, "norm")], 0.01, 200))
+    other = blocks.select("block", F.col("node").alias("other"), F.col("norm").alias("other_norm"))
+    pairs = blocks.join(other, "block").filter("node < other").select("node", "norm", "other", "other_norm").distinct()
+    near = pairs.filter(F.floor(token_set_ratio("norm", "other_norm")) >= proposal).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    parts = distinct.join(connected(near), "node", "left").withColumn("part", F.coalesce("component", "node"))
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        heads, out = [], []
-        for i, norm in sorted(zip(rows["id"], rows["norm"])):
-            head = next((h for h, text in heads if token_set(norm, text) >= least), None)
-            if head is None:
-                heads.append((i, norm))
-                head = i
-            out.append((norm, head))
-        return pd.DataFrame(out, columns=["norm", "cluster"])
-
-    heads = distinct.groupBy("block").applyInPandas(greedy, "norm string, cluster long")
-    return named.join(heads, "norm").select("id", "name", "cluster")
-
-
-def closest_names(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """Pairs of names of two small sides that share a token, with their set ratio."""
-    tok = lambda df, c: df.withColumn("token", F.explode(F.array_distinct(F.split(F.lower(c), " "))))
-    pairs = tok(a, "a").join(tok(b, "b"), "token").select("a", "b").distinct()
-    return pairs.withColumn("score", F.round(token_set_ratio(F.lower("a"), F.lower("b")), 4)).filter(F.col("score") >= least)
+        return pd.DataFrame(greedy_clusters(list(zip(rows["node"], rows["norm"])), least, proposal), columns=["node", "cluster", "score", "role"])
+
+    heads = parts.select("part", "node", "norm").groupBy("part").applyInPandas(greedy, "node long, cluster long, score double, role string")
+    found = named.join(distinct, "norm").join(heads, "node").select("id", "name", "cluster", "score", "role")
+    return found.unionByName(done)
+
+
+def shared_clusters(clusters: DataFrame) -> DataFrame:
+    """Members of clusters of two or more members."""
+    members = clusters.filter("role <> 'proposal'")
+    many = members.groupBy("cluster").agg(F.count("*").alias("n")).filter("n >= 2")
+    return members.join(many.select("cluster"), "cluster", "left_semi")
+
+
+def match_items(policies: DataFrame, items: DataFrame, days: int = 1, least: float = 82.0, margin: float = 5.0) -> DataFrame:
+    """Policies (policy, seller, date, text) with the item (item, seller, date, text) they insure: policy, item, score.
+
+    An item has the same seller and a date within ``days``; the best set ratio of at least ``least`` wins unless the
+    next is within ``margin``. Joined on the seller and the day, so one seller's days spread over tasks.
+    """
+    shifted = policies.select("policy", "seller", F.upper(F.trim("text")).alias("a"), F.explode(F.expr(f"sequence(date_sub(date, {days}), date_add(date, {days}))")).alias("date"))
+    pairs = shifted.join(items.select("item", "seller", "date", F.upper("text").alias("b")), ["seller", "date"])
+    scored = pairs.select("policy", "item", token_set_ratio("a", "b").alias("score")).filter(F.col("score") >= least)
+    w = Window.partitionBy("policy").orderBy(F.desc("score"), "item")
+    ranked = scored.withColumns({"rn": F.row_number().over(w), "next": F.lead("score").over(w)}).filter("rn = 1")
+    return ranked.filter(F.coalesce(F.col("score") - F.col("next") >= margin, F.lit(True))).select("policy", "item", F.round("score", 4).alias("score"))

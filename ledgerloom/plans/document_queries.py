@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import identifiers as I  # noqa: E741
 
-from .catalogue import SQL, query
+from .catalogue import query
 from .ledger import ledger, table
 from .ledger_queries import D, W
 
@@ -44,23 +44,17 @@ def warranty_months(spark, d):
     return table(spark, d, "part").select(k.alias("id"), I.months_of(text).alias("meses"))
 
 
-@query(f"""SELECT l_orderkey AS id, count(*) AS itens, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS {D}) AS total, CAST(0.5 AS DOUBLE) AS cobertura FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1""")
-def receipt_recall(spark, d, whole=False):
+@query(f"""SELECT l_orderkey AS id, count(*) AS itens, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS {D}) AS total, CAST(0.5 AS DOUBLE) AS cobertura FROM lineitem GROUP BY 1""")
+def receipt_recall(spark, d):
     br = "translate(format_number(l_extendedprice, 2), ',.', '.,')"
     line = F.expr(f"concat(lpad(l_partkey, 6, '0'), ' ITEM ', l_suppkey, ' ', cast(l_quantity as int), ' UN x 1,00 ', {br})")
-    items = table(spark, d, "lineitem")
-    rows = (items if whole else items.filter("l_orderkey % 10 = 0")).groupBy("l_orderkey").agg(
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
         F.array_join(F.collect_list(line), "\n").alias("t"), (F.sum(F.col("l_extendedprice").cast("decimal(18,2)")) * 2).alias("pago"))
     read = rows.select(F.col("l_orderkey").alias("id"), "pago", I.receipt_items(F.col("t")).alias("i"))
     total = F.aggregate("i", F.lit(0).cast("decimal(28,2)"), lambda s, x: (s + x["valor"]).cast("decimal(28,2)"))
     return read.select("id", F.size("i").cast("long").alias("itens"), total.alias("total"), I.recall(F.col("i"), F.col("pago")).alias("cobertura"))
 
 
-@query(SQL["receipt_recall"].replace(" WHERE l_orderkey % 10 = 0", ""))
-def receipt_recall_whole(spark, d):
-    return receipt_recall(spark, d, whole=True)
-
-
 @query(f"""{W}, s AS (SELECT identificador, CASE WHEN identificador % 2 = 0 THEN categoria END AS e, CASE WHEN identificador % 3 = 0 THEN CASE WHEN identificador % 9 = 0 THEN quem ELSE categoria END END AS o,
   CASE WHEN identificador % 5 = 0 THEN 'x' END AS h FROM ledger),
  t AS (SELECT CASE WHEN e = o THEN 'ok' WHEN e IS NOT NULL AND o IS NOT NULL THEN 'divergente' WHEN e IS NOT NULL THEN 'apenas_etl' WHEN o IS NOT NULL THEN 'apenas_opus' WHEN h IS NOT NULL THEN 'so_humano' ELSE 'vazio' END AS status FROM s)

@@ -34,14 +34,25 @@ def seven_day_run(spark, d):
     return E.first_run(events(spark, d), 7)
 
 
-@query("""WITH a AS (SELECT user_id, min(CAST(ts AS DATE)) AS since FROM events GROUP BY 1),
- t AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase'),
+CLEAR = """WITH a AS (SELECT user_id, min(CAST(ts AS DATE)) AS since, max(CAST(ts AS DATE)) AS until FROM events GROUP BY 1),
+ t AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE {trigger}),
  s AS (SELECT t.user_id, day, day - coalesce(lag(day) OVER (PARTITION BY t.user_id ORDER BY day), since) AS span FROM t JOIN a USING (user_id))
- SELECT user_id, min(day) AS day FROM s WHERE span >= 5 GROUP BY 1""")
+ SELECT user_id, CAST(min(day) - 1 AS DATE) AS day FROM s WHERE span >= {n} GROUP BY 1
+ UNION ALL SELECT user_id, until FROM a WHERE until - since >= {n} AND user_id NOT IN (SELECT user_id FROM t)"""
+
+
+@query(CLEAR.format(trigger="event_type = 'purchase'", n=5))
 def days_clear(spark, d):
+    """W4 with its three cases."""
     return E.clear_spans(events(spark, d), F.col("event_type") == "purchase", 5)
 
 
+@query(CLEAR.format(trigger="value > 99", n=20))
+def days_clear_of_peaks(spark, d):
+    """W4 with a rare trigger, which many users never have."""
+    return E.clear_spans(events(spark, d), F.col("value") > 99, 20)
+
+
 @query("""SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS week, arg_min(event_id, (ts, event_id)) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1, 2""")
 def first_win_of_week(spark, d):
     return E.first_of_week(events(spark, d), F.col("event_type") == "purchase")

@@ -8,28 +8,16 @@ from ledgerloom.schema import EXPENSE, INCOME
 from ledgerloom.sources import sinks, statements as S
 from ledgerloom.streaming import events_stream as E
 
-from .catalogue import SQL, query
+from .catalogue import query
 from .ledger import ledger, table
 from .ledger_queries import D, W
 
 _BR = "translate(format_number(valor, 2), ',.', '.,')"
 
 
-def _whole(name: str) -> str:
-    """The SQL of a reader over all ledger rows, whose texts are those of a bank and month."""
-    sql = SQL[name].replace("identificador % 5 = 0 AND ", "").replace(" WHERE identificador % 5 = 0", "")
-    return sql.replace("banco_origem AS path", "banco_origem || ' ' || mes_ref AS path")
-
-
-def _rows(spark, d, whole: bool):
-    rows = ledger(spark, d)
-    return rows if whole else rows.filter("identificador % 5 = 0")
-
-
-def _as_text(spark, d, line: str, keys: str = "banco_origem", head: str = "", foot: str = "", whole: bool = False):
-    """(path, content): a text with a sorted line for each row; of one row in five by bank, or of the whole ledger by bank and month."""
-    path = F.concat_ws(" ", keys, "mes_ref") if whole else F.col(keys)
-    rows = _rows(spark, d, whole).select(path.alias("path"), F.struct("identificador", F.expr(line).alias("line")).alias("x"))
+def _as_text(spark, d, line: str, head: str = "", foot: str = ""):
+    """(path, content): the texts of a bank and month, with a sorted line for each ledger row."""
+    rows = ledger(spark, d).select(F.concat_ws(" ", "banco_origem", "mes_ref").alias("path"), F.struct("identificador", F.expr(line).alias("line")).alias("x"))
     body = F.array_join(F.transform(F.array_sort("xs"), lambda x: x["line"]), "\n")
     return rows.groupBy("path").agg(F.collect_list("x").alias("xs")).select("path", F.concat(F.lit(head), body, F.lit(foot)).alias("content"))
 
@@ -57,60 +45,40 @@ def csv_account_round_trip(spark, d):
 
 
 @query(f"""{W} SELECT 'BANCO ' || substring(banco_origem, 1, 1) AS banco_origem, data, -valor AS valor, CASE WHEN identificador % 10 = 0 THEN categoria ELSE "local" END AS descricao,
- CAST(identificador AS VARCHAR) AS identificador, '{EXPENSE}' AS tipo FROM ledger WHERE identificador % 5 = 0 AND substring(banco_origem, 1, 1) = 'A'
+ CAST(identificador AS VARCHAR) AS identificador, '{EXPENSE}' AS tipo FROM ledger WHERE substring(banco_origem, 1, 1) = 'A'
  UNION ALL SELECT 'Outro', data, -valor, CASE WHEN identificador % 10 = 0 THEN categoria ELSE "local" END, CAST(identificador AS VARCHAR), '{EXPENSE}' FROM ledger
- WHERE identificador % 5 = 0 AND substring(banco_origem, 1, 1) <> 'A'""")
-def ofx_parse(spark, d, whole=False):
+ WHERE substring(banco_origem, 1, 1) <> 'A'""")
+def ofx_parse(spark, d):
     line = """concat('<STMTTRN><TRNTYPE>DEBIT<DTPOSTED>', date_format(data, 'yyyyMMdd'), '120000<TRNAMT>-', valor, '<FITID>', identificador,
       if(identificador % 10 = 0, concat('<NAME>', categoria), concat('<NAME>x<MEMO>', local)), '</STMTTRN>')"""
-    files = _as_text(spark, d, line, whole=whole)
+    files = _as_text(spark, d, line)
     files = files.select("path", F.concat(F.lit("OFXHEADER:100\n<OFX><FI><ORG>Bank "), F.substring("path", 1, 1), F.lit("</FI>\n"), "content", F.lit("</OFX>")).alias("content"))
     return S.parse_ofx(files, {"bank a": "BANCO A"})
 
 
-@query(_whole("ofx_parse"))
-def ofx_parse_whole(spark, d):
-    return ofx_parse(spark, d, whole=True)
-
-
-@query(f"""{W} SELECT banco_origem AS path, data, "local", valor FROM ledger WHERE identificador % 5 = 0 AND identificador % 3 <> 0""")
-def statement_text_parse(spark, d, whole=False):
+@query(f"""{W} SELECT banco_origem || ' ' || mes_ref AS path, data, "local", valor FROM ledger WHERE identificador % 3 <> 0""")
+def statement_text_parse(spark, d):
     line = f"concat(date_format(data, 'dd/MM/yyyy'), '  ', if(identificador % 3 = 0, 'SALDO DO DIA', local), '   ', {_BR})"
-    return S.parse_statement_text(_as_text(spark, d, line, whole=whole)).drop("n")
+    return S.parse_statement_text(_as_text(spark, d, line)).drop("n")
 
 
-@query(_whole("statement_text_parse"))
-def statement_text_parse_whole(spark, d):
-    return statement_text_parse(spark, d, whole=True)
-
-
-@query(f"""{W} SELECT banco_origem AS path, make_date(CASE WHEN month(data) <= 6 THEN 2000 ELSE 1999 END, month(data), day(data)) AS data, "local",
- CASE WHEN identificador % 2 = 0 THEN '02/10' END AS parcela, valor FROM ledger WHERE identificador % 5 = 0 AND NOT (month(data) = 2 AND day(data) = 29)""")
-def card_bill_parse(spark, d, whole=False):
+@query(f"""{W} SELECT banco_origem || ' ' || mes_ref AS path, make_date(CASE WHEN month(data) <= 6 THEN 2000 ELSE 1999 END, month(data), day(data)) AS data, "local",
+ CASE WHEN identificador % 2 = 0 THEN '02/10' END AS parcela, valor FROM ledger WHERE NOT (month(data) = 2 AND day(data) = 29)""")
+def card_bill_parse(spark, d):
     line = f"concat(if(month(data) = 2 and day(data) = 29, 'x ', ''), date_format(data, 'dd/MM'), ' ', local, if(identificador % 2 = 0, ' 02/10', ''), ' ', {_BR})"
-    files = _as_text(spark, d, line, head="01/01 BEFORE 1,00\nDETALHE\n", foot="\nRESUMO\n01/01 AFTER 2,00", whole=whole)
+    files = _as_text(spark, d, line, head="01/01 BEFORE 1,00\nDETALHE\n", foot="\nRESUMO\n01/01 AFTER 2,00")
     return S.parse_card_bill(files.withColumn("vencimento", F.lit("2000-06-10").cast("date")), "DETALHE", "RESUMO").drop("n")
 
 
-@query(_whole("card_bill_parse"))
-def card_bill_parse_whole(spark, d):
-    return card_bill_parse(spark, d, whole=True)
-
-
 @query(f"""{W} SELECT CAST(identificador AS VARCHAR) AS path, CASE WHEN identificador % 2 = 0 THEN lpad(CAST(identificador AS VARCHAR), 33, '1') || lpad(CAST(CAST(valor * 100 AS BIGINT) AS VARCHAR), 14, '0') END AS linha_digitavel,
- CASE WHEN identificador % 3 = 0 OR identificador % 2 = 0 THEN valor END AS valor, data AS vencimento FROM ledger WHERE identificador % 5 = 0""")
-def boleto_parse(spark, d, whole=False):
+ CASE WHEN identificador % 3 = 0 OR identificador % 2 = 0 THEN valor END AS valor, data AS vencimento FROM ledger""")
+def boleto_parse(spark, d):
     digits = "concat(lpad(identificador, 33, '1'), lpad(cast(valor * 100 as bigint), 14, '0'))"
     text = f"concat('Vencimento: ', date_format(data, 'dd/MM/yyyy'), if(identificador % 3 = 0, concat('\\nValor do documento R$ ', {_BR}), ''), if(identificador % 2 = 0, concat('\\n', {digits}), ''))"
-    files = _rows(spark, d, whole).select(F.col("identificador").cast("string").alias("path"), F.expr(text).alias("content"))
+    files = ledger(spark, d).select(F.col("identificador").cast("string").alias("path"), F.expr(text).alias("content"))
     return S.parse_boleto(files)
 
 
-@query(_whole("boleto_parse"))
-def boleto_parse_whole(spark, d):
-    return boleto_parse(spark, d, whole=True)
-
-
 @query(f"""{W} SELECT '{EXPENSE}' AS tag, count(*) AS quantidade, CAST(sum(valor) AS {D}) AS total FROM ledger WHERE tipo = '{EXPENSE}' UNION ALL
  SELECT '{INCOME}', count(*), CAST(sum(valor) AS {D}) FROM ledger WHERE tipo = '{INCOME}'""")
 def csv_by_tag(spark, d):

@@ -7,27 +7,19 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import graph as G
 from ledgerloom.operators import linking as K
 
-from .catalogue import SQL as KNOWN
 from .catalogue import query
 from .ledger import SQL, ledger, table
 
-DOCS = """docs AS (SELECT CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS doc, l_suppkey, CAST(l_shipdate AS DATE) AS doc_date, CAST(l_extendedprice AS DECIMAL(18,2)) AS total FROM lineitem WHERE l_quantity >= 49)"""
+DOCS = """docs AS (SELECT CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS doc, l_suppkey, CAST(l_shipdate AS DATE) AS doc_date, CAST(l_extendedprice AS DECIMAL(18,2)) AS total FROM lineitem)"""
 TXS = """txs AS (SELECT o_orderkey AS tx, o_custkey, CAST(o_orderdate AS DATE) AS tx_date, CAST(o_totalprice AS DECIMAL(18,2)) AS value FROM orders)"""
-PAIRS = """pairs AS (SELECT doc, tx, CAST(abs(tx_date - doc_date) AS INTEGER) AS delta, abs(CAST(value AS DOUBLE) - CAST(total AS DOUBLE)) AS diff, total, l_suppkey, o_custkey FROM docs JOIN txs
-  ON abs(tx_date - doc_date) <= 7 AND abs(CAST(value AS DOUBLE) - CAST(total AS DOUBLE)) <= greatest(CAST(total AS DOUBLE) * 0.02, 0.01))"""
+PAIRS = """pairs AS (SELECT doc, tx, CAST(abs(tx_date - doc_date) AS INTEGER) AS delta, abs(CAST(value AS DOUBLE) - CAST(total AS DOUBLE)) AS diff, total, l_suppkey, o_custkey
+  FROM (SELECT *, doc_date + CAST(unnest(range(-7, 8)) AS INTEGER) AS tx_date FROM docs) JOIN txs USING (tx_date) WHERE abs(CAST(value AS DOUBLE) - CAST(total AS DOUBLE)) <= greatest(CAST(total AS DOUBLE) * 0.02, 0.01))"""
 SCORE = """scored AS (SELECT doc, tx, round(greatest(0.0, least(1.0, 1 - delta * 0.05 - 0.5 * least(diff / greatest(CAST(total AS DOUBLE), 1.0), 1.0)
   + CASE WHEN l_suppkey % 7 = o_custkey % 7 THEN 0.3 ELSE 0.0 END + CASE WHEN l_suppkey % 7 = o_custkey % 7 AND delta = 0 THEN 0.1 ELSE 0.0 END)), 4) AS score FROM pairs)"""
 
 
-def _whole(name: str) -> str:
-    """The SQL of a query over all documents."""
-    return KNOWN[name].replace(" WHERE l_quantity >= 49", "").replace(" WHERE l_quantity >= 50", "")
-
-
-def documents(spark, d, whole: bool = False):
-    li = table(spark, d, "lineitem")
-    li = li if whole else li.filter("l_quantity >= 49")
-    return li.select(
+def documents(spark, d):
+    return table(spark, d, "lineitem").select(
         F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("doc"), "l_suppkey",
         F.to_date("l_shipdate").alias("doc_date"), F.col("l_extendedprice").cast("decimal(18,2)").alias("total"),
     )
@@ -37,46 +29,70 @@ def transactions(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("tx"), "o_custkey", F.to_date("o_orderdate").alias("tx_date"), F.col("o_totalprice").cast("decimal(18,2)").alias("value"))
 
 
-def _scored(spark, d, whole):
+def _scored(spark, d):
     same = F.col("l_suppkey") % 7 == F.col("o_custkey") % 7
-    return K.candidates(documents(spark, d, whole), transactions(spark, d), 7, 0.02).withColumn("score", K.score(0.05, same))
+    return K.candidates(documents(spark, d), transactions(spark, d), 7, 0.02).withColumn("score", K.score(0.05, same))
 
 
 @query(f"WITH {DOCS}, {TXS}, {PAIRS} SELECT doc, tx, delta, round(diff, 4) AS diff FROM pairs")
-def link_candidates(spark, d, whole=False):
-    return K.candidates(documents(spark, d, whole), transactions(spark, d), 7, 0.02).select("doc", "tx", "delta", F.round("diff", 4).alias("diff"))
-
-
-@query(_whole("link_candidates"))
-def link_candidates_whole(spark, d):
-    return link_candidates(spark, d, whole=True)
+def link_candidates(spark, d):
+    return K.candidates(documents(spark, d), transactions(spark, d), 7, 0.02).select("doc", "tx", "delta", F.round("diff", 4).alias("diff"))
 
 
-@query(f"""WITH {DOCS}, {TXS}, {PAIRS}, {SCORE}, r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, tx) AS rn, count(*) OVER (PARTITION BY doc) AS candidates FROM scored)
- SELECT a.doc, a.candidates, a.tx, a.score, b.score AS "next", CASE WHEN round(a.score - b.score, 6) < 0.02 THEN 'conflict' WHEN a.score < 0.7 THEN 'low' ELSE 'link' END AS verdict
+@query(f"""WITH {DOCS}, {TXS}, {PAIRS}, {SCORE}, r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, tx) AS rn FROM scored)
+ SELECT a.doc, a.tx, a.score, b.score AS "next", CASE WHEN a.doc LIKE '%7' THEN 'approved' WHEN round(a.score - b.score, 6) < 0.02 THEN 'conflict' WHEN a.score < 0.7 THEN 'low' ELSE 'link' END AS verdict
  FROM r a LEFT JOIN r b ON a.doc = b.doc AND b.rn = 2 WHERE a.rn = 1""")
-def link_decision(spark, d, whole=False):
-    return K.decide(_scored(spark, d, whole), 0.02, 0.7)
-
-
-@query(_whole("link_decision"))
-def link_decision_whole(spark, d):
-    return link_decision(spark, d, whole=True)
-
-
-@query(f"""WITH {SQL}, {DOCS.replace('49', '50')}, p AS (SELECT identificador AS tx, data AS tx_date, CAST(round(valor / 100) * 100 AS DECIMAL(18,2)) AS value FROM ledger WHERE tipo = 'Imposto'),
- h AS (SELECT tx, min(l_suppkey % 3) AS a, max(l_suppkey % 3) AS b FROM p JOIN docs ON abs(tx_date - doc_date) <= 30 AND abs(value - CAST(round(total / 100) * 100 AS DECIMAL(18,2))) <= 0.05 GROUP BY 1) SELECT tx, a AS debtor FROM h WHERE a = b""")
-def crossed_payments(spark, d, whole=False):
+def link_decision(spark, d):
+    """Documents that a person approved (E27) are left as they are."""
+    approved = documents(spark, d).filter(F.col("doc").endswith("7"))
+    return K.decide(_scored(spark, d), 0.02, 0.7, approved)
+
+
+@query(f"""WITH {DOCS}, {TXS}, {PAIRS}, {SCORE}, r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, tx) AS rn FROM scored)
+ SELECT a.doc, a.tx, CASE WHEN round(a.score - b.score, 6) < 0.02 THEN 0.5::DOUBLE ELSE a.score END AS weight, coalesce(round(a.score - b.score, 6) < 0.02, FALSE) AS review
+ FROM r a LEFT JOIN r b ON a.doc = b.doc AND b.rn = 2 WHERE a.rn = 1 AND a.score >= 0.7""")
+def bulk_links(spark, d):
+    """A tie links too, with weight 0.5 and a mark for review."""
+    two = K.decide(_scored(spark, d), 0.02, 0.7).filter("score >= 0.7")
+    tie = F.col("verdict") == "conflict"
+    return two.select("doc", "tx", F.when(tie, 0.5).otherwise(F.col("score")).alias("weight"), tie.alias("review"))
+
+
+@query(f"""WITH {DOCS}, {TXS}, {PAIRS}, {SCORE}, r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, tx) AS rn FROM scored),
+ v AS (SELECT a.doc, CASE WHEN round(a.score - b.score, 6) < 0.02 THEN 'conflict' WHEN a.score < 0.7 THEN 'low' ELSE 'link' END AS verdict FROM r a LEFT JOIN r b ON a.doc = b.doc AND b.rn = 2 WHERE a.rn = 1),
+ k AS (SELECT l_returnflag AS kind, CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS doc FROM lineitem)
+ SELECT kind, coalesce(verdict, 'none') AS verdict, count(*) AS n FROM k LEFT JOIN v USING (doc) GROUP BY 1, 2""")
+def link_diagnosis(spark, d):
+    """Verdicts by kind of document, with those that have no candidate."""
+    kinds = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("kind"), F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("doc"))
+    v = K.decide(_scored(spark, d), 0.02, 0.7).select("doc", "verdict")
+    return kinds.join(v, "doc", "left").groupBy("kind", F.coalesce("verdict", F.lit("none")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {SQL}, {DOCS}, p AS (SELECT identificador AS tx, data AS tx_date, CAST(round(valor / 100) * 100 AS DECIMAL(18,2)) AS value FROM ledger WHERE tipo = 'Imposto'),
+ c AS (SELECT l_suppkey % 3 AS person, doc_date, CAST(round(total / 100) * 100 AS DECIMAL(18,2)) AS value FROM docs),
+ h AS (SELECT tx, min(person) AS a, max(person) AS b FROM p JOIN c USING (value) WHERE abs(p.tx_date - c.doc_date) <= 30 GROUP BY 1) SELECT tx, a AS debtor FROM h WHERE a = b""")
+def crossed_payments(spark, d):
+    """Amounts to the hundred, as the tables have no equal ones."""
     cent = lambda c: (F.round(F.col(c) / 100) * 100).cast("decimal(18,2)")
     p = ledger(spark, d).filter(F.col("tipo") == "Imposto").select(F.col("identificador").alias("tx"), F.col("data").alias("tx_date"), cent("valor").alias("value"))
-    docs = documents(spark, d, whole).filter("total is not null")
-    docs = docs if whole else docs.join(table(spark, d, "lineitem").filter("l_quantity >= 50").select(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("doc")).distinct(), "doc", "left_semi")
+    docs = documents(spark, d).filter("total is not null")
     return K.agreed_debtor(p, docs.select((F.col("l_suppkey") % 3).alias("person"), "doc_date", cent("total").alias("total")), 30, 0.05)
 
 
-@query(_whole("crossed_payments"))
-def crossed_payments_whole(spark, d):
-    return crossed_payments(spark, d, whole=True)
+@query(f"""WITH {SQL}, {DOCS}, p AS (SELECT identificador AS tx, data AS tx_date, CAST(round(valor / 100) * 100 AS DECIMAL(18,2)) AS value, quem FROM ledger WHERE tipo = 'Imposto'),
+ c AS (SELECT l_suppkey % 3 AS person, doc_date, CAST(round(total / 100) * 100 AS DECIMAL(18,2)) AS value FROM docs),
+ h AS (SELECT tx, min(person) AS a, max(person) AS b FROM p JOIN c USING (value) WHERE abs(p.tx_date - c.doc_date) <= 30 GROUP BY 1),
+ e AS (SELECT p.tx, quem, CAST(h.a AS VARCHAR) AS devedora FROM p LEFT JOIN h ON p.tx = h.tx AND a = b)
+ SELECT count(*) AS impostos, count(devedora) AS com_devedora, count(*) FILTER (devedora IS NOT NULL AND devedora <> quem) AS cruzados,
+  round(count(*) FILTER (devedora IS NULL) * 100.0::DOUBLE / count(*), 4) AS desvio, count(*) FILTER (devedora IS NULL) * 100.0::DOUBLE / count(*) > 5 AS alerta FROM e""")
+def crossed_counts(spark, d):
+    """Taxes enriched with their debtor, how many cross, and the drift alarm above 5 %."""
+    taxes = ledger(spark, d).filter(F.col("tipo") == "Imposto").select(F.col("identificador").alias("tx"), "quem")
+    e = taxes.join(crossed_payments(spark, d), "tx", "left").withColumn("devedora", F.col("debtor").cast("string"))
+    out = e.agg(F.count("*").alias("impostos"), F.count("devedora").alias("com_devedora"), F.count_if(F.col("devedora") != F.col("quem")).alias("cruzados"), F.count_if(F.col("devedora").isNull()).alias("sem"))
+    share = F.col("sem") * 100.0 / F.col("impostos")
+    return out.select("impostos", "com_devedora", "cruzados", F.round(share, 4).alias("desvio"), (share > 5).alias("alerta"))
 
 
 @query("""WITH t AS (SELECT p_brand, p_size, p_name, min(p_partkey) AS id FROM part GROUP BY 1, 2, 3)
@@ -98,22 +114,21 @@ def cross_audit_full_outer(spark, d):
     return out.withColumn("estado", F.when(F.col("provas").isNull(), "so_no").when(F.col("nos").isNull(), "so_prova").otherwise("ambos"))
 
 
-@query(f"""WITH {DOCS}, {TXS}, {PAIRS}, g AS (SELECT doc, w, p FROM (VALUES (1), (3), (7)) a(w), (VALUES (0.005), (0.01), (0.02)) b(p), pairs WHERE delta <= w AND diff <= greatest(CAST(total AS DOUBLE) * p, 0.01))
+WINDOWS, SHARES = (1, 2, 3, 4, 5, 6, 7, 0), (0.001, 0.002, 0.005, 0.01, 0.015, 0.02)
+
+
+@query(f"""WITH {DOCS}, {TXS}, {PAIRS}, g AS (SELECT doc, w, p FROM (VALUES {', '.join(f'({w})' for w in WINDOWS)}) a(w), (VALUES {', '.join(f'({p}::DOUBLE)' for p in SHARES)}) b(p), pairs WHERE delta <= w AND diff <= greatest(CAST(total AS DOUBLE) * p, 0.01))
  SELECT doc, min(w) AS w, CAST(arg_min(p, (w, p)) AS DOUBLE) AS p FROM g GROUP BY 1""")
-def grid_min_window(spark, d, whole=False):
-    pairs = K.candidates(documents(spark, d, whole), transactions(spark, d), 7, 0.02)
-    w = F.explode(F.filter(F.array(*map(F.lit, (1, 3, 7))), lambda x: x >= F.col("delta")))
+def grid_min_window(spark, d):
+    """8 windows by 6 tolerances."""
+    pairs = K.candidates(documents(spark, d), transactions(spark, d), 7, 0.02)
     total = F.col("total").cast("double")
-    p = F.filter(F.array(*map(F.lit, (0.005, 0.01, 0.02))), lambda x: F.col("diff") <= F.greatest(total * x, F.lit(0.01)))
-    out = pairs.withColumn("w", w).withColumn("p", F.get(p, F.lit(0))).filter("p is not null")
+    p = F.get(F.filter(F.array(*map(F.lit, SHARES)), lambda x: F.col("diff") <= F.greatest(total * x, F.lit(0.01))), F.lit(0))
+    # the least window that holds a pair is its day difference; tolerances ascend
+    out = pairs.select("doc", F.col("delta").alias("w"), p.alias("p")).filter("p is not null")
     return out.groupBy("doc").agg(F.min(F.struct("w", "p")).alias("m")).select("doc", "m.w", "m.p")
 
 
-@query(_whole("grid_min_window"))
-def grid_min_window_whole(spark, d):
-    return grid_min_window(spark, d, whole=True)
-
-
 EDGES = """edges AS (SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst, 'contraparte' AS kind FROM orders UNION ALL SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey, 'contem' FROM lineitem
   UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'de' FROM customer),
  deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1)"""
@@ -145,19 +160,14 @@ def khop_subgraph(spark, d):
     return G.khop(edges(spark, d), ["c1"], 2)
 
 
-@query("SELECT DISTINCT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey <= 20")
-def two_hop_items(spark, d, whole=False):
+@query("SELECT DISTINCT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def two_hop_items(spark, d):
+    """J31, for all customers."""
     e = edges(spark, d)
     back = e.filter("kind = 'contraparte'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("compra").alias("kind"))
-    back = back if whole else back.filter(F.substring("src", 2, 20).cast("int") <= 20)
     return G.two_hops(back.unionByName(e.filter("kind = 'contem'")), "compra", "contem")
 
 
-@query(KNOWN["two_hop_items"].replace(" WHERE o_custkey <= 20", ""))
-def two_hop_items_whole(spark, d):
-    return two_hop_items(spark, d, whole=True)
-
-
 @query(f"WITH {EDGES} SELECT dst, count(*) AS n FROM edges WHERE kind = 'contem' GROUP BY 1 HAVING count(*) >= 30")
 def recurrent_suppliers(spark, d):
     return G.incoming(edges(spark, d), "contem", 30)
@@ -169,18 +179,21 @@ def graph_orphans(spark, d):
     return G.orphans(nodes, edges(spark, d))
 
 
-@query("""SELECT 'marca' AS kind, coalesce(a.p_brand, b.p_brand) AS name, coalesce(b.n, a.n) AS meta FROM (SELECT p_brand, CAST(count(*) AS VARCHAR) AS n FROM part WHERE p_size <= 25 GROUP BY 1) a
- FULL JOIN (SELECT p_brand, CAST(count(*) AS VARCHAR) AS n FROM part WHERE p_size > 20 GROUP BY 1) b ON a.p_brand = b.p_brand""")
+@query("""WITH a AS (SELECT p_brand, CAST(count(*) AS VARCHAR) AS n, list(DISTINCT p_type) AS t FROM part WHERE p_size <= 25 GROUP BY 1), b AS (SELECT p_brand, CAST(count(*) AS VARCHAR) AS n, list(DISTINCT p_type) AS t FROM part WHERE p_size > 20 GROUP BY 1)
+ SELECT 'marca' AS kind, coalesce(a.p_brand, b.p_brand) AS name, coalesce(b.n, a.n) AS meta, array_to_string(list_sort(list_distinct(list_concat(coalesce(a.t, []), coalesce(b.t, [])))), '|') AS aliases FROM a FULL JOIN b ON a.p_brand = b.p_brand""")
 def node_upsert_merge(spark, d):
+    """Aliases united, the new metadata wins."""
     side = lambda c: table(spark, d, "part").filter(c).groupBy(F.col("p_brand").alias("name")).agg(F.collect_set("p_type").alias("aliases"), F.count("*").cast("string").alias("meta")).withColumn("kind", F.lit("marca"))
-    return G.merge_nodes(side("p_size <= 25"), side("p_size > 20")).select("kind", "name", "meta")
+    return G.merge_nodes(side("p_size <= 25"), side("p_size > 20")).select("kind", "name", "meta", F.array_join("aliases", "|").alias("aliases"))
 
 
-@query("""SELECT kind, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey, 'fornece' AS kind FROM lineitem) GROUP BY 1""")
+@query("""WITH e AS (SELECT l_orderkey AS src, l_suppkey AS dst, l_linenumber AS n FROM lineitem), o AS (SELECT DISTINCT src, dst, 1 AS weight FROM e WHERE n = 1)
+ SELECT * FROM o UNION ALL SELECT DISTINCT src, dst, 2 FROM e WHERE (src, dst) NOT IN (SELECT (src, dst) FROM o)""")
 def edge_insert_ignore(spark, d):
+    """Edges that are there keep their weight."""
     e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("fornece").alias("kind"), "l_linenumber")
-    old = e.filter("l_linenumber = 1").drop("l_linenumber").distinct()
-    return G.insert_edges(old, e.drop("l_linenumber")).groupBy("kind").agg(F.count("*").alias("n"))
+    old = e.filter("l_linenumber = 1").drop("l_linenumber").distinct().withColumn("weight", F.lit(1))
+    return G.insert_edges(old, e.drop("l_linenumber").withColumn("weight", F.lit(2))).select("src", "dst", "weight")
 
 
 @query("""SELECT l_suppkey, count(DISTINCT l_orderkey) AS docs, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS spend FROM lineitem GROUP BY 1""")

