@@ -156,6 +156,15 @@ def first_date_br(text: Column) -> Column:
     return F.get(F.filter(found, lambda d: d.isNotNull() & F.year(d).between(1990, 2100)), F.lit(0))
 
 
+def known_words(text: Column, words: tuple[str, ...]) -> Column:
+    """How many of the words a text holds, whatever its case."""
+    low = F.lower(text)
+    out = F.lit(0)
+    for w in words:
+        out = out + low.contains(w).cast("int")
+    return out
+
+
 def illegible(text: Column, min_alnum: int = 40, max_other: float = 0.5) -> Column:
     """Few letters and digits, or a long text with too many other signs."""
     n, alnum = F.length(text), F.length(F.regexp_replace(text, r"[^A-Za-z0-9À-ÿ]", ""))

@@ -120,3 +120,38 @@ def retained(days: DataFrame, today: str, daily: int, weekly: int) -> DataFrame:
     recent = F.col("dia") > F.date_sub(end, daily)
     older = days.filter(~recent & (F.col("dia") > F.date_sub(end, daily + 7 * weekly))).groupBy(F.date_trunc("week", "dia").alias("w")).agg(F.max("dia").alias("dia")).select("dia")
     return days.filter(recent).unionByName(older)
+
+
+def tax_package(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
+    """Writes totals (JSON), rows by tag (CSV) and the originals (text), and gives the totals as they were read back."""
+    tag_summary(rows, "tag").write.json(f"{path}/totais")
+    write_by_tag(rows.select("identificador", "data", "valor", "tag"), "tag", f"{path}/eventos")
+    rows.select(F.col("identificador").cast("string").alias("value")).distinct().write.text(f"{path}/originais")
+    back = spark.read.schema("tag string, quantidade bigint, total decimal(28,2)").json(f"{path}/totais")
+    return back.select("tag", F.col("quantidade").alias("n"), "total")
+
+
+def note_actions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(nota, acao) of notes (nota, texto): new ones, changed ones, and those whose text is the same, which are not written."""
+    o = old.select("nota", F.sha2("texto", 256).alias("_o"))
+    same = F.col("_o") == F.sha2("texto", 256)
+    return new.join(o, "nota", "left").select("nota", F.when(F.col("_o").isNull(), "nova").when(same, "igual").otherwise("mudou").alias("acao"))
+
+
+def _checksum(rows: DataFrame) -> tuple:
+    """Rows and a checksum that does not depend on their order."""
+    return tuple(rows.agg(F.count("*"), F.bit_xor(F.xxhash64(*rows.columns)), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first())
+
+
+def backup(rows: DataFrame, path: str) -> tuple:
+    """Writes the rows and returns the checksum of what was written."""
+    rows.write.parquet(path)
+    return _checksum(rows.sparkSession.read.schema(rows.schema).parquet(path))
+
+
+def restore(spark: SparkSession, path: str, checksum: tuple) -> DataFrame:
+    """The rows of a backup, if they have the checksum."""
+    rows = spark.read.parquet(path)
+    if _checksum(rows) != checksum:
+        raise ValueError("the backup is not what was written")
+    return rows

@@ -60,3 +60,42 @@ def sessions(stream: DataFrame, gap: str = "5 days") -> DataFrame:
     """A user's events without a pause of ``gap``: first and last event and their number."""
     rows = stream.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
     return answered(rows.select("user_id", F.to_date("w.start").alias("desde"), "n", "first_id"), "sessions", "complete")
+
+
+def first_runs(stream: DataFrame, length: int = 7) -> DataFrame:
+    """(user_id, day): the day on which a user's first run of so many consecutive days is complete, by a state for each user.
+
+    The state is the sorted days that can still be part of a run; days that come late fill their gap, and what is more than
+    the watermark's delay before the latest day is dropped. A user's state ends with the first run.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    keep = int(LATE.split()[0])
+
+    def run(key, parts, state):
+        if state.exists and state.get[0]:
+            return
+        days = set(state.get[1]) if state.exists else set()
+        for p in parts:
+            days |= set(p["day"].tolist())
+        ordered, streak, hit = sorted(days), 0, None
+        for i, d in enumerate(ordered):
+            streak = streak + 1 if i and ordered[i - 1] == d - 1 else 1
+            if streak == length:
+                hit = d
+                break
+        state.update((hit is not None, [] if hit is not None else [d for d in ordered if d > ordered[-1] - keep]))
+        if hit is not None:
+            yield pd.DataFrame({"user_id": [key[0]], "day": [pd.Timestamp("1970-01-01") + pd.Timedelta(days=int(hit))]})
+
+    days = stream.select("user_id", F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).alias("day"))
+    out = days.groupBy("user_id").applyInPandasWithState(run, "user_id long, day timestamp", "done boolean, days array<int>", "append", GroupStateTimeout.NoTimeout)
+    return answered(out, "runs", "append").select("user_id", F.to_date("day").alias("day"))
+
+
+def split_late(events: DataFrame, seen: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:
+    """Events of a batch that are in time, and those more than ``days`` before the latest event seen, for a side table."""
+    last = seen.agg(F.max("ts").alias("_last"))  # one row
+    marked = events.join(F.broadcast(last), F.lit(True), "left").withColumn("_late", F.coalesce(F.col("ts") < F.col("_last") - F.expr(f"interval {days} days"), F.lit(False)))
+    return marked.filter(~F.col("_late")).drop("_last", "_late"), marked.filter("_late").drop("_last", "_late")
