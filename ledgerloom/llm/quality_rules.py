@@ -172,7 +172,8 @@ def fit(buf: np.ndarray, off: np.ndarray, y: np.ndarray, share: np.ndarray, roun
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     """(text, y, share): at most ``per_class`` rows of each class, the first by a hash of the id.
 
-    ``share`` is the class's labelled rows for each sampled one. Rows without an id or label are out.
+    ``share`` is the class's labelled rows for each sampled one. Rows without an id or label are out; of documents
+    that repeat an id the least text counts.
     """
     rows = labels.select("doc_id", F.col("quality").alias("y")).filter("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -183,7 +184,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
     ]
     # at most 2 * per_class rows: a proven bound for the broadcast
     sample = F.broadcast(parts[0].unionByName(parts[1]))
-    return docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "text", "y", "share")
+    rows = docs.select("doc_id", "text").join(sample, "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("share").alias("share"))
 
 
 def train(sample: DataFrame, fitter) -> dict:

@@ -232,6 +232,22 @@ def test_models_without_labels_and_columns_kept(spark, docs):
     assert quality_rules.keep_quality_rules(odd, quality_rules.fit_rules(odd, labels)).columns == odd.columns
 
 
+def test_models_take_empty_tables_null_ids_long_texts_and_one_class(spark):
+    long = "word casa " * 200_000
+    rows = [(None, "a"), (None, None), (4, long), (4, long), (5, "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(4, 1, 0), (5, 1, 0), (4, 0, 0), (None, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int")
+    for fit, run in ((quality_rules.fit_rules, quality_rules.quality_rules), (quality_cnn.fit_classifier, quality_cnn.classify)):
+        for given in (labels, labels.filter("quality = 1"), labels.limit(0)):
+            model = fit(docs, given)
+            got = run(docs, model).collect()
+            assert Counter(r["doc_id"] for r in got) == Counter([None, None, 4, 4, 5])
+            assert len({tuple(r)[1:] for r in got if r["doc_id"] == 4}) == 1
+            assert run(empty(spark), model).count() == 0
+    sample = quality_rules.labelled_sample(docs, labels, 10).collect()
+    assert sorted((r["doc_id"], r["y"]) for r in sample) == [(4, 0), (5, 1)]
+
+
 def test_scores_do_not_depend_on_the_texts_beside():
     rng = np.random.default_rng(5)
     c = quality_cnn
@@ -279,6 +295,21 @@ def test_packing(spark, docs, texts):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_of_null_and_repeated_ids_and_clashing_columns(spark):
+    rows = [(None, "a b"), (None, "a b"), (7, None), (7, "x " * 300), (7, "x " * 300)]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as length", "2 as salt", "3 as rank", "4 as piece")
+    out = packing.pack(docs, capacity=50)
+    assert dict(out.dtypes)["piece"] == "int"
+    got = out.collect()
+    assert Counter(r["doc_id"] for r in got if r["start"] == 0) == Counter([None, None, 7, 7, 7])
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for s in places.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(s)])]
+        assert [o for o, _ in sorted(s)] == ends[:-1] and ends[-1] <= 50
+
+
 # ---- operator 7
 
 
