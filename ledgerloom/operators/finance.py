@@ -83,9 +83,11 @@ def due_calendar(terms: DataFrame, today: str, days: int = 14) -> DataFrame:
 def bill_estimate(rows: DataFrame, key: str, bill: Column) -> DataFrame:
     """Latest bill where a key has at least two, else the mean of its rows."""
     latest = F.max_by("valor", F.when(bill, F.struct("data", "identificador")))
-    out = rows.groupBy(key).agg(F.count_if(bill).alias("n"), latest.alias("_latest"), F.avg(F.col("valor").cast("double")).alias("_mean"))
+    cents = F.sum((F.col("valor") * 100).cast("bigint"))
+    mean = F.floor((2 * cents + F.count("valor")) / (2 * F.count("valor"))) / 100  # halves go up, in whole cents
+    out = rows.groupBy(key).agg(F.count_if(bill).alias("n"), latest.alias("_latest"), mean.alias("_mean"))
     return out.select(
-        key, F.round(F.when(F.col("n") >= 2, F.col("_latest").cast("double")).otherwise(F.col("_mean")), 2).alias("estimativa"),
+        key, F.when(F.col("n") >= 2, F.col("_latest").cast("double")).otherwise(F.col("_mean")).alias("estimativa"),
         F.when(F.col("n") >= 2, "ultimo").otherwise("media").alias("origem"),
     )
 

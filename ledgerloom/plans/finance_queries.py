@@ -91,8 +91,8 @@ def calendar_14d(spark, d):
     return N.due_calendar(terms, TODAY)
 
 
-@query(f"""{W}, g AS (SELECT "local", count(*) FILTER (tipo = '{EXPENSE}') AS n, arg_max(valor, (data, identificador)) FILTER (tipo = '{EXPENSE}') AS ultimo, avg(CAST(valor AS DOUBLE)) AS media FROM ledger GROUP BY 1)
- SELECT "local", round(CASE WHEN n >= 2 THEN CAST(ultimo AS DOUBLE) ELSE media END, 2) AS estimativa, CASE WHEN n >= 2 THEN 'ultimo' ELSE 'media' END AS origem FROM g""")
+@query(f"""{W}, g AS (SELECT "local", count(*) FILTER (tipo = '{EXPENSE}') AS n, arg_max(valor, (data, identificador)) FILTER (tipo = '{EXPENSE}') AS ultimo, floor((2 * sum(CAST(valor * 100 AS BIGINT)) + count(valor)) / (2.0::DOUBLE * count(valor))) / 100 AS media FROM ledger GROUP BY 1)
+ SELECT "local", CASE WHEN n >= 2 THEN CAST(ultimo AS DOUBLE) ELSE media END AS estimativa, CASE WHEN n >= 2 THEN 'ultimo' ELSE 'media' END AS origem FROM g""")
 def bill_estimate(spark, d):
     return N.bill_estimate(ledger(spark, d), "local", F.col("tipo") == EXPENSE)
 

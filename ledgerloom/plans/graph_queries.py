@@ -136,10 +136,10 @@ def drill_down_panel(spark, d):
     return o.join(g, "src", "left").select(F.col("src").alias("id"), "fornecedor", F.coalesce("itens", F.lit(0)).alias("itens"), "primeiro")
 
 
-@query(f"""WITH {EDGES}, t AS (SELECT id FROM deg ORDER BY degree DESC, id LIMIT 400) SELECT src, dst, kind FROM edges WHERE src IN (SELECT id FROM t) AND dst IN (SELECT id FROM t)""")
+@query(f"""WITH {EDGES}, v AS (SELECT * FROM edges WHERE kind <> 'contem'), g AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM v UNION ALL SELECT dst FROM v) GROUP BY 1), t AS (SELECT id FROM g ORDER BY n DESC, id LIMIT 400) SELECT src, dst, kind FROM v WHERE src IN (SELECT id FROM t) AND dst IN (SELECT id FROM t)""")
 def visible_edges(spark, d):
     """Edges between the most linked nodes."""
-    return G.visible(edges(spark, d), 400)[1]
+    return G.visible(edges(spark, d).filter("kind <> 'contem'"), 400)[1]
 
 
 @query("SELECT o_orderkey AS identificador FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")

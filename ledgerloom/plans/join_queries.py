@@ -101,9 +101,11 @@ def invoice_twins(spark, d):
     return K.invoice_twins(table(spark, d, "part").select("p_brand", "p_size", "p_name", F.col("p_partkey").alias("id")), ["p_brand", "p_size"], "p_name", "id")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def orphans_anti(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Parts without a large sale."""
+    large = table(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, d, "part").join(large, "p_partkey", "left_anti").select("p_partkey")
 
 
 @query("""SELECT coalesce(a.k, b.k) AS k, a.n AS provas, b.n AS nos, CASE WHEN a.k IS NULL THEN 'so_no' WHEN b.k IS NULL THEN 'so_prova' ELSE 'ambos' END AS estado

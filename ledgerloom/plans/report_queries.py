@@ -51,11 +51,11 @@ def filter_month_if_there(spark, d):
     return L.of_month_if_there(rows, MONTH).select("identificador")
 
 
-@query(f"""{W} SELECT identificador, "local" FROM ledger WHERE banco_origem = 'BRAZIL' AND categoria = 'BUILDING' AND contains(upper("local"), '#0') AND {SPENT} AND identificador IN (SELECT l_orderkey FROM lineitem) AND classificacao = 'Obrigatório'""")
+@query(f"""{W} SELECT identificador, "local" FROM ledger WHERE banco_origem = 'NATION_7' AND categoria = 'BUILDING' AND contains(upper("local"), '#0') AND {SPENT} AND identificador IN (SELECT l_orderkey FROM lineitem) AND classificacao = 'Obrigatório'""")
 def filter_statement_all(spark, d):
     """all facets of the statement bar, and those of a drill-down."""
     docs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("identificador"))
-    rows = L.statement_bar(ledger(spark, d), bank="BRAZIL", category="BUILDING", text="#0", expenses_only=True, documented=docs)
+    rows = L.statement_bar(ledger(spark, d), bank="NATION_7", category="BUILDING", text="#0", expenses_only=True, documented=docs)
     return P.drill_down(rows, {"classificacao": "Obrigatório", "desconhecida": "x", "mes_ref": ""}).select("identificador", "local")
 
 
@@ -328,11 +328,11 @@ def analysis_sheet(spark, d):
 # ---- contracts that can fail
 
 
-@query(f"""{W}, {SALARIES}, r AS (SELECT mes_ref, sum(valor) AS r FROM ledger WHERE tipo = '{INCOME}' AND NOT contains("local", '13') GROUP BY 1), s AS (SELECT mes_ref, sum(bruto) * 5 AS s FROM sal GROUP BY 1)
+@query(f"""{W}, {SALARIES}, r AS (SELECT mes_ref, sum(valor) AS r FROM ledger WHERE tipo = '{INCOME}' AND NOT contains("local", '13') GROUP BY 1), s AS (SELECT mes_ref, sum(bruto) * CAST(4.5 AS DECIMAL(2,1)) AS s FROM sal GROUP BY 1)
  SELECT mes_ref, CAST(r AS {D}) AS receita, CAST(s AS {D}) AS salario FROM r JOIN s USING (mes_ref) WHERE s > 0 AND CAST(r AS DOUBLE) > CAST(s AS DOUBLE) * CASE WHEN mes_ref LIKE '%-12' THEN 2.5 ELSE 2.0 END""")
 def income_over_salary(spark, d):
     """Q1: months whose income, without what is no income, exceeds twice the salary (2.5 in December)."""
-    pay = salaries(spark, d).withColumn("bruto", F.col("bruto") * 5)
+    pay = salaries(spark, d).withColumn("bruto", F.col("bruto") * F.lit("4.5").cast("decimal(2,1)"))
     return P.income_over_salary(ledger(spark, d), pay, F.col("local").contains("13"), 2.0, 2.5)
 
 
