@@ -38,7 +38,9 @@ def series(daily: DataFrame, users: DataFrame, today: str, days: int) -> DataFra
 def statistics(daily: DataFrame, today: str, days: int = 30) -> DataFrame:
     """Mean of the last days (two places), days in them, and days in all, by user."""
     recent = within(F.col("day"), today, days)
-    return daily.groupBy("user_id").agg(F.round(F.avg(F.when(recent, F.col("value"))), 2).alias("media"), F.count_if(recent).alias("dias"), F.count("*").alias("total"))
+    cents, n = F.sum(F.when(recent, F.round(F.col("value") * 100).cast("bigint"))), F.count(F.when(recent, F.col("value")))
+    mean = F.when(n > 0, F.floor((2 * cents + n) / (2 * n)) / 100)  # halves go up, in whole hundredths
+    return daily.groupBy("user_id").agg(mean.alias("media"), F.count_if(recent).alias("dias"), F.count("*").alias("total"))
 
 
 def window_means(daily: DataFrame, today: str, days: int) -> DataFrame:
@@ -120,7 +122,7 @@ def goals(rows: DataFrame, today: str) -> DataFrame:
     progress = F.when(F.col("alvo") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("atual") / F.col("alvo")))).otherwise(0.0)
     months = (F.year("prazo") - F.year(end)) * 12 + F.month("prazo") - F.month(end)
     missing = F.greatest(F.lit(0.0), F.col("alvo") - F.col("atual"))
-    return rows.select("id", F.round(progress, 6).alias("progresso"), F.round(missing, 2).alias("falta"), months.cast("int").alias("meses"), F.round(F.when(months > 0, missing / months), 2).alias("ritmo"))
+    return rows.select("id", F.round(progress, 9).alias("progresso"), F.round(missing, 2).alias("falta"), months.cast("int").alias("meses"), F.round(F.when(months > 0, missing / months), 6).alias("ritmo"))
 
 
 def linear_projection(balance: Column, monthly: Column, steps: int, today: str) -> Column:

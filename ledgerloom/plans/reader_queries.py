@@ -405,7 +405,7 @@ def workbook(spark, d):
     return sinks.sheet_counts(spark, path, list(sheets))
 
 
-@query("""SELECT p_partkey AS item, round(p_retailprice * ((p_size % 20 + 1) / 100.0::DOUBLE) / (p_size % 5 + 1), 2) AS perda_mensal FROM part""")
+@query("""SELECT p_partkey AS item, floor((2 * CAST(round(p_retailprice * 100) AS BIGINT) * (p_size % 20 + 1) + 100 * (p_size % 5 + 1)) / (200.0::DOUBLE * (p_size % 5 + 1))) / 100 AS perda_mensal FROM part""")
 def inventory_losses(spark, d):
     """K4: value by yearly rate over the months of life."""
     value, rate, life = F.col("p_retailprice"), (F.col("p_size") % 20 + 1) / 100.0, F.col("p_size") % 5 + 1

@@ -46,7 +46,7 @@ def series_of_days(spark, d):
     return B.series(daily(spark, d), events(spark, d), TODAY, 10)
 
 
-@query(f"""WITH {DAILY} SELECT user_id, round(avg(value) FILTER ({RECENT.format(6)}), 2) AS media, count(*) FILTER ({RECENT.format(6)}) AS dias, count(*) AS total FROM daily GROUP BY 1""")
+@query(f"""WITH {DAILY} SELECT user_id, floor((2 * sum(CAST(round(value * 100) AS BIGINT)) FILTER ({RECENT.format(6)}) + count(value) FILTER ({RECENT.format(6)})) / nullif(2.0::DOUBLE * count(value) FILTER ({RECENT.format(6)}), 0)) / 100 AS media, count(*) FILTER ({RECENT.format(6)}) AS dias, count(*) AS total FROM daily GROUP BY 1""")
 def mood_statistics(spark, d):
     """A43."""
     return B.statistics(daily(spark, d), TODAY, 7)
@@ -117,7 +117,7 @@ def latest_weeks(spark, d):
     return B.latest_weeks(events(spark, d), 3)
 
 
-@query(f"""WITH {DAILY}, s AS (SELECT user_id, round(avg(value) FILTER ({RECENT.format(6)}), 2) AS media, count(*) FILTER ({RECENT.format(6)}) AS dias, count(*) AS total FROM daily GROUP BY 1),
+@query(f"""WITH {DAILY}, s AS (SELECT user_id, floor((2 * sum(CAST(round(value * 100) AS BIGINT)) FILTER ({RECENT.format(6)}) + count(value) FILTER ({RECENT.format(6)})) / nullif(2.0::DOUBLE * count(value) FILTER ({RECENT.format(6)}), 0)) / 100 AS media, count(*) FILTER ({RECENT.format(6)}) AS dias, count(*) AS total FROM daily GROUP BY 1),
  h AS (SELECT user_id, list_filter([CASE WHEN media > 60 THEN 'semana boa' END, CASE WHEN media < 40 THEN 'semana difícil' END, CASE WHEN dias >= 5 THEN 'constante' END, CASE WHEN total >= 15 THEN 'fiel' END, CASE WHEN dias = 0 THEN 'ausente' END, CASE WHEN total > 0 THEN 'presente' END], lambda x: x IS NOT NULL)[1:3] AS l FROM s)
  SELECT user_id, CAST(i AS INTEGER) AS ordem, l[i] AS destaque FROM h, range(1, 4) t(i) WHERE i <= len(l)""")
 def recap_highlights(spark, d):
@@ -139,7 +139,7 @@ def goal_rows(spark, d):
 
 
 @query(f"""WITH g AS ({GOALS}), m AS (SELECT *, (year(prazo) - 2024) * 12 + month(prazo) - 1 AS meses, greatest(0.0::DOUBLE, alvo - atual) AS f FROM g)
- SELECT id, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, atual / alvo)), 6) AS progresso, round(f, 2) AS falta, CAST(meses AS INTEGER) AS meses, round(CASE WHEN meses > 0 THEN f / meses END, 2) AS ritmo FROM m""")
+ SELECT id, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, atual / alvo)), 9) AS progresso, round(f, 2) AS falta, CAST(meses AS INTEGER) AS meses, round(CASE WHEN meses > 0 THEN f / meses END, 6) AS ritmo FROM m""")
 def goal_progress(spark, d):
     """E41 and E42."""
     return B.goals(goal_rows(spark, d), "2024-01-15")

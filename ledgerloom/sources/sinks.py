@@ -65,8 +65,9 @@ def sheet_counts(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 
 
 def monthly_loss(value, rate, life):
-    """Monthly loss of an item: value by yearly rate over its life, two places."""
-    return F.round(value * rate / life, 2)
+    """Monthly loss of an item: value by yearly rate over its life, two places, in decimals."""
+    exact = value.cast("decimal(18,2)") * rate.cast("decimal(8,6)") / life.cast("decimal(6,0)")
+    return F.round(exact, 2).cast("double")
 
 
 def due_dates(rows: DataFrame) -> DataFrame:

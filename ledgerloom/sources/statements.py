@@ -15,7 +15,6 @@ from ledgerloom.schema import EXPENSE, INCOME
 REFUND = r"(?i)\b(estorno|reembolso)\b"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 BALANCE = r"(?i)SALDO (DO DIA|ANTERIOR|TOTAL)"
-NFE = "*[local-name()='{}']"
 
 
 def unescape(text: Column) -> Column:
@@ -108,15 +107,19 @@ def parse_boleto(files: DataFrame) -> DataFrame:
 
 
 def parse_nfe(files: DataFrame) -> DataFrame:
-    """Headers of invoices (path, content as XML): model 55 with a valid 44-digit key; cancelled ones are marked."""
-    at = lambda *names: "/".join(["/", *(NFE.format(n) for n in names)]).replace("//*", "//*", 1)
-    text = lambda *names: F.xpath_string("content", F.lit(at(*names)))
-    key = invoice_key(F.coalesce(F.nullif(text("chNFe"), F.lit("")), F.xpath_string("content", F.lit("//*[local-name()='infNFe']/@Id"))))
+    """Headers of invoices (path, content as XML): model 55 with a valid 44-digit key; cancelled ones are marked.
+
+    Elements are found by name, whatever their namespace prefix; all fields come from one pass of patterns each.
+    """
+    tag = lambda text, name: F.nullif(F.regexp_extract(text, rf"<(?:\w+:)?{name}(?:\s[^>]*)?>([^<]*)<", 1), F.lit(""))
+    block = lambda name: F.regexp_extract("content", rf"(?s)<(?:\w+:)?{name}(?:\s[^>]*)?>(.*?)</(?:\w+:)?{name}>", 1)
+    c = F.col("content")
+    key = invoice_key(F.coalesce(tag(c, "chNFe"), F.regexp_extract(c, r'<(?:\w+:)?infNFe[^>]*\bId="([^"]*)"', 1)))
     rows = files.withColumn("chave", key).filter(F.col("chave").isNotNull()).filter(check_digit_ok(F.col("chave")) & (F.substring("chave", 21, 2) == "55"))
-    cancelled = (text("tpEvento") == "110111") | text("cStat").isin("101", "135")
+    cancelled = F.coalesce(tag(c, "tpEvento") == "110111", F.lit(False)) | F.coalesce(tag(c, "cStat").isin("101", "135"), F.lit(False))
     return rows.select(
-        "path", "chave", F.substring("chave", 7, 14).alias("cnpj_emitente"), text("emit", "xNome").alias("razao_social"),
-        F.to_date(F.substring(text("dhEmi"), 1, 10)).alias("data_emissao"), text("ICMSTot", "vNF").try_cast("decimal(18,2)").alias("total"), cancelled.alias("cancelada"),
+        "path", "chave", F.substring("chave", 7, 14).alias("cnpj_emitente"), tag(block("emit"), "xNome").alias("razao_social"),
+        F.to_date(F.substring(tag(c, "dhEmi"), 1, 10)).alias("data_emissao"), tag(block("ICMSTot"), "vNF").try_cast("decimal(18,2)").alias("total"), cancelled.alias("cancelada"),
     )
 
 
