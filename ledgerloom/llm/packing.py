@@ -6,8 +6,8 @@ plan is made on the histogram of lengths (at most ``capacity`` numbers, on the d
 starts with the longest piece left, a subset-sum dynamic program over bitsets finds the fullest
 combination of available lengths for the rest, and that combination is removed, as many times over
 as all of its lengths last. Pieces get their places by their rank among pieces of their length: ranks
-are counted within (length, salt) groups and shifted by the groups before, so no length, however
-frequent, meets in one task.
+are counted within (length, salt) groups and shifted by the groups before; a length has more salts the
+more frequent it is, so none meets in one task.
 
 Defined cases: a null or empty text is its end token alone; repeated rows are packed each; a null
 doc_id stays null; an empty table gives no rows; other columns are ignored.
@@ -15,6 +15,7 @@ doc_id stays null; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -139,8 +140,10 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
     histogram = cut.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``capacity`` rows
     counts = {r["length"]: r["n"] for r in histogram}
     places = Places(plan(counts, capacity))
-    salts = shuffle_partitions(docs.sparkSession)  # a length's pieces spread over all tasks, whatever their number
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    # a length has as many salts as its share of all pieces makes tasks, so that each group is about one task's rows at most
+    total, parts = max(1, sum(counts.values())), shuffle_partitions(docs.sparkSession)
+    salts = F.get(F.from_json(F.lit(json.dumps([-(-counts.get(n, 0) * parts // total) or 1 for n in range(capacity + 1)])), "array<bigint>"), F.col("length").cast("int"))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), salts))
     groups = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.coalesce(
         F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
