@@ -28,7 +28,7 @@ from .common import shuffle_partitions, stored, table
 CAPACITY, END_ID = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Characters that are encoded in one go.
-ENCODE_CHARS = 3_000_000
+ENCODE_CHARS = 1_000_000
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:

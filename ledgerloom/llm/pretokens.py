@@ -35,11 +35,13 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def classes() -> np.ndarray:
     """The class of each code point."""
     out = np.full(0x110000, OTHER, np.uint8)
-    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for kind, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (WHITE, r"\s+")):
-        for m in regex.finditer(pattern, text):
-            a, b = ord(text[m.start()]), ord(text[m.end() - 1])
-            out[a : b + 1] = kind
+    for first in range(0, 0x110000, 0x800):  # in small blocks, as all characters as strings take 90 MB
+        if 0xD800 <= first < 0xE000:
+            continue  # surrogates
+        text = "".join(map(chr, range(first, first + 0x800)))
+        for kind, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (WHITE, r"\s+")):
+            for m in regex.finditer(pattern, text):
+                out[first + m.start() : first + m.end()] = kind
     return out
 
 
