@@ -104,11 +104,10 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
 
         encode = encoder(tokenizer if tokenizer.startswith("/") else public_tokenizers.path(tokenizer)).encode
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            size = np.cumsum([len(x) for x in texts])
-            part = size // ENCODE_CHARS if len(texts) else size
-            for _, rows in _runs(part):
-                found, place = encode(texts[rows])
+            texts = batch.column(1).fill_null("")
+            size = np.cumsum(pa.compute.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+            for _, rows in _runs(size // ENCODE_CHARS):
+                found, place = encode(texts[rows].to_pylist())  # no more texts as strings than are encoded at once
                 out = []
                 for i, doc in enumerate(batch.column(0)[rows].to_pylist()):
                     own = np.append(found[place[i] : place[i + 1]], end_id).astype("<u4")
@@ -123,6 +122,8 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                     arrays.append(pa.array(columns[5], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
 
+    import pyarrow.compute  # noqa: F401  pa.compute is used in run
+
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
