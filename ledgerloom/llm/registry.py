@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, packing, pieces, quality_cnn, quality_rules, simhash, substring_dedup, url_filter, warc
+from . import chat, codes, fingerprint, packing, pieces, quality_cnn, quality_rules, simhash, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_chat_format": chat.op9_chat_format,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op13_vector_codes": codes.op13_vector_codes,
 }
 
-SQL = {"op5_url_filter": url_filter.SQL, "op8_warc": warc.SQL, "op9_chat_format": chat.SQL}
+SQL = {"op5_url_filter": url_filter.SQL, "op8_warc": warc.SQL, "op9_chat_format": chat.SQL, "op13_vector_codes": codes.SQL}
