@@ -7,9 +7,11 @@ smallest doc_id, before anything else. For the others:
 * Sizes fall into bands; a family has the sets of one band and those of the next that can still link into it.
   In family f at most d symbols may differ, and each set gets a sketch of K > d words of 64 bits: each shingle
   flips one bit of one word. Differing bits of two sketches are no more than differing shingles.
-* Pigeonhole: d differing bits leave K - d words equal, so links share a bucket (family, place, word). Words with
-  under ``LOW`` set bits say little and are skipped, unless a set has more of them than the K - d - 1 that a
-  pair can spare: where all equal words of a pair are low ones, both sets have that many.
+* Pigeonhole: d differing shingles leave K - d places of the sketches untouched, so links share a bucket (family,
+  place, word). As few shingles fall into one place, the words in a bucket's key are 96 bits: those of the sketch
+  and 32 that are the XOR of the shingles' hashes. Words with under ``LOW`` set bits say little and are skipped,
+  unless a set has more of them than the K - d - 1 that a pair can spare: where all equal words of a pair are
+  low ones, both sets have that many.
 * A bucket gives a star of candidates from its smallest id. Tasks make stars of what they hold before they send
   one id a bucket on, so a bucket that a third of all sets share is never in one task.
 * Candidates whose sketches differ in too few bits are verified on the texts themselves.
@@ -39,7 +41,7 @@ from .common import by_bucket, dealt, stored, table
 from .components import components
 
 SHINGLE, PERCENT = 3, 90
-LOW = 4
+LOW = 2
 #: Entries that are sorted at once in a task, and shingles of all sets for each group of buckets.
 FLUSH, GROUP = 1 << 21, 1 << 22
 #: Sets and bytes of sketches of a block.
@@ -60,7 +62,7 @@ class Bands:
         top = self.first[1:] - 1
         self.top = np.append(top, np.iinfo(np.int32).max * 1024)
         d = (100 - percent) * (self.top + self.top * 100 // percent) // (100 + percent)
-        self.spare = d // 11
+        self.spare = (d >= 12) + (d >= 24) + d // 40
         self.words = np.where(d > 0, d + 1 + self.spare, 0)
 
     def of(self, n: np.ndarray) -> np.ndarray:
@@ -99,29 +101,29 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> tu
     return runs[new], np.concatenate(([0], np.cumsum(new)))[place]
 
 
-def sketches(h: np.ndarray, off: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Parity sketches of ``width[i]`` words for the sets ``h[off[i]:off[i + 1]]``, and where each begins."""
+def sketches(h: np.ndarray, off: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parity sketches of ``width[i]`` words for the sets ``h[off[i]:off[i + 1]]``, the XOR of 32 bits of the hashes at each place, and where each sketch begins."""
     at = np.concatenate(([0], np.cumsum(width)))
-    out = np.zeros(at[-1], np.uint64)
+    words, cells = np.zeros(at[-1], np.uint64), np.zeros(at[-1], np.uint32)
     size = np.diff(off) * (width > 0)
     if size.sum():
-        used = np.repeat(width > 0, np.diff(off))
-        own = h[used]
-        # hashes ascend in a set, and so do their words
-        word = ((own >> U(32)) * np.repeat(width, size).astype(np.uint64) >> U(32)).astype(np.int64) + np.repeat(at[:-1], size)
-        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        out[word[first]] = np.bitwise_xor.reduceat(U(1) << (own & U(63)), first)
-    return out, at
+        own = h[np.repeat(width > 0, np.diff(off))]
+        # hashes ascend in a set, and so do their places
+        place = ((own >> U(32)) * np.repeat(width, size).astype(np.uint64) >> U(32)).astype(np.int64) + np.repeat(at[:-1], size)
+        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        words[place[first]] = np.bitwise_xor.reduceat(U(1) << (own & U(63)), first)
+        cells[place[first]] = np.bitwise_xor.reduceat((own >> U(6)).astype(np.uint32), first)
+    return words, cells, at
 
 
 def prints(docs: DataFrame, bands: Bands, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n, k1, k2, sketch): size, 128 bits of the set, and its sketches in both families."""
+    """(doc_id, text) -> (doc_id, n, k1, k2, sketch, cells): size, 128 bits of the set, its sketches in both families, and their cells."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n, k1, k2, sketch = [], [], [], []
+            n, k1, k2, blobs = [], [], [], ([], [])
             for _, _, b, o in k.chunks(*k.utf8(batch.column(1))):
                 h, off = shingle_sets(b, o, shingle)
                 size = np.diff(off)
@@ -130,14 +132,17 @@ def prints(docs: DataFrame, bands: Bands, shingle: int = SHINGLE) -> DataFrame:
                     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(k.mix(h ^ U(salt)), dtype=np.uint64)))
                     keys.append((total[off[1:]] - total[off[:-1]]).view(np.int64))
                 _, own, below = bands.widths(size)
-                a, a_off = sketches(h, off, own)
-                c, c_off = sketches(h, off, below)
-                raw, other = memoryview(a.view(np.uint8)), memoryview(c.view(np.uint8))
-                sketch += [bytes(raw[8 * p : 8 * q]) + bytes(other[8 * r : 8 * s]) for p, q, r, s in zip(a_off[:-1].tolist(), a_off[1:].tolist(), c_off[:-1].tolist(), c_off[1:].tolist())]
-            columns = [batch.column(0), *(pa.array(np.concatenate(x)) for x in (n, k1, k2)), pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "k1", "k2", "sketch"])
+                *ours, at = sketches(h, off, own)
+                *lower, lower_at = sketches(h, off, below)
+                spans = list(zip(at[:-1].tolist(), at[1:].tolist(), lower_at[:-1].tolist(), lower_at[1:].tolist()))
+                for out, x, y in zip(blobs, ours, lower):
+                    x, y, w = memoryview(x.view(np.uint8)), memoryview(y.view(np.uint8)), x.itemsize
+                    out += [bytes(x[w * a : w * b]) + bytes(y[w * c : w * d]) for a, b, c, d in spans]
+            columns = [batch.column(0), *(pa.array(np.concatenate(x)) for x in (n, k1, k2)), *(pa.array(x, pa.binary()) for x in blobs)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "k1", "k2", "sketch", "cells"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, sketch binary")
+    schema = "doc_id bigint, n bigint, k1 bigint, k2 bigint, sketch binary, cells binary"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def _star(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -155,17 +160,17 @@ def _star(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return keys[first], least, a[new], b[new]
 
 
-def _words(batch: pa.RecordBatch, at: int) -> np.ndarray:
-    column = batch.column(at)
+def _joined(column: pa.Array, kind: type) -> np.ndarray:
+    """The bytes of all rows of a binary column as numbers."""
     _, offsets, data = column.buffers()
     off = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(np.uint64) if off[-1] > off[0] else np.zeros(0, np.uint64)
+    return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(kind) if off[-1] > off[0] else np.zeros(0, kind)
 
 
 def candidates(nodes: DataFrame, bands: Bands, groups: int) -> DataFrame:
-    """Pairs (a, b), a < b, that connect all sets of a bucket; ``nodes`` has (node, n, sketch)."""
+    """Pairs (a, b), a < b, that connect all sets of a bucket; ``nodes`` has (node, n, sketch, cells)."""
 
-    def entries(ids, n, words):
+    def entries(ids, n, words, cells):
         band, own, below = bands.widths(n)
         width = np.stack([own, below], 1).ravel()
         family = np.stack([band, band - 1], 1).ravel()
@@ -175,21 +180,22 @@ def candidates(nodes: DataFrame, bands: Bands, groups: int) -> DataFrame:
         all_low = np.bincount(owner[low], minlength=len(width))
         use = ~low | (all_low > bands.spare[family])[owner]
         place, owner = place[use].astype(np.uint64), owner[use]
-        key = k.mix(k.mix(words[use] + place * U(0x9E3779B97F4A7C15)) + (family[owner] + 1).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+        key = k.mix(k.mix(k.mix(words[use] + place * U(0x9E3779B97F4A7C15)) + cells[use]) + (family[owner] + 1).astype(np.uint64) * U(0xD6E8FEB86659FD93))
         return key, ids[owner // 2]
 
     def spread(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, n, words = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _words(batch, 2)
+            ids, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            words, cells = _joined(batch.column(2), np.uint64), _joined(batch.column(3), np.uint32)
             _, own, below = bands.widths(n)
             ends = np.cumsum(own + below)
             i = 0
             while i < len(ids):
                 begin = ends[i - 1] if i else 0
                 j = max(i + 1, int(np.searchsorted(ends, begin + FLUSH, "right")))
-                keys, least, a, b = _star(*entries(ids[i:j], n[i:j], words[begin : ends[j - 1]]))
+                keys, least, a, b = _star(*entries(ids[i:j], n[i:j], words[begin : ends[j - 1]], cells[begin : ends[j - 1]]))
                 yield from dealt((keys % U(groups)).astype(np.int64), {"x": keys, "y": least})
                 yield from dealt(-1 - b % groups, {"x": a, "y": b})
                 i = j
@@ -341,12 +347,12 @@ def across(members: DataFrame, bands: Bands, most: int, block: int = BLOCK) -> D
 
 
 def links(docs: DataFrame, nodes: DataFrame, bands: Bands, shingle: int = SHINGLE, most: int = 4, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) between nodes (node, n, sketch) whose components are those of all links."""
+    """Edges (a, b) between nodes (node, n, sketch, cells) whose components are those of all links."""
     nodes = nodes.filter("node is not null")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     found = stored(candidates(nodes, bands, max(1, -(-total // GROUP))), "candidates")
     groups = components(found).select("node", F.col("component").alias("group"))
-    members = stored(nodes.join(groups, "node"), "members")
+    members = stored(nodes.drop("cells").join(groups, "node"), "members")
     texts = stored(_packed(docs, members), "texts")
     tested = stored(verified(plausible(found, members, bands), texts, bands, shingle), "tested")
     while True:
@@ -369,12 +375,12 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE
     bands = Bands(percent)
     found = stored(prints(docs, bands, shingle), "prints")
     keys = ["n", "k1", "k2"]
-    classes = stored(found.filter("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), "classes")
+    classes = stored(found.filter("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("sketch", "cells"))), "classes")
     rows = stored(found.select("doc_id", *keys).join(classes.select(*keys, "node"), keys, "left").select("doc_id", "n", "node"), "rows")
     # texts of one doc_id belong together
     ends = rows.filter("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("top"))
     several = ends.filter("a < top").join(rows.select("doc_id", F.col("node").alias("b")), "doc_id").filter("a < b").select("a", "b")
-    edges = links(docs, classes.select("node", "n", "sketch"), bands, shingle, most, block).unionByName(several)
+    edges = links(docs, classes.select("node", "n", "sketch", "cells"), bands, shingle, most, block).unionByName(several)
     out = rows.join(components(edges), "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.expr("if(n = 0, doc_id, coalesce(component, node))").alias("component_id"))
 
