@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, codes, fingerprint, packing, parity_join, pieces, quality_cnn, quality_rules, simhash, substring_dedup, url_filter, warc
+from . import chat, codes, fingerprint, packing, parity_join, phrases, pieces, quality_cnn, quality_rules, simhash, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
@@ -16,7 +16,8 @@ QUERIES = {
     "op9_chat_format": chat.op9_chat_format,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_jaccard_join": parity_join.op11_jaccard_join,
+    "op12_phrases": phrases.op12_phrases,
     "op13_vector_codes": codes.op13_vector_codes,
 }
 
-SQL = {"op5_url_filter": url_filter.SQL, "op8_warc": warc.SQL, "op9_chat_format": chat.SQL, "op11_jaccard_join": parity_join.SQL, "op13_vector_codes": codes.SQL}
+SQL = {"op5_url_filter": url_filter.SQL, "op8_warc": warc.SQL, "op9_chat_format": chat.SQL, "op11_jaccard_join": parity_join.SQL, "op12_phrases": phrases.SQL, "op13_vector_codes": codes.SQL}
