@@ -18,12 +18,12 @@ from . import expressions as X
 # Patterns of descriptions, in the order in which they are asked.
 OPERATIONAL = r"RESGATE RDB|APLICAÇÃO RDB|RESGATE CDB|APLICAÇÃO CDB|FATURA\s+DE\s+CART[ÃA]O|PAGAMENTO\s+DE\s+FATURA|PGTO\s+FAT\s+CARTAO"
 TAXES = r"RECEITA.FED|DARF|DAS.*SIMPLES|DAS.*MEI"
-EARNED = r"SALARIO|PAGTO.*SALARIO|TRANSFERENCIA RECEBIDA.*PAIM|REEMBOLSO|ESTORNO"
+EARNED = r"SALARIO|PAGTO.*SALARIO|REEMBOLSO|ESTORNO"
 CHARGED = r"JUROS\s+POR\s+FATURA|IOF\s+POR\s+FATURA|MULTA\s+POR\s+FATURA|TRANSF\s+ENVIADA|TRANSFER[EÊ]NCIA\s+ENVIADA"
 KEPT_TRANSFER = (
     r"PAGAMENTO\s+DE\s+FATURA|PGTO\s+FAT\s+CARTAO|PGTO\s+FATURA|FATURA\s+DE\s+CART[AÃ]O|PAGAMENTO\s+FATURA\s+NU|PAGTO\s+NU\s*PAGAMENT|"
     r"DEBITO\s+DE\s+CARTAO|DEB\s+CART|PIX\s+QRS\s+BANCO\s+SANTA|CDB\s+C6|LIM\.\s*GARANT|RESGATE\s+CDB|APLICA[CÇ][AÃ]O\s+CDB|"
-    r"AG\s*6450|AGENCIA\s+6450|VALOR\s+ADICIONADO\s+NA\s+CONTA|PIX\s+NO\s+CR[EÉ]DITO"
+    r"VALOR\s+ADICIONADO\s+NA\s+CONTA|PIX\s+NO\s+CR[EÉ]DITO"
 )
 SENT = r"^(?:Transferência enviada pelo Pix|Compra no débito|Pagamento de boleto efetuado)\s*-\s*(.+?)(?:\s*-\s*\d|$)"
 RECEIVED = r"^Transferência Recebida\s*-\s*(.+?)(?:\s+\d{5,}|\s*-\s*\d)"
@@ -47,11 +47,16 @@ class Variant:
 
 @dataclass(frozen=True)
 class Couple:
-    """Names and personal ids of the two account holders, and short forms of their names."""
+    """Names and personal ids of the two account holders, and short forms of their names.
+
+    ``payers`` are names whose transfers are income, ``own_accounts`` patterns of the holders' own branches and accounts.
+    """
 
     names: tuple[str, ...] = ()
     ids: tuple[str, ...] = ()
     variants: tuple[Variant, ...] = field(default_factory=tuple)
+    payers: tuple[str, ...] = ()
+    own_accounts: tuple[str, ...] = ()
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -141,9 +146,10 @@ def type_of(description: Column, suggested: Column, signed: Column, bank: Column
     own = of_couple(description, couple)
     if bank is not None:
         own = own | of_variant(description, bank, couple)
+    earned = text.rlike("|".join([EARNED, *(f"TRANSFERENCIA RECEBIDA.*{quoted(p.upper())}" for p in couple.payers)]))
     return (
         F.when(own | text.rlike(OPERATIONAL), TRANSFER).when(text.rlike(TAXES), TAX).when(suggested.isin(*TYPES), suggested)
-        .when(text.rlike(EARNED), INCOME).when(text.rlike(CHARGED), EXPENSE).when(signed > 0, INCOME).otherwise(EXPENSE)
+        .when(earned, INCOME).when(text.rlike(CHARGED), EXPENSE).when(signed > 0, INCOME).otherwise(EXPENSE)
     )
 
 
@@ -168,7 +174,7 @@ def conform(rows: DataFrame, couple: Couple, companies: dict[str, str], words: d
 def demote_orphans(rows: DataFrame, couple: Couple) -> DataFrame:
     """Transfers that name neither a holder nor an operation become income or expense by their sign; mirrors stay."""
     text = F.coalesce(F.nullif(F.col("descricao"), F.lit("")), F.col("local"), F.lit(""))
-    orphan = (F.col("tipo") == TRANSFER) & ~F.col("virtual") & ~of_couple(text, couple) & ~F.upper(text).rlike(KEPT_TRANSFER)
+    orphan = (F.col("tipo") == TRANSFER) & ~F.col("virtual") & ~of_couple(text, couple) & ~F.upper(text).rlike("|".join([KEPT_TRANSFER, *couple.own_accounts]))
     return rows.withColumns({"tipo_anterior": F.when(orphan, F.col("tipo")), "tipo": F.when(orphan, F.when(F.col("valor") > 0, INCOME).otherwise(EXPENSE)).otherwise(F.col("tipo"))})
 
 

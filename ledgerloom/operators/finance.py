@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.schema import CLASSES, EXPENSE, INCOME, TAX, TRANSFER
 
 from .analytics import spent, total
+from .graph import _stored
 from .rules import first_match
+from .similar import greedy_heads, nearest_heads
 
 MONEY = "decimal(28,2)"
 
@@ -126,20 +129,20 @@ def validations(rows: DataFrame) -> DataFrame:
 def same_reality(rows: DataFrame, key: list[str], tolerance: float = 0.05) -> DataFrame:
     """(id, grupo): payslips of one key whose values differ by at most ``tolerance`` of the smaller, greedily by id.
 
-    A row joins the first group whose founder (its least id) it is close to. A key holds one person's
-    payslips of one month, so its rows fit in a task.
+    A row joins the first group whose founder (its least id) it is close to. Equal values of a key are one node; close ones
+    lie in neighbouring buckets of their logarithms, so pairs are found by equi joins, and founders by rounds over
+    all keys at once.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select("id").schema.fields) + ", grupo long"
-
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        founders: list[tuple[int, float]] = []
-        out = []
-        for i, v in sorted(zip(group["id"], group["valor"])):
-            home = next((g for g, w in founders if abs(v - w) <= tolerance * min(abs(v), abs(w))), None)
-            if home is None:
-                founders.append((i, v))
-                home = i
-            out.append((i, home))
-        return pd.DataFrame(out, columns=["id", "grupo"])
-
-    return rows.groupBy(*key).applyInPandas(greedy, schema)
+    nodes = _stored(rows.filter("id is not null and valor is not null").groupBy(*key, "valor").agg(F.min("id").alias("node")), "payslips")
+    scale = math.log1p(tolerance) + 1e-9
+    place = F.struct(*key, F.signum("valor").alias("sign"))
+    bucket = F.when(F.col("valor") == 0, F.lit(0)).otherwise(F.floor(F.log(F.abs("valor")) / scale))
+    placed = nodes.select(place.alias("place"), bucket.alias("bucket"), "valor", "node")
+    others = placed.select("place", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"), F.col("valor").alias("w"), F.col("node").alias("b"))
+    close = F.abs(F.col("valor") - F.col("w")) <= tolerance * F.least(F.abs("valor"), F.abs("w"))
+    edges = _stored(placed.join(others, ["place", "bucket"]).filter((F.col("node") < F.col("b")) & close).select(F.col("node").alias("a"), "b"), "close")
+    heads = greedy_heads(nodes, edges)
+    joined = nearest_heads(edges.withColumn("score", F.lit(1.0)), heads).select("node", F.col("head").alias("grupo"))
+    groups = nodes.join(joined, "node", "left").select(*(F.col(c).alias(f"_{c}") for c in (*key, "valor")), F.coalesce("grupo", "node").alias("grupo"))
+    same = [rows[c].eqNullSafe(F.col(f"_{c}")) for c in (*key, "valor")]
+    return rows.join(groups, same, "left").select("id", F.coalesce("grupo", "id").alias("grupo"))

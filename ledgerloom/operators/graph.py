@@ -27,14 +27,14 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 def khop(edges: DataFrame, start: list[str], hops: int) -> DataFrame:
     """Nodes within ``hops`` undirected steps of ``start``, with their distance.
 
-    Each hop joins the edges, as they are, with the frontier from either end; frontier and reached nodes are stored
-    after each hop.
+    Each hop keeps the edges that the frontier has, from either end; these are semi joins, which Spark moves below a
+    ``distinct`` of the edges, so no hop shuffles all of them. The frontier is stored after each hop.
     """
     reached = edges.sparkSession.createDataFrame([(s, 0) for s in start], "id string, distance int")
     frontier = reached
     for hop in range(1, hops + 1):
-        ahead = edges.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id"))
-        back = edges.join(frontier.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"))
+        ahead = edges.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"))
+        back = edges.join(frontier.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"))
         step = ahead.unionByName(back).distinct().join(reached.select("id"), "id", "left_anti")
         frontier = _stored(step.withColumn("distance", F.lit(hop)), "frontier")
         reached = reached.unionByName(frontier)

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.expressions import normal_product, normal_supplier
-from ledgerloom.functions.similarity import token_set, token_set_ratio, token_sort_ratio
+from ledgerloom.functions.similarity import token_set_ratio
+
+from .graph import _stored
+from .similar import greedy_heads, nearest_heads, similar_by_order, similar_by_set
 
 TOKEN = r"([a-zA-ZÀ-ÿ0-9]{2,})"
 
@@ -30,53 +33,53 @@ def weights(terms: DataFrame, idfs: DataFrame, key: str) -> DataFrame:
     return w.join(norm, key).select(key, "token", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def top_cosines(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """(q, id, cosine): the ``k`` rows of ``corpus`` (id, token, w) with the largest cosine to each of ``queries`` (q, token, w), ties to the least id.
+
+    Only lists that can matter are joined. A token's list is ordered by weight: its largest weight bounds what the token
+    adds to any score, and if its k-th weight is w, k rows score at least the query's weight times w. The best of those
+    is a floor under a query's k-th score; tokens whose bounds together stay below it cannot bring a row in alone,
+    so a query looks rows up by its other tokens, and those rows get exact scores. Common tokens weigh little and
+    are what is left out.
+    """
+    w = F.col("w")
+    ranked = corpus.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("w")))).filter(F.col("rank") <= k)
+    heads = ranked.groupBy("token").agg(F.max("w").alias("most"), F.max(F.when(F.col("rank") == k, w)).alias("kth"))
+    bounded = _stored(queries.join(heads, "token").select("q", "token", "w", (w * F.col("most")).alias("bound"), (w * F.coalesce("kth", F.lit(0.0))).alias("least")), "bounds")
+    own = Window.partitionBy("q")
+    below = F.sum("bound").over(own.orderBy("bound", "token"))
+    needed = bounded.withColumns({"below": below, "floor": F.max("least").over(own)}).filter(F.col("below") >= F.col("floor") - 1e-7)
+    pairs = needed.select("q", "token").join(corpus.select("id", "token"), "token").select("q", "id").distinct()
+    mine, theirs = bounded.select("q", "token", F.col("w").alias("a")), corpus.select("id", "token", F.col("w").alias("b"))
+    scores = pairs.join(mine, "q").join(theirs, ["id", "token"]).groupBy("q", "id").agg(F.sum(F.col("a") * F.col("b")).alias("cosine")).filter("cosine > 0")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("cosine", 9)), "id"))
+    return scores.withColumn("rn", place).filter(F.col("rn") <= k).select("q", "id", "cosine")
+
+
 def knn_vote(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """Label of each query by its k nearest corpus rows (cosine > 0), votes weighted by cosine.
 
     ``queries`` has (q, text), ``corpus`` (id, text, label). Equal corpus texts of one label are one row
-    with a count before anything is joined, so copies do not multiply pairs.
+    before anything is joined, so copies do not multiply pairs.
     """
-    packed = corpus.groupBy("text", "label").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    n = packed.count()
+    packed = _stored(corpus.groupBy("text", "label").agg(F.min("id").alias("id")), "packed")
     ct = term_counts(packed, "id", "text")
-    idfs = idf(ct, n)
-    cw = weights(ct, idfs, "id")
+    idfs = idf(ct, packed.count())
+    cw = _stored(weights(ct, idfs, "id"), "weights")
     qw = weights(term_counts(queries, "q", "text"), idfs, "q")
-    scores = qw.select("q", "token", F.col("w").alias("a")).join(cw.select("id", "token", F.col("w").alias("b")), "token").groupBy("q", "id").agg(F.sum(F.col("a") * F.col("b")).alias("cosine"))
-    top = scores.filter("cosine > 0").withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("cosine", 9)), "id"))).filter(F.col("rn") <= k)
+    top = top_cosines(qw, cw, k)
     votes = top.join(packed.select("id", "label"), "id").groupBy("q", "label").agg(F.sum("cosine").alias("vote"))
     best = votes.groupBy("q").agg(F.sum("vote").alias("all"), F.min_by("label", F.struct((-F.round("vote", 9)).alias("v"), "label")).alias("label"), F.max("vote").alias("vote"))
     return best.select("q", "label", F.round(F.col("vote") / F.col("all"), 3).alias("confidence"))
 
 
-def _keys(names: DataFrame, key: str, norm: str, frequent: DataFrame) -> DataFrame:
-    """(key, norm, block): a name's rare tokens; where it has none, the pairs of its tokens."""
-    tokens = names.select(key, norm, F.array_distinct(F.split(norm, " ")).alias("t"))
-    marked = tokens.select(key, norm, "t", F.explode("t").alias("token")).join(frequent.withColumn("f", F.lit(True)), "token", "left")
-    rare = marked.filter("f is null").select(key, norm, F.col("token").alias("block"))
-    plain = tokens.join(rare.select(key).distinct(), key, "left_anti").withColumn("t", F.array_sort("t"))
-    pairs = F.flatten(F.transform("t", lambda a, i: F.transform(F.slice("t", i + 1, F.size("t")), lambda b: F.concat(a, F.lit(" "), b))))
-    return rare.unionByName(plain.select(key, norm, F.explode(pairs).alias("block")))
-
-
-def _frequent(sides: list[tuple[DataFrame, str]], share: float, least: int) -> DataFrame:
-    """Tokens of more than ``share`` of all names and of more than ``least`` of them."""
-    parts = [df.select(F.explode(F.array_distinct(F.split(c, " "))).alias("token")) for df, c in sides]
-    n = sum(df.count() for df, _ in sides)
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.unionByName(p)
-    return all_.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > max(least, share * n)).select("token")
-
-
-def resolve_names(names: DataFrame, canon: DataFrame, least: float = 85.0, share: float = 0.01, rare: int = 1000) -> DataFrame:
+def resolve_names(names: DataFrame, canon: DataFrame, least: float = 85.0) -> DataFrame:
     """Each distinct name with its canonical name: name, canonical, score, kind, source.
 
     ``names`` has (name, tax_id), ``canon`` (canonical, tax_id), tax ids may be null. A name whose normal form equals
     a canonical one's takes it unless their tax ids differ; else the most similar one by the sorted ratio counts:
-    95 and more is a match, ``least`` and more a suggestion, less, or another tax id, a new name. Names are
-    compared if they share a rare token (of at most ``share`` of the names or ``rare`` of them), or, where a name
-    has none, two tokens.
+    95 and more is a match, ``least`` and more a suggestion, less, or another tax id, a new name. No canonical name
+    of ``least`` or more is missed; where there is none, the score is 0.
     """
     n = names.select("name", "tax_id", normal_supplier(F.col("name")).alias("norm")).groupBy("name", "norm").agg(F.min("tax_id").alias("tax_id"))
     c = canon.select("canonical", F.col("tax_id").alias("other_id"), normal_supplier(F.col("canonical")).alias("cnorm")).groupBy("canonical", "cnorm").agg(F.min("other_id").alias("other_id"))
@@ -84,12 +87,11 @@ def resolve_names(names: DataFrame, canon: DataFrame, least: float = 85.0, share
     exact = n.join(c, n.norm == c.cnorm).filter(~differ).groupBy("name").agg(F.min("canonical").alias("canonical"))
     exact = exact.select("name", "canonical", F.lit(100.0).alias("score"), F.lit("match").alias("kind"), F.lit("equal").alias("source"))
     rest = n.join(exact.select("name"), "name", "left_anti")
-    frequent = _frequent([(n, "norm"), (c, "cnorm")], share, rare)
-    pairs = _keys(rest, "name", "norm", frequent).join(_keys(c, "canonical", "cnorm", frequent), "block").select("name", "norm", "canonical", "cnorm").distinct()
-    scored = pairs.withColumn("score", F.floor(token_sort_ratio("norm", "cnorm")).cast("double"))
-    best = scored.groupBy("name").agg(F.min_by("canonical", F.struct((-F.col("score")).alias("s"), "canonical")).alias("canonical"), F.max("score").alias("score"))
-    near = rest.join(best, "name", "left").join(c.select("canonical", "other_id"), "canonical", "left")
-    low = F.coalesce(F.col("score") < least, F.lit(True))
+    near = similar_by_order(rest.select(F.col("norm").alias("s")), c.select(F.col("cnorm").alias("s")), least)
+    scored = near.join(c.select(F.col("cnorm").alias("b"), "canonical"), "b").withColumn("score", F.floor("score").cast("double"))
+    best = scored.groupBy(F.col("a").alias("norm")).agg(F.min_by("canonical", F.struct((-F.col("score")).alias("s"), "canonical")).alias("canonical"), F.max("score").alias("score"))
+    near = rest.join(best, "norm", "left").join(c.select("canonical", "other_id"), "canonical", "left")
+    low = F.col("score").isNull()
     near = near.select(
         "name", F.when(low | differ, F.col("norm")).otherwise(F.col("canonical")).alias("canonical"), F.coalesce("score", F.lit(0.0)).alias("score"),
         F.when(low | differ, "new").when(F.col("score") >= 95, "match").otherwise("suggestion").alias("kind"),
@@ -98,41 +100,15 @@ def resolve_names(names: DataFrame, canon: DataFrame, least: float = 85.0, share
     return exact.unionByName(near)
 
 
-def greedy_clusters(rows: list[tuple[int, str]], least: float, proposal: float) -> list[tuple[int, int, float, str]]:
-    """(id, cluster, score, role) of names in the order of their ids: each joins the most similar head of ``least`` or more.
-
-    From ``proposal`` on a name is only proposed to that head; below it founds a cluster. The earliest of equal heads wins.
-    """
-    heads: list[tuple[int, str]] = []
-    out = []
-    for i, norm in sorted(rows):
-        score, head = 0.0, None
-        for h, text in heads:
-            s = float(int(token_set(norm, text)))
-            if s > score:
-                score, head = s, h
-        if head is not None and score >= least:
-            out.append((i, head, score, "member"))
-        elif head is not None and score >= proposal:
-            out.append((i, head, score, "proposal"))
-        else:
-            heads.append((i, norm))
-            out.append((i, i, 100.0, "member"))
-    return out
-
-
 def cluster_products(items: DataFrame, least: float = 95.0, proposal: float = 80.0, overrides: dict[str, str] | None = None) -> DataFrame:
     """Groups of similar product names: (id, name, cluster, score, role), role member, proposal or override.
 
-    Names are compared in normal form; ``overrides`` maps normal forms to canonical names and goes first: its names
-    form the cluster of the canonical form (the least id among them). Distinct names that reach ``proposal``
-    with a name they share a token with are connected, and the greedy pass of :func:`greedy_clusters` runs over each
-    connected component, as names of different components never meet.
+    Names are compared in normal form, in the order of their least ids: each joins the most similar head (the set ratio,
+    whole points; the earliest of equal ones) of ``least`` or more, is proposed to it from ``proposal`` on, or else
+    is a head itself. ``overrides`` maps normal forms to canonical names and goes first: its names form the cluster of
+    the canonical form (the least id among them). The heads are those of the pass in order, but found by rounds
+    over all names at once.
     """
-    import pandas as pd
-
-    from .graph import connected
-
     named = items.withColumn("norm", normal_product(F.col("name"))).filter("norm <> ''")
     mapped = {k: v for k, v in (overrides or {}).items()}
     canon = F.create_map(*[F.lit(x) for kv in mapped.items() for x in kv])[F.col("norm")] if mapped else F.lit(None).cast("string")
@@ -141,18 +117,14 @@ def cluster_products(items: DataFrame, least: float = 95.0, proposal: float = 80
     first = done.groupBy("canon").agg(F.min("id").alias("cluster"))
     done = done.join(first, "canon").select("id", "name", "cluster", F.lit(100.0).alias("score"), F.lit("override").alias("role"))
     named = named.filter("canon is null")
-    distinct = named.groupBy("norm").agg(F.min("id").alias("node"))
-    blocks = _keys(distinct, "node", "norm", _frequent([(distinct, "norm")], 0.01, 200))
-    other = blocks.select("block", F.col("node").alias("other"), F.col("norm").alias("other_norm"))
-    pairs = blocks.join(other, "block").filter("node < other").select("node", "norm", "other", "other_norm").distinct()
-    near = pairs.filter(F.floor(token_set_ratio("norm", "other_norm")) >= proposal).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    parts = distinct.join(connected(near), "node", "left").withColumn("part", F.coalesce("component", "node"))
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(greedy_clusters(list(zip(rows["node"], rows["norm"])), least, proposal), columns=["node", "cluster", "score", "role"])
-
-    heads = parts.select("part", "node", "norm").groupBy("part").applyInPandas(greedy, "node long, cluster long, score double, role string")
-    found = named.join(distinct, "norm").join(heads, "node").select("id", "name", "cluster", "score", "role")
+    nodes = named.groupBy("norm").agg(F.min("id").alias("node"))
+    ids = lambda s, i: nodes.select(F.col("norm").alias(s), F.col("node").alias(i))
+    pairs = similar_by_set(nodes.select(F.col("norm").alias("s")), proposal).join(ids("a", "i"), "a").join(ids("b", "j"), "b")
+    pairs = _stored(pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.floor("score").cast("double").alias("score")), "similar")
+    heads = greedy_heads(nodes, pairs)
+    joined = nearest_heads(pairs, heads).select("node", F.col("head").alias("cluster"), "score", F.when(F.col("score") >= least, "member").otherwise("proposal").alias("role"))
+    roles = joined.unionByName(heads.select("node", F.col("node").alias("cluster"), F.lit(100.0).alias("score"), F.lit("member").alias("role")))
+    found = named.join(nodes, "norm").join(roles, "node").select("id", "name", "cluster", "score", "role")
     return found.unionByName(done)
 
 

@@ -21,5 +21,5 @@ def query(sql: str | None = None):
     return add
 
 
-for _part in ("ledger_queries", "event_queries", "text_queries", "join_queries", "finance_queries", "format_queries", "document_queries", "conform_queries", "report_queries", "wellbeing_queries", "graph_queries", "reader_queries", "extra_queries"):
+for _part in ("ledger_queries", "event_queries", "text_queries", "join_queries", "finance_queries", "format_queries", "document_queries", "conform_queries", "report_queries", "wellbeing_queries", "graph_queries", "reader_queries", "extra_queries", "registry_queries"):
     importlib.import_module(f"ledgerloom.plans.{_part}")

@@ -138,7 +138,8 @@ def promote_to_transfer(spark, d):
 KEYED = "SELECT *, abs(valor) AS v, lower(trim(regexp_replace(coalesce(local, ''), '^.*? - ', ''))) AS t, CASE WHEN coalesce(banco_origem, '') IN ('', 'Histórico') THEN '_sem_banco' ELSE banco_origem END AS b, coalesce(nullif(descricao, ''), local) AS dito FROM {}"
 COLS = ", ".join(COLUMNS)
 ONCE = f"SELECT {COLS} FROM (SELECT *, row_number() OVER (PARTITION BY identificador ORDER BY ordem) AS rn FROM {{}}) WHERE identificador IS NULL OR rn = 1"
-NO_HISTORY = f"""SELECT {COLS} FROM ({KEYED}) h WHERE NOT (b = '_sem_banco' AND NOT virtual AND EXISTS (SELECT 1 FROM ({KEYED}) r WHERE r.b <> '_sem_banco' AND NOT r.virtual AND r.data = h.data AND r.v = h.v AND r.t = h.t))"""
+NO_HISTORY = f"""SELECT {", ".join("h." + c for c in COLUMNS)} FROM ({KEYED}) h LEFT JOIN (SELECT DISTINCT data, v, t FROM ({KEYED}) WHERE b <> '_sem_banco' AND NOT virtual) r ON r.data = h.data AND r.v = h.v AND r.t = h.t
+  WHERE r.v IS NULL OR b <> '_sem_banco' OR virtual"""
 FUZZY = f"""SELECT {COLS} FROM (SELECT *, count(*) OVER (PARTITION BY data, v, t, b) AS n, max(CAST(virtual AS INTEGER)) OVER (PARTITION BY data, v, t, b) AS vv,
   row_number() OVER (PARTITION BY data, v, t, b ORDER BY CASE WHEN banco_origem = 'Histórico' THEN 1 ELSE 0 END, length(coalesce(dito, '')) DESC, ordem) AS rn FROM ({KEYED})) WHERE n = 1 OR vv = 1 OR rn = 1"""
 SHEETS = f"""SELECT {COLS} FROM (SELECT *, max(CASE WHEN k AND lower(arquivo) LIKE '%.ofx' THEN 1 ELSE 0 END) OVER (PARTITION BY data, v, banco_origem, coalesce(quem, '')) AS a

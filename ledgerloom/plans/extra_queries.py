@@ -259,7 +259,7 @@ def first_dates(spark, d):
  SELECT user_id, CAST(min(first + 6) AS DATE) AS day FROM r WHERE n >= 7 GROUP BY 1""")
 def stream_first_runs(spark, d):
     """W3 as a stream with a state for each user."""
-    return E.first_runs(E.source(spark, f"{d}/events*.parquet"), 7)
+    return E.first_runs(E.source(spark, f"{d}/events*.parquet"), table(spark, d, "events"), 7)
 
 
 @query("SELECT event_id, ts < (SELECT max(ts) FROM events) - INTERVAL 20 DAY AS late FROM events")

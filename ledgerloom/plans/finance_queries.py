@@ -136,8 +136,13 @@ def validator_all(spark, d):
     return N.validations(ledger(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {W[5:]}, x AS (SELECT identificador AS id, mes_ref, "local" AS l, CAST(valor AS DOUBLE) AS v, row_number() OVER (PARTITION BY mes_ref, "local" ORDER BY identificador) AS rn FROM ledger WHERE tipo = '{INCOME}'),
+ s AS (SELECT mes_ref, l, rn, id, id AS grupo, [{{'g': id, 'v': v}}] AS heads FROM x WHERE rn = 1
+ UNION ALL SELECT mes_ref, l, rn, id, coalesce(h, id), CASE WHEN h IS NULL THEN list_append(heads, {{'g': id, 'v': v}}) ELSE heads END
+ FROM (SELECT x.*, s.heads, list_filter(s.heads, lambda f: abs(x.v - f.v) <= 0.05 * least(abs(x.v), abs(f.v)))[1].g AS h FROM s JOIN x ON x.mes_ref = s.mes_ref AND x.l = s.l AND x.rn = s.rn + 1))
+ SELECT id, grupo FROM s""")
 def same_reality_groups(spark, d):
+    """J10."""
     rows = ledger(spark, d).filter(F.col("tipo") == INCOME).select(F.col("identificador").alias("id"), "mes_ref", "local", F.col("valor").cast("double").alias("valor"))
     return N.same_reality(rows, ["mes_ref", "local"])
 

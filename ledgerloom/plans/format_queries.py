@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.schema import EXPENSE, INCOME
 from ledgerloom.sources import sinks, statements as S
 from ledgerloom.streaming import events_stream as E
+from ledgerloom.streaming import merge as M
 
 from .catalogue import query
 from .ledger import ledger, table
@@ -102,6 +103,10 @@ def _stream(spark, d):
     return E.source(spark, f"{d}/events*.parquet")
 
 
+def _events(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet")
+
+
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def stream_distinct(spark, d):
     return E.distinct_events(_stream(spark, d))
@@ -109,17 +114,39 @@ def stream_distinct(spark, d):
 
 @query("SELECT CAST(date_trunc('week', ts) AS DATE) AS semana, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DECIMAL(28,6)) AS total FROM events GROUP BY 1, 2")
 def stream_weekly(spark, d):
-    return E.weekly(_stream(spark, d))
+    return E.weekly(_stream(spark, d), _events(spark, d))
 
 
 @query("""WITH w AS (SELECT user_id, CAST(ts AS DATE) - CAST(i AS INTEGER) AS desde FROM events, range(0, 7) t(i))
  SELECT user_id, CAST(desde AS DATE) AS desde, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(*) >= 3""")
 def stream_busy_windows(spark, d):
-    return E.busy_windows(_stream(spark, d))
+    return E.busy_windows(_stream(spark, d), _events(spark, d))
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 5 DAY THEN 0 ELSE 1 END AS fresh FROM events),
  s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
  SELECT user_id, CAST(min(ts) AS DATE) AS desde, count(*) AS n, min(event_id) AS first_id FROM s GROUP BY user_id, k""")
 def stream_sessions(spark, d):
-    return E.sessions(_stream(spark, d))
+    return E.sessions(_stream(spark, d), _events(spark, d))
+
+
+@query("SELECT user_id, event_type, max(ts) AS ts, CASE WHEN user_id % 3 = 0 THEN 'visto' END AS marca FROM events GROUP BY 1, 2 UNION ALL SELECT c_custkey + 1000000000, 'sem evento', NULL, 'visto' FROM customer")
+def stream_upsert(spark, d):
+    """Micro-batches merged into a table by key; what people marked stays, whatever is run again."""
+    path = sinks.shared_path(spark, "merged")
+    table = M.MergedTable(spark, path, "user_id long, event_type string, ts timestamp, marca string", ["user_id", "event_type"], ["marca"])
+    events = _events(spark, d).select(F.col("user_id").cast("long").alias("user_id"), "event_type", F.col("ts").cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("marca"))
+    marked = events.filter("user_id % 3 = 0").groupBy("user_id", "event_type").agg(F.min("ts").alias("ts")).withColumn("marca", F.lit("visto"))
+    customers = spark.read.parquet(f"{d}/customer.parquet").select((F.col("c_custkey") + 1000000000).alias("user_id"), F.lit("sem evento").alias("event_type"), F.lit(None).cast("timestamp").alias("ts"), F.lit("visto").alias("marca"))
+    table.apply(marked.unionByName(customers), 0, "ts")
+    # the stream's batches come after the table's first one; each keeps the latest row of a key
+    rows = _stream(spark, d).select(F.col("user_id").cast("long").alias("user_id"), "event_type", "ts", F.lit(None).cast("string").alias("marca"))
+    return M.merged(rows, table, "ts", f"{path}/state", first=1)
+
+
+@query("SELECT event_id, ts < (SELECT max(ts) FROM events) - INTERVAL 1000 DAY AS late FROM events")
+def stream_routed(spark, d):
+    """Events in time and late ones in two tables of one stream; a first delivery knows no later events."""
+    path = sinks.shared_path(spark, "routed")
+    in_time, late = M.routed(_stream(spark, d), path, f"{path}/state", 45)
+    return in_time.select("event_id", F.lit(False).alias("late")).unionByName(late.select("event_id", F.lit(True).alias("late")))

@@ -102,7 +102,7 @@ def consumer_items(spark, d):
 
 
 KEY = "35240112345678000190550010000000011123456789"
-NFE = """concat('<nfeProc><NFe><infNFe Id="NFe', {key}, '"><ide><dhEmi>', data, 'T10:00:00</dhEmi></ide><emit><xNome>', local, '</xNome></emit><det nItem="1"><prod><cProd>A</cProd><xProd>', categoria, '</xProd><vProd>', valor, '</vProd></prod><imposto><ICMS><ICMS00><vICMS>1.50</vICMS></ICMS00></ICMS><PIS><PISAliq><vPIS>0.25</vPIS></PISAliq></PIS></imposto></det><det nItem="2"><prod><cProd>B</cProd><vProd>2.00</vProd></prod></det><total><ICMSTot><vNF>', valor + 2, '</vNF></ICMSTot></total></infNFe></NFe><protNFe><infProt><cStat>', if(identificador % 7 = 0, '101', '100'), '</cStat></infProt></protNFe></nfeProc>')"""
+NFE = """concat('<nfeProc xmlns="http://example.org/nfe"><!-- <vNF>1.00</vNF> --><NFe><infNFe Id="NFe', {key}, '"><ide><dhEmi>', data, 'T10:00:00</dhEmi></ide><emit><xNome>', if(identificador % 2 = 0, concat('<![CDATA[', local, ']]>'), local), ' &amp; <!-- x -->Cia</xNome></emit><det nItem="1"><prod><cProd>A</cProd><xProd>', categoria, '</xProd><vProd>', valor, '</vProd></prod><imposto><ICMS><ICMS00><vICMS>1.50</vICMS></ICMS00></ICMS><PIS><PISAliq><vPIS>0.25</vPIS></PISAliq></PIS></imposto></det><det nItem="2"><prod><cProd>B</cProd><vProd>2.00</vProd></prod></det><total><ICMSTot><vNF>', valor + 2, '</vNF></ICMSTot></total></infNFe></NFe><protNFe><infProt><cStat>', if(identificador % 7 = 0, '101', '100'), '</cStat></infProt></protNFe></nfeProc>')"""
 
 
 def _key() -> str:
@@ -111,7 +111,7 @@ def _key() -> str:
     return body + str(0 if rest < 2 else 11 - rest)
 
 
-@query(f"""{W} SELECT CAST({K} AS VARCHAR) AS path, '{_key()}' AS chave, '12345678000190' AS cnpj_emitente, "local" AS razao_social, data AS data_emissao, CAST(valor + 2 AS DECIMAL(18,2)) AS total, {K} % 7 = 0 AS cancelada FROM ledger WHERE {K} % 5 <> 0""")
+@query(f"""{W} SELECT CAST({K} AS VARCHAR) AS path, '{_key()}' AS chave, '12345678000190' AS cnpj_emitente, "local" || ' & Cia' AS razao_social, data AS data_emissao, CAST(valor + 2 AS DECIMAL(18,2)) AS total, {K} % 7 = 0 AS cancelada FROM ledger WHERE {K} % 5 <> 0""")
 def xml_invoices(spark, d):
     """Keys with a wrong digit are no invoices; cancelled ones are marked."""
     bad = _key()[:43] + str((int(_key()[43]) + 1) % 10)
@@ -121,7 +121,7 @@ def xml_invoices(spark, d):
 @query(f"""{W} SELECT CAST({K} AS VARCHAR) AS path, 1 AS item, 'A' AS codigo, categoria AS descricao, valor AS valor_total, 1.50 AS icms, 0.00 AS ipi, 0.25 AS pis, 0.00 AS cofins FROM ledger UNION ALL SELECT CAST({K} AS VARCHAR), 2, 'B', NULL, 2.00, 0.00, 0.00, 0.00, 0.00 FROM ledger""")
 def xml_items(spark, d):
     """Four taxes at any depth, each item by itself."""
-    return R.nfe_items(text(spark, d, NFE.format(key=f"'{_key()}'")))
+    return statements.parse_nfe_items(text(spark, d, NFE.format(key=f"'{_key()}'"))).drop("qtde")
 
 
 LAYOUTS = [

@@ -41,7 +41,16 @@ def tfidf_idf(spark, d):
     return T.idf(T.term_counts(part, "p_partkey", "p_name"), part.count()).withColumn("idf", F.round("idf", 9))
 
 
-@query()
+@query(r"""WITH c AS (SELECT p_name AS text, p_brand AS label, min(p_partkey) AS id FROM part GROUP BY 1, 2), qs AS (SELECT p_name AS text, min(p_partkey) AS q FROM part GROUP BY 1),
+ ct AS (SELECT id, token, count(*) AS c, any_value(len) AS len FROM (SELECT id, len(t) AS len, unnest(t) AS token FROM (SELECT id, regexp_extract_all(lower(text), '[a-zA-ZÀ-ÿ0-9]{2,}') AS t FROM c)) GROUP BY 1, 2),
+ i AS (SELECT token, ln(CAST((SELECT count(*) FROM c) AS DOUBLE) / (1 + count(*))) + 1 AS idf FROM ct GROUP BY 1),
+ qt AS (SELECT q, token, count(*) AS c, any_value(len) AS len FROM (SELECT q, len(t) AS len, unnest(t) AS token FROM (SELECT q, regexp_extract_all(lower(text), '[a-zA-ZÀ-ÿ0-9]{2,}') AS t FROM qs)) GROUP BY 1, 2),
+ cv AS (SELECT id, token, c / len * idf AS w FROM ct JOIN i USING (token) WHERE idf > 0), qv AS (SELECT q, token, c / len * idf AS w FROM qt JOIN i USING (token) WHERE idf > 0),
+ cw AS (SELECT id, token, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM cv), qw AS (SELECT q, token, w / sqrt(sum(w * w) OVER (PARTITION BY q)) AS w FROM qv),
+ s AS (SELECT q, id, sum(qw.w * cw.w) AS cosine FROM qw JOIN cw USING (token) GROUP BY 1, 2),
+ top AS (SELECT q, id, cosine FROM s WHERE cosine > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(cosine, 9) DESC, id) <= 5),
+ v AS (SELECT q, label, sum(cosine) AS vote FROM top JOIN c USING (id) GROUP BY 1, 2)
+ SELECT q, arg_min(label, (-round(vote, 9), label)) AS label, round(max(vote) / sum(vote), 3) AS confidence FROM v GROUP BY 1""")
 def tfidf_knn_vote(spark, d):
     part = table(spark, d, "part")
     corpus = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), F.col("p_brand").alias("label"))

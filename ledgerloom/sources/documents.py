@@ -5,7 +5,7 @@ A text comes from a text layer or an external reader; all parsing is native. Tex
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.conform import Couple, of_couple
@@ -85,19 +85,53 @@ def bill_line(line: Column) -> Column:
     return F.concat(*out)
 
 
+# ---- lines and words
+
+
+def lines_of(text: Column) -> Column:
+    """The lines of a text that are not blank, trimmed."""
+    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+
+
+def words_of(line: Column) -> Column:
+    return F.split(line, r"\s+")
+
+
+def first_where(values: Column, test) -> Column:
+    return F.get(F.filter(values, test), F.lit(0))
+
+
+def is_amount(word: Column) -> Column:
+    return word.rlike(r"^[0-9][0-9.]*,[0-9]{2}$")
+
+
+def numbered_lines(texts: DataFrame, *key: str) -> DataFrame:
+    """(key..., n, line, words): one row a line."""
+    lines = texts.select(*key, F.posexplode(lines_of(F.col("content"))).alias("n", "line"))
+    return lines.withColumn("words", words_of(F.col("line")))
+
+
 def energy_blocks(files: DataFrame) -> DataFrame:
-    """(path, mes, ano, kwh, valor) of each month block of an energy bill's text; a block without month or value is none."""
-    block = files.select("path", F.explode(F.split("content", r"(?=M[eê]s\s*\n)")).alias("b"))
-    b = F.col("b")
-    kwh = F.coalesce(group(b, r"(?:[Cc]onsumo\s*\n?\s*)?(\d{2,4})\s*[Kk][Ww][Hh]").try_cast("int"), F.lit(0))
-    out = block.select("path", group(b, r"(\d{2})/(\d{4})", 1).cast("int").alias("mes"), group(b, r"(\d{2})/(\d{4})", 2).cast("int").alias("ano"), kwh.alias("kwh"), parse_br(group(b, r"(?:Valor|R\$)\s*\n?\s*R?\$?\s*([\d.]+,\d{2})")).alias("valor"))
-    return out.filter("mes is not null and valor is not null")
+    """(path, mes, ano, kwh, valor) of each month of an energy bill's text; a month without its date or value is none.
+
+    Each line is a label or has a value: a line ``Mês`` begins a block, and of its lines the first one with a month, with a number
+    before ``kWh`` and with an amount count. Without consumption it is 0.
+    """
+    label = F.lower("line").isin("mês", "mes")
+    lines = numbered_lines(files, "path").withColumn("block", F.sum(label.cast("int")).over(Window.partitionBy("path").orderBy("n"))).filter("block > 0")
+    month = first_where(F.col("words"), lambda w: w.rlike(r"^[0-9]{2}/[0-9]{4}$"))
+    units = F.transform("words", lambda w: F.lower(w))
+    used = F.when(F.array_position(units, "kwh") > 1, F.get("words", (F.array_position(units, "kwh") - 2).cast("int"))).otherwise(F.regexp_replace(first_where(units, lambda w: w.rlike("^[0-9]+kwh$")), "kwh", ""))
+    amount = first_where(F.transform("words", lambda w: F.regexp_replace(w, r"^R[$]", "")), is_amount)
+    marked = lines.select("path", "block", "n", month.alias("month"), used.try_cast("int").alias("kwh"), amount.alias("amount"))
+    first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("n"))).alias(c)
+    blocks = marked.groupBy("path", "block").agg(first("month"), first("kwh"), first("amount")).filter("month is not null and amount is not null")
+    return blocks.select("path", F.substring("month", 1, 2).cast("int").alias("mes"), F.substring("month", 4, 4).cast("int").alias("ano"), F.coalesce("kwh", F.lit(0)).alias("kwh"), parse_br(F.col("amount")).alias("valor"))
 
 
 # ---- invoices and receipts
 
 MARKERS = (r"NFC-?e", r"CONSUMIDOR", r"CHAVE DE ACESSO")
-ITEM = r"(?m)^\s*([0-9][0-9A-Za-z]{5,14})\s+(.+?)\s+([0-9]+(?:[.,][0-9]+)?)\s+(UN|KG|L|PC|CX)\s+([0-9.]+,[0-9]{2})\s+([0-9.]+,[0-9]{2})\s*$"
 
 
 def split_invoices(files: DataFrame, mark: str, markers: tuple[str, ...] = MARKERS, least: int = 2) -> DataFrame:
@@ -108,28 +142,45 @@ def split_invoices(files: DataFrame, mark: str, markers: tuple[str, ...] = MARKE
 
 
 def invoice_head(content: Column) -> list[Column]:
+    """Key, number, day and total of a consumer's invoice, each from the line that is made of it.
+
+    The key's line has 44 digits and blanks; the number is the first one of the line that names the kind; the day stands before
+    a time; the total ends the first line that begins with what is to be paid.
+    """
+    lines = lines_of(content)
+    digits = F.transform(lines, lambda x: F.regexp_replace(x, r"\s", ""))
+    kind = words_of(first_where(lines, lambda x: F.upper(x).startswith("NFC")))
+    timed = words_of(first_where(lines, lambda x: F.exists(words_of(x), lambda w: w.rlike(r"^[0-9]{1,2}:[0-9]{2}")) & F.exists(words_of(x), lambda w: w.rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$"))))
+    paid = words_of(first_where(lines, lambda x: F.regexp_replace(F.upper(x), r"\s+", " ").rlike("^VALOR (TOTAL|A PAGAR)")))
+    day = first_where(timed, lambda w: w.rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$"))
+    amounts = F.filter(F.transform(paid, lambda w: F.regexp_replace(w, r"^R[$]", "")), is_amount)
     return [
-        F.regexp_replace(group(content, r"((?:\d{4}\s*){10}\d{4})"), r"\s", "").alias("chave"), group(content, r"(?i)NFC-?e\s*N?\S?\s*(\d{1,9})\s+S[eé]rie").alias("numero"),
-        F.try_to_timestamp(group(content, r"(\d{2}/\d{2}/\d{4})\s+\d{1,2}:\d{2}"), F.lit("dd/MM/yyyy")).cast("date").alias("data"), parse_br(group(content, r"(?i)VALOR\s+(?:TOTAL|A\s+PAGAR)\s*R?\$?\s*([\d.,]+)")).alias("total")]
+        first_where(digits, lambda x: x.rlike("^[0-9]{44}$")).alias("chave"), first_where(kind, lambda w: w.rlike("^[0-9]{1,9}$")).alias("numero"),
+        F.try_to_timestamp(day, F.lit("dd/MM/yyyy")).cast("date").alias("data"), parse_br(F.try_element_at(amounts, F.lit(-1))).alias("total"),
+    ]
 
 
 def invoice_items(rows: DataFrame) -> DataFrame:
-    """(path, nota, item, codigo, descricao, qtde, valor): item lines; a line that follows one goes on with its text."""
-    region = F.regexp_extract("content", r"(?s)ITENS\s*\n(.*?)(?:QTD\. TOTAL|VALOR)", 1)
-    joined = F.regexp_replace(region, r"(?m)\n(?!\s*[0-9][0-9A-Za-z]{5,14}\s)\s*(\S[^\n]*)", " ++$1")
-    line = F.regexp_replace(joined, r"(?m)^(\s*\S+\s+)(.+?)(\s+[0-9.,]+\s+(?:UN|KG|L|PC|CX)\s+[0-9.,]+\s+[0-9.,]+)((?: \+\+[^\n]*)?)$", "$1$2$4$3")
-    clean = F.regexp_replace(line, r" \+\+", " ")
-    part = {n: every(clean, ITEM, i) for n, i in (("codigo", 1), ("descricao", 2), ("qtde", 3), ("valor", 6))}
-    items = rows.select("path", "nota", F.posexplode(F.arrays_zip(*[c.alias(n) for n, c in part.items()])).alias("item", "i"))
-    return items.select("path", "nota", (F.col("item") + 1).alias("item"), "i.codigo", F.trim("i.descricao").alias("descricao"), F.replace("i.qtde", F.lit(","), F.lit(".")).try_cast("decimal(18,3)").alias("qtde"), parse_br(F.col("i.valor")).alias("valor"))
-
-
-def nfe_items(files: DataFrame) -> DataFrame:
-    """(path, item, codigo, descricao, valor_total, icms, ipi, pis, cofins): each item by itself, taxes at any depth, 0 without."""
-    det = files.select("path", F.posexplode(every(F.col("content"), r"(?s)(<(?:\w+:)?det\b.*?</(?:\w+:)?det>)")).alias("item", "d"))
-    tag = lambda n: group(F.col("d"), rf"<(?:\w+:)?{n}>([^<]*)<")
-    tax = lambda n: F.coalesce(tag(n).try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
-    return det.select("path", (F.col("item") + 1).alias("item"), tag("cProd").alias("codigo"), tag("xProd").alias("descricao"), tag("vProd").try_cast("decimal(18,2)").alias("valor_total"), *[tax(t).alias(n) for t, n in (("vICMS", "icms"), ("vIPI", "ipi"), ("vPIS", "pis"), ("vCOFINS", "cofins"))])
+    """(path, nota, item, codigo, descricao, qtde, valor): the item lines between ``ITENS`` and the totals.
+
+    A line is read from its right end: amount, price (a sign of times before it is skipped), unit, quantity; the first word is the
+    code and what is left the description. A line that is none goes on with the description above it.
+    """
+    own = Window.partitionBy("path", "nota").orderBy("n")
+    lines = numbered_lines(rows, "path", "nota")
+    lines = lines.withColumns({"began": F.max(F.upper("line").startswith("ITENS").cast("int")).over(own), "ended": F.max(F.upper("line").rlike(r"^(QTD\. TOTAL|VALOR)").cast("int")).over(own)})
+    lines = lines.filter((F.col("began") == 1) & (F.col("ended") == 0) & ~F.upper("line").startswith("ITENS"))
+    w = F.when(F.lower(F.try_element_at("words", F.lit(-3))) == "x", F.concat(F.slice("words", 1, F.size("words") - 3), F.slice("words", -2, 2))).otherwise(F.col("words"))
+    lines = lines.withColumn("w", w)
+    end = lambda i: F.try_element_at("w", F.lit(-i))
+    is_item = F.coalesce(
+        (F.size("w") >= 6) & is_amount(end(1)) & is_amount(end(2)) & end(3).rlike("^[A-Za-z]{1,5}$") & end(4).rlike("^[0-9]+([.,][0-9]+)?$") & F.get("w", F.lit(0)).rlike("^[0-9][0-9A-Za-z]{5,14}$"), F.lit(False))
+    lines = lines.withColumn("is_item", is_item).withColumn("item", F.sum(F.col("is_item").cast("int")).over(own)).filter("item > 0")
+    text = F.when(F.col("is_item"), F.concat_ws(" ", F.slice("w", 2, F.size("w") - 5))).otherwise(F.concat_ws(" ", "words"))
+    only = lambda c: F.max(F.when(F.col("is_item"), c))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", text.alias("t")))), lambda x: x["t"]), " ")
+    items = lines.groupBy("path", "nota", "item").agg(only(F.get("w", F.lit(0))).alias("codigo"), whole.alias("descricao"), only(end(4)).alias("q"), only(end(1)).alias("v"))
+    return items.select("path", "nota", F.col("item").cast("int").alias("item"), "codigo", "descricao", F.replace("q", F.lit(","), F.lit(".")).try_cast("decimal(18,3)").alias("qtde"), parse_br(F.col("v")).alias("valor"))
 
 
 def receipt_layout(content: Column, layouts: list[tuple[str, str, dict[str, str]]]) -> tuple[Column, Column, dict[str, Column]]:

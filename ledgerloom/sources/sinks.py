@@ -64,10 +64,15 @@ def sheet_counts(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     return out
 
 
+def yearly_share(value, rate, life):
+    """Value by yearly rate (0.1 where there is none) over its life (2), exactly."""
+    rate, life = F.coalesce(rate, F.lit(0.1)), F.coalesce(life, F.lit(2))
+    return value.cast("decimal(18,2)") * rate.cast("decimal(8,6)") / life.cast("decimal(6,0)")
+
+
 def monthly_loss(value, rate, life):
-    """Monthly loss of an item: value by yearly rate over its life, two places, in decimals."""
-    exact = value.cast("decimal(18,2)") * rate.cast("decimal(8,6)") / life.cast("decimal(6,0)")
-    return F.round(exact, 2).cast("double")
+    """Monthly loss of an item, two places."""
+    return F.round(yearly_share(value, rate, life), 2).cast("double")
 
 
 def due_dates(rows: DataFrame) -> DataFrame:

@@ -106,30 +106,51 @@ def parse_boleto(files: DataFrame) -> DataFrame:
     )
 
 
-def parse_nfe(files: DataFrame) -> DataFrame:
-    """Headers of invoices (path, content as XML): model 55 with a valid 44-digit key; cancelled ones are marked.
+#: An invoice's tree, below the root of a processed one or as the root itself, with the answers and events around it.
+_INVOICE = """struct<_Id: string, ide: struct<dhEmi: string, dEmi: string>, emit: struct<CNPJ: string, xNome: string>,
+ det: array<struct<_nItem: string, prod: struct<cProd: string, xProd: string, qCom: string, vProd: string>,
+ imposto: struct<ICMS: map<string, struct<vICMS: string>>, IPI: map<string, struct<vIPI: string>>, PIS: map<string, struct<vPIS: string>>, COFINS: map<string, struct<vCOFINS: string>>>>>,
+ total: struct<ICMSTot: struct<vNF: string>>>"""
+_STATE = "struct<infEvento: struct<tpEvento: string, cStat: string>>"
+_NFE = f"NFe struct<infNFe: {_INVOICE}>, infNFe {_INVOICE}, chNFe string, protNFe struct<infProt: struct<chNFe: string, cStat: string>>, evento {_STATE}, retEvento {_STATE}, cStat string"
+
+
+def nfe_trees(files: DataFrame) -> DataFrame:
+    """(path, nota, x): each file's XML in one structured pass, whatever its prefixes; ``nota`` is the invoice in it.
 
-    Elements are found by name, whatever their namespace prefix; all fields come from one pass of patterns each.
+    Entities and CDATA are text, comments are nothing; a file that is not well-formed has nulls.
     """
-    tag = lambda text, name: F.nullif(F.regexp_extract(text, rf"<(?:\w+:)?{name}(?:\s[^>]*)?>([^<]*)<", 1), F.lit(""))
-    block = lambda name: F.regexp_extract("content", rf"(?s)<(?:\w+:)?{name}(?:\s[^>]*)?>(.*?)</(?:\w+:)?{name}>", 1)
-    c = F.col("content")
-    key = invoice_key(F.coalesce(tag(c, "chNFe"), F.regexp_extract(c, r'<(?:\w+:)?infNFe[^>]*\bId="([^"]*)"', 1)))
-    rows = files.withColumn("chave", key).filter(F.col("chave").isNotNull()).filter(check_digit_ok(F.col("chave")) & (F.substring("chave", 21, 2) == "55"))
-    cancelled = F.coalesce(tag(c, "tpEvento") == "110111", F.lit(False)) | F.coalesce(tag(c, "cStat").isin("101", "135"), F.lit(False))
+    tree = files.select("path", F.from_xml("content", _NFE, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}).alias("x"))
+    return tree.select("path", F.coalesce("x.NFe.infNFe", "x.infNFe").alias("nota"), "x")
+
+
+def parse_nfe(files: DataFrame) -> DataFrame:
+    """Headers of invoices (path, content as XML): model 55 with a valid 44-digit key; cancelled ones are marked."""
+    rows = nfe_trees(files).withColumn("chave", invoice_key(F.coalesce("x.protNFe.infProt.chNFe", "x.chNFe", "nota._Id")))
+    rows = rows.filter(F.col("chave").isNotNull()).filter(check_digit_ok(F.col("chave")) & (F.substring("chave", 21, 2) == "55"))
+    states = F.array("x.protNFe.infProt.cStat", "x.retEvento.infEvento.cStat", "x.cStat")
+    events = F.array("x.evento.infEvento.tpEvento", "x.retEvento.infEvento.tpEvento")
+    cancelled = F.exists(states, lambda c: c.isin("101", "135")) | F.array_contains(events, "110111")
+    own = F.nullif(F.regexp_replace("nota.emit.CNPJ", r"\D", ""), F.lit(""))
     return rows.select(
-        "path", "chave", F.substring("chave", 7, 14).alias("cnpj_emitente"), tag(block("emit"), "xNome").alias("razao_social"),
-        F.to_date(F.substring(tag(c, "dhEmi"), 1, 10)).alias("data_emissao"), tag(block("ICMSTot"), "vNF").try_cast("decimal(18,2)").alias("total"), cancelled.alias("cancelada"),
+        "path", "chave", F.coalesce(own, F.substring("chave", 7, 14)).alias("cnpj_emitente"), F.nullif(F.trim("nota.emit.xNome"), F.lit("")).alias("razao_social"),
+        F.to_date(F.substring(F.coalesce("nota.ide.dhEmi", "nota.ide.dEmi"), 1, 10)).alias("data_emissao"), F.col("nota.total.ICMSTot.vNF").try_cast("decimal(18,2)").alias("total"),
+        F.coalesce(cancelled, F.lit(False)).alias("cancelada"),
     )
 
 
 def parse_nfe_items(files: DataFrame) -> DataFrame:
-    """Items of invoices: (path, item, codigo, descricao, qtde, valor_total); fields of one item stand at one place."""
-    every = lambda name: F.xpath("content", F.lit(f"//*[local-name()='det']//*[local-name()='prod']/*[local-name()='{name}']/text()"))
-    zipped = F.arrays_zip(every("cProd").alias("codigo"), every("xProd").alias("descricao"), every("qCom").alias("qtde"), every("vProd").alias("valor_total"))
-    return files.select("path", F.posexplode(zipped).alias("item", "i")).select(
-        "path", (F.col("item") + 1).alias("item"), "i.codigo", "i.descricao", F.col("i.qtde").try_cast("decimal(18,4)").alias("qtde"), F.col("i.valor_total").try_cast("decimal(18,2)").alias("valor_total")
-    )
+    """(path, item, codigo, descricao, qtde, valor_total, icms, ipi, pis, cofins): each item by itself, taxes of any kind, 0 without."""
+    items = nfe_trees(files).select("path", F.posexplode("nota.det").alias("item", "i"))
+
+    def tax(name: str, field: str) -> Column:
+        kinds = F.transform(F.map_values(F.col(f"i.imposto.{name}")), lambda v: v[field].try_cast("decimal(18,2)"))
+        return F.coalesce(F.try_element_at(F.filter(kinds, lambda v: v.isNotNull()), F.lit(1)), F.lit(0).cast("decimal(18,2)"))
+
+    return items.select(
+        "path", (F.col("item") + 1).alias("item"), "i.prod.cProd", "i.prod.xProd", F.col("i.prod.qCom").try_cast("decimal(18,4)").alias("qtde"), F.col("i.prod.vProd").try_cast("decimal(18,2)").alias("valor_total"),
+        *[tax(n, f).alias(n.lower()) for n, f in (("ICMS", "vICMS"), ("IPI", "vIPI"), ("PIS", "vPIS"), ("COFINS", "vCOFINS"))],
+    ).withColumnsRenamed({"cProd": "codigo", "xProd": "descricao"})
 
 
 def front_matter(files: DataFrame) -> DataFrame:

@@ -76,6 +76,28 @@ def test_nfe(spark):
     assert [(r["item"], r["descricao"], float(r["valor_total"])) for r in S.parse_nfe_items(files).collect()] == [(1, "Pão", 3.5), (2, "Leite", 4.0)]
 
 
+def test_nfe_of_odd_xml(spark):
+    body = "3524011234567800019055001000000001112345678"
+    total = sum(int(c) * (2 + i % 8) for i, c in enumerate(reversed(body)))
+    key = body + str(0 if total % 11 < 2 else 11 - total % 11)
+    item = "<n:det nItem='1'><n:prod><n:cProd>A</n:cProd><!-- <n:vProd>3</n:vProd> --><n:vProd>2.00</n:vProd></n:prod><n:imposto>{}</n:imposto></n:det>"
+    taxes = "<n:ICMS><n:ICMSSN101><n:orig>0</n:orig><n:vICMS>1.50</n:vICMS></n:ICMSSN101></n:ICMS><n:IPI><n:cEnq>999</n:cEnq><n:IPITrib><n:vIPI>0.70</n:vIPI></n:IPITrib></n:IPI><n:PIS/>"
+    make = lambda inner, after="": f'<?xml version="1.0"?><n:nfeProc xmlns:n="urn:x"><n:NFe><n:infNFe Id="NFe{key}"><n:emit><n:CNPJ>99.888.777/0001-66</n:CNPJ>{inner}</n:emit>{item.format(taxes)}<!-- <n:total><n:ICMSTot><n:vNF>1.00</n:vNF></n:ICMSTot></n:total> --><n:total><n:ICMSTot><n:vNF>9.00</n:vNF></n:ICMSTot></n:total></n:infNFe></n:NFe>{after}</n:nfeProc>'
+    event = "<n:evento><n:infEvento><n:tpEvento>110111</n:tpEvento></n:infEvento></n:evento>"
+    texts = {
+        "entity": make("<n:xNome>A &amp; B &#76;TDA</n:xNome>"), "cdata": make("<n:xNome><![CDATA[A <B> & C]]></n:xNome>"), "event": make("<n:xNome> </n:xNome>", event),
+        "state": make("", "<n:protNFe><n:infProt><n:cStat>135</n:cStat></n:infProt></n:protNFe>"), "broken": make("<n:xNome>"), "null": None, "empty": "",
+    }
+    files = spark.createDataFrame(list(texts.items()), "path string, content string")
+    got = {r["path"]: (r["razao_social"], str(r["total"]), r["cnpj_emitente"], r["cancelada"]) for r in S.parse_nfe(files).collect()}
+    assert got == {
+        "entity": ("A & B LTDA", "9.00", "99888777000166", False), "cdata": ("A <B> & C", "9.00", "99888777000166", False), "event": (None, "9.00", "99888777000166", True),
+        "state": (None, "9.00", "99888777000166", True),
+    }
+    items = {r["path"]: (str(r["valor_total"]), *(str(r[t]) for t in ("icms", "ipi", "pis", "cofins"))) for r in S.parse_nfe_items(files).collect()}
+    assert items["entity"] == ("2.00", "1.50", "0.70", "0.00", "0.00") and set(items) == set(got)
+
+
 def test_front_matter_and_copies(spark, tmp_path):
     (tmp_path / "a.md").write_text("---\ntipo: evento\nautor: x y\nlista:\n---\ncorpo")
     (tmp_path / "a (1).md").write_text("---\ntipo: copia\n---\n")
