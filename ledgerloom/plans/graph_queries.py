@@ -91,7 +91,7 @@ def similar_files(spark, d):
     words = F.array_distinct(F.split(F.lower("text"), r"\s+"))
     docs = table(spark, d, "documents").filter("text is not null").select(
         F.col("doc_id").alias("file"), F.col("lang").alias("kind"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 3650).cast("int")).alias("date"),
-        F.pmod(F.xxhash64(F.substring("text", 1, 40)), F.lit(1 << 32)).alias("phash"), words.alias("words"), (F.length("text") < 400).alias("falho"))
+        K.likeness_bits(words).alias("phash"), words.alias("words"), (F.length("text") < 400).alias("falho"))
     return K.similar_file(docs.filter("falho"), docs.filter("not falho"), 3, (0.5, 0.3, 0.2), 0.7)
 
 

@@ -29,7 +29,7 @@ def files(spark, d):
       when 0 then concat('date,title,amount\\n', data, ',', local, ',', valor)
       when 1 then 'date,title,amount\\n1997-01-01'
       when 2 then concat('linha ', local, '\\n\\nfim')
-      when 3 then concat('Demonstrativo de Pagamento de Salário: ', date_format(data, 'MM/yy'), ' Seg: 1\\nDescrição Referência Descontos Proventos\\n+ Horas Normais 200.00 R$ ', {V},
+      when 3 then concat('Demonstrativo de Pagamento de Salário: ', date_format(data, 'MM/yyyy'), ' Seg: 1\\nDescrição Referência Descontos Proventos\\n+ Horas Normais 200.00 R$ ', {V},
         if({K} % 2 = 0, '\\n+ 13o Salário Integral 6.00 R$ 100,00', ''), '\\n- IRRF 27.50 (R$ 20,29)\\n- INSS 14.00 (R$ 10,07)\\n- Desc.Vale Alimentação 22.00 (R$ 6,52)', if({K} % 3 = 0, concat('\\nValor líquido a receber: R$ ', {V}), ''))
       when 4 then concat('Mensalista Foo de 1997\\n8781 DIAS NORMAIS 31,00 ', {V})
       when 5 then concat('Mensalista Março de ', year(data), if({K} % 2 = 0,

@@ -90,7 +90,7 @@ def bill_line(line: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """The lines of a text that are not blank, trimmed."""
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def words_of(line: Column) -> Column:
