@@ -346,7 +346,7 @@ def across(members: DataFrame, bands: Bands, most: int, block: int = BLOCK) -> D
     return by_bucket(held, compare, "a bigint, b bigint, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")).filter("a < b")
 
 
-def links(docs: DataFrame, nodes: DataFrame, bands: Bands, shingle: int = SHINGLE, most: int = 4, block: int = BLOCK) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, bands: Bands, shingle: int = SHINGLE, most: int = 32, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between nodes (node, n, sketch, cells) whose components are those of all links."""
     nodes = nodes.filter("node is not null")
     total = nodes.agg(F.sum("n")).first()[0] or 0
@@ -370,7 +370,7 @@ def links(docs: DataFrame, nodes: DataFrame, bands: Bands, shingle: int = SHINGL
         most *= 4
 
 
-def similar_sets(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, most: int = 4, block: int = BLOCK) -> DataFrame:
+def similar_sets(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, most: int = 32, block: int = BLOCK) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, component_id)."""
     bands = Bands(percent)
     found = stored(prints(docs, bands, shingle), "prints")
