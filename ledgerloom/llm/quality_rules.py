@@ -7,7 +7,7 @@ matter), fitted on labelled rows, with Platt scaling on rows left out of the fit
 calibrated probability of good quality is at least ``KEEP``.
 
 The fit reads a bounded sample: at most ``SAMPLE`` labelled rows of each class, the smallest by a
-hash of their id, in one task. Scoring covers every whole text, in Arrow batches.
+hash of their id, and at most ``SAMPLE_BYTES`` of text, in one task. Scoring covers every whole text, in Arrow batches.
 
 Defined cases: a null text has no words and fails; so does an empty one; repeated rows are judged
 one by one; with no or one-class labels the model gives every text the probability 1 (0 if all are
@@ -18,16 +18,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as k
-from .common import table
+from .common import stored, table
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 KEEP = 0.5
-#: Labelled rows of each class that a fit may read.
-SAMPLE = 1000
+#: Labelled rows of each class that a fit may read, and bytes of all their texts.
+SAMPLE, SAMPLE_BYTES = 1000, 256 << 20
 BITS = 15
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -169,11 +169,12 @@ def fit(buf: np.ndarray, off: np.ndarray, y: np.ndarray, share: np.ndarray, roun
     return {"weights": weights, "bias": float(bias), "a": a, "b": b}
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """(text, y, share): at most ``per_class`` rows of each class, the first by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(text, y, share): at most ``per_class`` rows of each class, the first by a hash of the id, of ``most_bytes`` in all.
 
     ``share`` is the class's labelled rows for each sampled one. Rows without an id or label are out; of documents
-    that repeat an id the least text counts.
+    that repeat an id the least text counts. A text that would bring the sample's bytes beyond the bound, and those after
+    it, are not learned from, so the one task that fits a model holds no more.
     """
     rows = labels.select("doc_id", F.col("quality").alias("y")).filter("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -185,7 +186,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
     # at most 2 * per_class rows: a proven bound for the broadcast
     sample = F.broadcast(parts[0].unionByName(parts[1]))
     rows = docs.select("doc_id", "text").join(sample, "doc_id")
-    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("share").alias("share"))
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("share").alias("share"))
+    rows = stored(rows, "labelled")
+    # ids and sizes of 2 * per_class rows at most
+    order = Window.orderBy(F.xxhash64(F.col("doc_id"), F.lit(5)), "doc_id")
+    sizes = rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).withColumn("upto", F.sum("size").over(order))
+    return rows.join(F.broadcast(sizes.filter(F.col("upto") <= most_bytes).select("doc_id")), "doc_id", "left_semi")
 
 
 def train(sample: DataFrame, fitter) -> dict:
