@@ -41,7 +41,7 @@ SEED, SHINGLE, RADIUS = 42, 3, 2
 SMALL, HOT = 8, 16384
 #: Of keep_first: fingerprints of distinct words and their differing bits; words and bits of the wide one, and how
 #: many of these may differ: 38.8 do so in the mean at a similarity of 0.8, with a deviation of 5.7.
-NEAR_PRINTS, NEAR_RADIUS = 6, 3
+NEAR_PRINTS, NEAR_RADIUS = 10, 3
 WIDE_SHINGLE, WIDE_BITS, WIDE_RADIUS = 5, 256, 48
 U = np.uint64
 #: The primes of XXH64.
@@ -168,8 +168,8 @@ def word_fingerprints(buf: np.ndarray, off: np.ndarray, n: int = NEAR_PRINTS) ->
     return np.concatenate(parts) if parts else np.zeros((0, n), np.uint64)
 
 
-def _per_text(docs: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:
-    """doc_id and one column for each ``name: (type, function of a chunk's bytes and offsets)``."""
+def _per_text(docs: DataFrame, columns: dict[str, tuple[str, object]], more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the bigint columns ``more`` and one for each ``name: (type, function of a chunk's bytes and offsets)``."""
 
     def run(batches):
         for batch in batches:
@@ -177,10 +177,10 @@ def _per_text(docs: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFr
                 parts = list(k.chunks(*k.utf8(batch.column(1))))
                 found = [[f(b, o) for _, _, b, o in parts] for _, f in columns.values()]
                 arrays = [pa.array([x.tobytes() for part in c for x in part], pa.binary()) if c[0].ndim > 1 else pa.array(np.concatenate(c).view(np.int64)) for c in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", *columns])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(2 + i) for i in range(len(more))), *arrays], ["doc_id", *more, *columns])
 
-    schema = ", ".join(["doc_id bigint", *(f"{n} {t}" for n, (t, _) in columns.items())])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    schema = ", ".join(["doc_id bigint", *(f"{n} bigint" for n in more), *(f"{n} {t}" for n, (t, _) in columns.items())])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(run, schema)
 
 
 def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -188,9 +188,9 @@ def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return _per_text(docs, {"fp": ("bigint", lambda b, o: fingerprints(b, o, shingle))})
 
 
-def near_table(docs: DataFrame, prints: int = NEAR_PRINTS, wide: int = WIDE_SHINGLE) -> DataFrame:
-    """(doc_id, text) -> (doc_id, fp binary: ``prints`` fingerprints of words, wide binary: that of ``wide`` words)."""
-    return _per_text(docs, {"fp": ("binary", lambda b, o: word_fingerprints(b, o, prints)), "wide": ("binary", lambda b, o: wide_fingerprints(b, o, wide))})
+def near_table(docs: DataFrame, prints: int = NEAR_PRINTS, wide: int = WIDE_SHINGLE, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text) -> (doc_id[, more], fp binary: ``prints`` fingerprints of words, wide binary: that of ``wide`` words)."""
+    return _per_text(docs, {"fp": ("binary", lambda b, o: word_fingerprints(b, o, prints)), "wide": ("binary", lambda b, o: wide_fingerprints(b, o, wide))}, more)
 
 
 def covering_masks(radius: int = RADIUS, bits: list[int] | None = None) -> list[int]:
@@ -356,12 +356,21 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, prints: int = NEAR_PRINTS, radius: int = NEAR_RADIUS, wide: int = WIDE_SHINGLE) -> DataFrame:
-    """The documents with the smallest doc_id of their group, all columns as they are.
+    """One document of each group, all columns as they are: that with the smallest doc_id, of rows that repeat it the one whose text has the least hash.
 
-    Documents without an id stay; of rows that repeat the smallest id the first by text stays.
+    Groups are of texts, not of ids: rows that repeat an id with other texts are documents of their own. Documents
+    without an id stay. Equal rows are one.
     """
-    marked = similar_groups(docs, prints, radius, wide).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(marked, "doc_id", "left_semi")
     place = "_place_of_" + "_".join(docs.columns)
-    first = kept.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(place) == 1)
-    return first.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    marked = docs.withColumn(place, F.xxhash64("text"))  # tells the rows of one id apart
+    named = marked.select("doc_id", "text", F.col(place).alias("h"))
+    found = stored(near_table(named.filter("doc_id is not null"), prints, wide, ("h",)), "simhash")
+    keys = ["fp", "wide"]
+    # nodes are numbered, as one id may stand for several texts; the numbers hold once they are written
+    nodes = stored(found.groupBy(*keys).agg(F.min(F.struct("doc_id", "h")).alias("first")).withColumn("node", F.monotonically_increasing_id()), "fingerprints")
+    groups = nodes.join(components(links(nodes.select("node", *keys), radius)), "node", "left")
+    first = groups.groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("first").alias("first"))
+    first = first.select(F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias(place))
+    kept = marked.join(first, ["doc_id", place], "left_semi")
+    one = kept.withColumn("_n_" + place, F.row_number().over(Window.partitionBy("doc_id", place).orderBy("text"))).filter(F.col("_n_" + place) == 1)
+    return one.select(docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -1,6 +1,7 @@
 """Operators on documents against brute force, with nulls, empty and long texts, ties, repeats and odd columns."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -371,6 +372,15 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept[None] == 1 and kept[7000] == 1 and kept[7001] == 0
 
 
+def test_rows_of_one_id_are_kept_by_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, b + " more"), (7, c), (7, c), (7, c.upper()), (None, a)]
+    kept = Counter((r["doc_id"], r["text"].lower()) for r in simhash.keep_first(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert kept == Counter([(3, a), (5, b), (7, c), (None, a)])
+    other = [(5, a), (5, b), (9, b)]  # one id is the first of two groups
+    assert Counter((r["doc_id"], r["text"]) for r in simhash.keep_first(spark.createDataFrame(other, SCHEMA)).collect()) == Counter([(5, a), (5, b)])
+
+
 def _jaccard_pairs(texts, n=5, least=0.8):
     """All pairs of different word sets with a likeness of ``least`` in distinct n-word shingles, by an inverted index."""
     sets = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (words(t.lower()) for t in texts)]
@@ -378,9 +388,11 @@ def _jaccard_pairs(texts, n=5, least=0.8):
     for i, x in enumerate(sets):
         for g in x:
             rows.setdefault(g, []).append(i)
-    for ids in rows.values():
-        if len(ids) < 300:
-            shared.update((a, b) for j, b in enumerate(ids) for a in ids[:j])
+    # a set's rarest shingles: of so many as two like sets cannot both lack, one is shared
+    for i, x in enumerate(sets):
+        rare = sorted(x, key=lambda g: (len(rows[g]), g))[: len(x) - math.ceil(least * len(x)) + 1]
+        for j in {j for g in rare for j in rows[g] if j < i}:
+            shared[(j, i)] = len(x & sets[j])
     return [(a, b) for (a, b), c in shared.items() if c >= least * (len(sets[a]) + len(sets[b]) - c) and sets[a] != sets[b]]
 
 

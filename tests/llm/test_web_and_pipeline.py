@@ -15,7 +15,7 @@ from ledgerloom.llm.common import work_dir
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_queries_equal_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("pages", "labels", "conversations", "documents"):
+    for t in ("pages", "labels", "conversations", "documents", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got, want = registry.QUERIES[name](spark, sf), con.execute(registry.SQL[name])
     columns = sorted(got.columns)
