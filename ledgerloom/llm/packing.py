@@ -114,17 +114,17 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                     start = 0
                     for n, length in enumerate([(len(own) - 1) % capacity + 1, *[capacity] * ((len(own) - 1) // capacity)]):
                         seen = own[start : start + length]
-                        out.append((doc, n, start, length, zlib.crc32(seen.tobytes()), seen.astype(np.int64) if ids else None))
+                        out.append((doc, n, start, length, zlib.crc32(seen.tobytes()), seen.astype(np.int32) if ids else None))
                         start += length
                 columns = list(zip(*out))
                 arrays = [pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(columns[:5])]
                 if ids:
-                    arrays.append(pa.array(columns[5], pa.list_(pa.int64())))
+                    arrays.append(pa.array(columns[5], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
 
     import pyarrow.compute  # noqa: F401  pa.compute is used in run
 
-    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * ids
+    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
