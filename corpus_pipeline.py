@@ -39,8 +39,8 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: the documents as pieces of sequences."""
-    return packing.pack(docs)
+    """Operator 6: the documents as pieces of sequences, with their token ids."""
+    return packing.pack(docs, ids=True)
 
 
 STAGES = [
