@@ -196,11 +196,17 @@ def route(hint: Column, kind: Column, detectors: dict[str, list[tuple[Column, st
 def search_routes(queries: DataFrame, tabs: list[str], suppliers: DataFrame, least: int = 4) -> DataFrame:
     """(q, rota, alvo): a tab's name, a supplier's name, the first supplier that contains a text of ``least`` letters, or free.
 
-    All parts of the supplier names from ``least`` letters on are the join key, so queries meet suppliers by equality.
+    A text is looked up by the rarest of its three-letter runs in an index of the names' runs, and then verified, so
+    the index is as long as the names.
     """
-    n = F.length("name")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - (least - 1), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(least), F.greatest(n - i + 1, F.lit(least))), lambda k: F.substring(F.col("name"), i, k))))
-    found = suppliers.select("name", F.explode(F.array_distinct(parts)).alias("q")).filter(F.length("q") >= least).groupBy("q").agg(F.min("name").alias("part"))
+    if least < 3:
+        raise ValueError("texts of three letters at least")
+    runs = lambda c: F.explode(F.array_distinct(F.expr(f"transform(sequence(1, length({c}) - 2), i -> substring({c}, i, 3))")))
+    index = suppliers.select("name").distinct().filter(F.length("name") >= least).select("name", runs("name").alias("run"))
+    asked = queries.select("q").distinct().filter(F.length("q") >= least).select("q", runs("q").alias("run"))
+    often = index.groupBy("run").agg(F.count("*").alias("often"))
+    rarest = asked.join(often, "run", "left").groupBy("q").agg(F.min_by("run", F.struct(F.coalesce("often", F.lit(0)).alias("o"), "run")).alias("run"))
+    found = rarest.join(index, "run").filter(F.contains("name", "q")).groupBy("q").agg(F.min("name").alias("part"))
     exact = suppliers.select(F.col("name").alias("q"), F.col("name").alias("whole")).distinct()
     j = queries.join(exact, "q", "left").join(found, "q", "left")
     tab = F.col("q").isin(*tabs)

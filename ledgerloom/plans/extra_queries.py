@@ -127,13 +127,14 @@ def tax_package(spark, d):
     return sinks.tax_package(spark, rows.withColumn("tag", F.col("categoria")), sinks.shared_path(spark, "package"))
 
 
-@query(f"""{W} SELECT CAST({K} AS VARCHAR) AS nota, CASE WHEN {K} % 2 = 0 AND {K} % 3 = 0 THEN 'igual' WHEN {K} % 2 = 0 THEN 'mudou' ELSE 'nova' END AS acao FROM ledger""")
+@query(f"""{W} SELECT CAST({K} AS VARCHAR) AS nota, CASE WHEN {K} % 10 = 0 THEN 'pessoal' WHEN {K} % 2 = 0 AND {K} % 3 = 0 THEN 'igual' WHEN {K} % 2 = 0 THEN 'mudou' ELSE 'nova' END AS acao FROM ledger""")
 def vault_notes(spark, d):
-    """Notes whose text is the same are not written again."""
+    """Notes whose text is the same are not written again, and those without the marker never."""
     k = F.col(K)
-    note = lambda df: df.select(k.cast("string").alias("nota"), F.concat_ws("\n", F.lit("# nota"), "local", F.when(k % 3 == 0, "x").otherwise(F.col("categoria"))).alias("texto"))
+    note = lambda df: df.select(k.cast("string").alias("nota"), F.concat_ws("\n", F.lit("# nota"), F.lit("sincronizado: true"), "local", F.when(k % 3 == 0, "x").otherwise(F.col("categoria"))).alias("texto"))
     old = ledger(spark, d).filter(k % 2 == 0).withColumn("categoria", F.lit("antes"))
-    return sinks.note_actions(note(old), note(ledger(spark, d)))
+    written = note(old).withColumn("texto", F.when(F.col("nota").cast("long") % 10 == 0, F.lit("minha nota")).otherwise(F.col("texto")))
+    return sinks.note_actions(written, note(ledger(spark, d)), "sincronizado: true")
 
 
 @query(f"""{W} SELECT {K}, valor FROM ledger""")

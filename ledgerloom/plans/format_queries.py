@@ -17,10 +17,11 @@ _BR = "translate(format_number(valor, 2), ',.', '.,')"
 
 
 def _as_text(spark, d, line: str, head: str = "", foot: str = ""):
-    """(path, content): the texts of a bank and month, with a sorted line for each ledger row."""
-    rows = ledger(spark, d).select(F.concat_ws(" ", "banco_origem", "mes_ref").alias("path"), F.struct("identificador", F.expr(line).alias("line")).alias("x"))
+    """(path, content): texts of a bank and month, with a sorted line for each ledger row of a range of ids, so that no text grows with the data."""
+    part = F.floor(F.col("identificador") / 1_000_000).alias("part")
+    rows = ledger(spark, d).select(F.concat_ws(" ", "banco_origem", "mes_ref").alias("path"), part, F.struct("identificador", F.expr(line).alias("line")).alias("x"))
     body = F.array_join(F.transform(F.array_sort("xs"), lambda x: x["line"]), "\n")
-    return rows.groupBy("path").agg(F.collect_list("x").alias("xs")).select("path", F.concat(F.lit(head), body, F.lit(foot)).alias("content"))
+    return rows.groupBy("path", "part").agg(F.collect_list("x").alias("xs")).select("path", F.concat(F.lit(head), body, F.lit(foot)).alias("content"))
 
 
 @query(f"""{W} SELECT data, "local", valor, CASE WHEN identificador % 10 = 0 THEN '{INCOME}' ELSE '{EXPENSE}' END AS tipo

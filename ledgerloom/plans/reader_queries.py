@@ -191,11 +191,11 @@ def warranty_policies(spark, d):
     return R.split_policies(text(spark, d, body))
 
 
-@query(f"""{W} SELECT CAST({K} % 50 AS VARCHAR) AS sha, count(*) AS arquivos, CASE WHEN {K} % 50 % 3 = 0 THEN 'lido' ELSE 'pedido' END AS estado FROM ledger GROUP BY 1, 3""")
+@query(f"""{W} SELECT CAST({K} % 50 AS VARCHAR) AS sha, count(*) AS arquivos, CASE WHEN {K} % 50 IN (SELECT 2 * n_nationkey FROM nation) THEN 'lido' ELSE 'pedido' END AS estado FROM ledger GROUP BY 1, 3""")
 def cached_vision(spark, d):
     """External results by hash; what has none is asked for once."""
     files = ledger(spark, d).select(F.col(K).alias("path"), (F.col(K) % 50).cast("string").alias("sha"))
-    cache = spark.range(0, 50, 3).select(F.col("id").cast("string").alias("sha"), F.lit("x").alias("resultado"))
+    cache = table(spark, d, "nation").select((F.col("n_nationkey") * 2).cast("string").alias("sha"), F.col("n_name").alias("resultado"))
     done, asked = R.cached_results(files, cache)
     counts = files.groupBy("sha").agg(F.count("*").alias("arquivos"))
     states = done.select("sha", F.lit("lido").alias("estado")).distinct().unionByName(asked.select("sha", F.lit("pedido").alias("estado")))

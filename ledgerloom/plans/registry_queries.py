@@ -126,6 +126,23 @@ def expanded_containers(spark, d):
     return C.first_copies(C.expand(found)).select("path", "member", "depth", "status", "size", "sha256", F.col("copy_of").isNotNull().alias("copia"))
 
 
+@query(f"""{W}, r AS (SELECT CAST({K} AS VARCHAR) AS path, {K} % 4 AS m, {K} AS k, floor(valor) AS v FROM ledger)
+ SELECT path, 0 AS item, CASE m WHEN 0 THEN 'loja' WHEN 1 THEN 'mercado' WHEN 2 THEN 'farmacia' ELSE 'posto' END AS emissor, NULL AS codigo, NULL AS descricao, CAST(CASE WHEN k % 3 = 0 THEN 4 * v ELSE v END AS DECIMAL(18,2)) AS valor, k % 3 = 0 AS conferir, NULL AS inconsistente FROM r
+ UNION ALL SELECT path, 1, NULL, CASE WHEN m IN (0, 2) THEN '7890000000001' ELSE 'SEMCOD0001' END, CASE m WHEN 3 THEN 'GASOLINA COMUM' ELSE 'PRODUTO UM' END, CAST(v AS DECIMAL(18,2)), NULL, m <> 2 AND k % 5 = 0 FROM r""")
+def thermal_receipts(spark, d):
+    """Item lines by kind of shop, the share of the total that they make up, and lines whose figures do not fit."""
+    v, q = "cast(cast(floor(valor) as decimal(12,0)) as string)", f"if({K} % 5 = 0, '2 ', '1 ')"
+    body = f"""concat('CUPOM FISCAL\n', case {K} % 4 when 0 then concat('LOJAS AMERICANAS\n7890000000001 PRODUTO UM ', {q}, 'UN x ', {v}, ',00 ', {v}, ',00\nSEM CODIGO 1 UN x 1,00 1,00')
+      when 1 then concat('SUPERMERCADO X\nPRODUTO UM ', {q}, 'x ', {v}, ',00 ', {v}, ',00\nDEBITO ', {v}, ',00') when 2 then concat('DROGARIA Y\n7890000000001 PRODUTO UM ', {v}, ',00\nDEBITO ', {v}, ',00')
+      else concat('AUTO POSTO Z\nGASOLINA COMUM ', {q}, 'L x ', {v}, ',000 ', {v}, ',00\nLAVAGEM 1 UN x 1,00 1,00') end,
+      '\nSUBTOTAL ', {v}, ',00\nTOTAL ', cast(cast(floor(valor) * if({K} % 3 = 0, 4, 1) as decimal(12,0)) as string), ',00')"""
+    rows = R.dispatch(ledger(spark, d).select(F.col(K).cast("string").alias("path"), F.expr(body).alias("content")))
+    f = lambda c: F.col("fields")[c]
+    return rows.select(
+        "path", f("item").cast("int").alias("item"), f("emissor").alias("emissor"), f("codigo").alias("codigo"), f("descricao").alias("descricao"), F.coalesce(f("total"), f("valor_total")).cast("decimal(18,2)").alias("valor"),
+        f("conferir").cast("boolean").alias("conferir"), f("inconsistente").cast("boolean").alias("inconsistente"))
+
+
 # ---- phases, audits, caches
 
 

@@ -157,3 +157,60 @@ def is_printed_invoice(text: str) -> bool:
     key = valid_key(text)
     block = re.search(r"(?i)documento\s+auxiliar\s+da\s+nota\s+fiscal\s+eletr[ôo]nica|destinat[áa]rio\s*[/\\]\s*remetente", text)
     return bool(re.search(r"(?i)\bDANFE\b", text) and block and (key is None or key[20:22] == "55"))
+
+
+#: Words that name the kind of shop, in the order in which they are looked for, and what its item lines must have.
+SHOPS = (
+    ("loja", ("AMERICANAS",), {"codigo", "preco"}), ("mercado", ("SUPERMERC", "MERCAD", "ATACAD", "CARREFOUR", "EXTRA", "PAO DE ACUCAR", "PÃO DE AÇÚCAR"), {"preco"}),
+    ("farmacia", ("DROG", "FARMACIA", "FARMÁCIA", "PACHECO", "PAGUE MENOS", "RAIA"), {"codigo"}),
+    ("posto", ("POSTO", "COMBUST", "SHELL", "IPIRANGA", "PETROBRAS", "RAIZEN"), {"preco", "combustivel"}), ("generico", (), {"preco"}),
+)
+FUELS = ("GASOLINA", "ETANOL", "ALCOOL", "DIESEL", "GNV")
+#: The least share of a receipt's total that its items must make up, else a person looks at it.
+LEAST_RECALL = Decimal("0.70")
+
+
+def receipt_line(line: str) -> dict | None:
+    """An item line from its right end: total, price, a sign of times, unit, quantity; a code at its left end; the rest is text."""
+    words = line.split()
+    if not words or not re.fullmatch(r"\d{1,7}[.,]\d{2}", words[-1]):
+        return None
+    number = lambda w: Decimal(w.replace(",", "."))
+    out = {"valor_total": number(words.pop()), "preco": None, "unidade": "", "qtde": Decimal(1), "codigo": ""}
+    if words and re.fullmatch(r"\d{1,7}[.,]\d{2,3}", words[-1]):
+        out["preco"] = number(words.pop())
+        if words and words[-1].lower() == "x":
+            words.pop()
+        if len(words) > 1 and words[-1].isalpha() and len(words[-1]) <= 6 and re.fullmatch(r"\d+(?:[.,]\d+)?", words[-2]):
+            out["unidade"] = words.pop().upper()
+        if words and re.fullmatch(r"\d+(?:[.,]\d{1,3})?", words[-1]):
+            out["qtde"] = number(words.pop())
+    if len(words) > 1 and re.fullmatch(r"\d{6,14}", words[0]):
+        out["codigo"] = words.pop(0)
+    out["descricao"] = " ".join(words)
+    return out if len(out["descricao"]) >= 3 and out["descricao"][0].isalpha() else None
+
+
+def thermal_receipt(text: str) -> Iterator[Row]:
+    """A receipt's text: a row for the whole (item 0) and one for each item line that its shop's kind allows.
+
+    ``conferir`` tells that the items make up less than ``LEAST_RECALL`` of the total; ``inconsistente``, that quantity times
+    price is not the line's total. Items without a code are numbered.
+    """
+    upper = text.upper()
+    name, _, needs = next(s for s in SHOPS if any(m in upper for m in s[1]) or not s[1])
+    paid = next((r["valor_total"] for line in text.splitlines() if line.upper().strip().startswith("TOTAL") and (r := receipt_line(line))), None)
+    items: list[Row] = []
+    for line in text.splitlines():
+        item = receipt_line(line)
+        if item is None or item["descricao"].upper().startswith(("TOTAL", "SUBTOTAL", "TROCO")):
+            continue
+        if "codigo" in needs and not item["codigo"] or "preco" in needs and item["preco"] is None or "combustivel" in needs and not item["descricao"].upper().startswith(FUELS):
+            continue
+        wrong = item["preco"] is not None and abs(round(item["qtde"] * item["preco"], 2) - item["valor_total"]) > Decimal("0.01")
+        code = item["codigo"] or f"SEMCOD{sum(i['codigo'].startswith('SEMCOD') for i in items) + 1:04d}"
+        items.append({"item": str(len(items) + 1), "codigo": code, "descricao": item["descricao"], "qtde": str(item["qtde"]), "unidade": item["unidade"], "valor_total": f"{item['valor_total']:.2f}", "inconsistente": str(wrong).lower()})
+    found = sum((Decimal(i["valor_total"]) for i in items), Decimal(0))
+    recall = round(found / paid, 4) if paid else Decimal(0)
+    yield {"item": "0", "emissor": name, "total": f"{paid:.2f}" if paid else "", "recall": f"{recall:.4f}", "conferir": str(recall < LEAST_RECALL).lower(), "itens": str(len(items))}
+    yield from items

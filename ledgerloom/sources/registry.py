@@ -35,6 +35,7 @@ READERS = (
     Reader("printed_invoice", lambda p, t: "danfe" in p.lower() or L.is_printed_invoice(t), L.printed_invoice),
     Reader("signed_payslip", lambda p, t: "sal" in t.lower() and "\n+ " in t, L.signed_payslip),
     Reader("coded_payslip", lambda p, t: "Mensalista" in t, L.coded_payslip),
+    Reader("thermal_receipt", lambda p, t: "CUPOM FISCAL" in t.upper(), L.thermal_receipt),
     Reader("lines", lambda p, t: p.lower().endswith(".txt"), lambda t: ({"texto": x} for x in t.splitlines() if x.strip())),
 )
 

@@ -137,11 +137,15 @@ def tax_package(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
     return back.select("tag", F.col("quantidade").alias("n"), "total")
 
 
-def note_actions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(nota, acao) of notes (nota, texto): new ones, changed ones, and those whose text is the same, which are not written."""
-    o = old.select("nota", F.sha2("texto", 256).alias("_o"))
+def note_actions(old: DataFrame, new: DataFrame, marker: str | None = None) -> DataFrame:
+    """(nota, acao) of notes (nota, texto): new ones, changed ones, and those whose text is the same, which are not written.
+
+    With a ``marker``, which every written note has, a note without it is a person's own and stays (``pessoal``).
+    """
+    own = F.lit(False) if marker is None else ~F.contains("texto", F.lit(marker))
+    o = old.select("nota", F.sha2("texto", 256).alias("_o"), own.alias("_own"))
     same = F.col("_o") == F.sha2("texto", 256)
-    return new.join(o, "nota", "left").select("nota", F.when(F.col("_o").isNull(), "nova").when(same, "igual").otherwise("mudou").alias("acao"))
+    return new.join(o, "nota", "left").select("nota", F.when(F.col("_o").isNull(), "nova").when(F.col("_own"), "pessoal").when(same, "igual").otherwise("mudou").alias("acao"))
 
 
 def _checksum(rows: DataFrame) -> tuple:

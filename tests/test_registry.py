@@ -39,6 +39,19 @@ def test_payslips():
             list(read("nothing of the kind"))
 
 
+def test_thermal_receipts():
+    text = "CUPOM FISCAL\nSUPERMERCADO X\nARROZ TIPO 1 2 x 10,00 20,00\nLEITE 1 UN X 5,00 6,00\nDEBITO 26,00\nSUBTOTAL 26,00\nTOTAL R$ 26,00\nTROCO 0,00"
+    head, *items = L.thermal_receipt(text)
+    assert (head["emissor"], head["recall"], head["conferir"], head["itens"]) == ("mercado", "1.0000", "false", "2")
+    assert [(i["codigo"], i["descricao"], i["qtde"], i["inconsistente"]) for i in items] == [("SEMCOD0001", "ARROZ TIPO 1", "2", "false"), ("SEMCOD0002", "LEITE", "1", "true")]
+    head, *items = L.thermal_receipt("DROGARIA Y\n7890000000001 DIPIRONA GOTAS 12,50\nDEBITO 99,00\nTOTAL 99,00")
+    assert (head["emissor"], head["conferir"]) == ("farmacia", "true") and [i["valor_total"] for i in items] == ["12.50"]
+    head, *items = L.thermal_receipt("AUTO POSTO\nGASOLINA COMUM 12,345 L x 5,899 72,82\nLAVAGEM 1 UN x 9,00 9,00\nTOTAL 81,82")
+    assert [i["descricao"] for i in items] == ["GASOLINA COMUM"] and items[0]["unidade"] == "L" and items[0]["inconsistente"] == "false"
+    (head,) = L.thermal_receipt("")
+    assert head["recall"] == "0.0000"
+
+
 def test_dispatch_falls_through_and_tells_of_failures(spark, monkeypatch):
     rows = [("a/x.csv", "date,title,amount\n2026-01-02,Padaria,10\n2026-01-03,\"Posto, Alfa\",20\n"), ("b.csv", "date,title,amount\nonly one"), ("c.pdf", SIGNED), ("d.txt", "Mensalista Foo de 2026\nx"), ("e.bin", "?"), (None, "plain"), ("f.txt", None), ("g.txt", "")]
     files = spark.createDataFrame(rows, "path string, content string").selectExpr("*", "1 as n", "'x' as error")
