@@ -136,8 +136,13 @@ def _runs(part: np.ndarray):
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False) -> DataFrame:
-    """(doc_id, text) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]."""
-    cut = stored(pieces(docs, tokenizer, capacity, end_id, ids), "pieces")
+    """(doc_id, text) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids].
+
+    Pieces are placed without their ids, which are joined to them at the end by the number of their stored row.
+    """
+    whole = pieces(docs, tokenizer, capacity, end_id, ids)
+    whole = stored(whole.withColumn("row", F.monotonically_increasing_id()) if ids else whole, "pieces")
+    cut = whole.drop("ids")
     histogram = cut.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``capacity`` rows
     counts = {r["length"]: r["n"] for r in histogram}
     places = Places(plan(counts, capacity))
@@ -153,7 +158,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
     ranked = salted.withColumn("own", own).join(groups, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("before"))
 
-    names = [c for c in cut.columns if c != "ids"] + ["sequence_id", "offset"] + ["ids"] * ids
+    names = [*cut.columns, "sequence_id", "offset"]
 
     def place(batches):
         for batch in batches:
@@ -163,7 +168,8 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
             yield pa.RecordBatch.from_arrays([column[n] for n in names], names)
 
     types = {f.name: f.dataType.simpleString() for f in cut.schema} | {"sequence_id": "bigint", "offset": "bigint"}
-    return ranked.select(*cut.columns, "rank").mapInArrow(place, ", ".join(f"{n} {types[n]}" for n in names))
+    placed = ranked.select(*cut.columns, "rank").mapInArrow(place, ", ".join(f"{n} {types[n]}" for n in names))
+    return placed.join(whole.select("row", "ids"), "row").drop("row") if ids else placed
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -303,6 +303,9 @@ def test_packing_of_null_and_repeated_ids_and_clashing_columns(spark):
     assert dict(out.dtypes)["piece"] == "int"
     got = out.collect()
     assert Counter(r["doc_id"] for r in got if r["start"] == 0) == Counter([None, None, 7, 7, 7])
+    held = packing.pack(docs, capacity=50, ids=True).collect()
+    assert Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in held) == Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in got)
+    assert all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in held)
     places = {}
     for r in got:
         places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
