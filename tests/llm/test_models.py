@@ -1,5 +1,7 @@
 """The quality models against plain sums: scores, forward pass, gradient, calibration and the bounded sample."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -55,6 +57,33 @@ def test_the_net_equals_plain_sums():
     assert np.allclose(got, [plain_logit(t, net) for t in TEXTS], atol=1e-9)
 
 
+def test_a_long_text_is_read_by_pieces(monkeypatch):
+    net, text = small_net(), " ".join(f"w{i * i % 977} {'ab' * (i % 7)}" for i in range(900))
+    rows = k.utf8(pa.array([text]))
+    laid = cnn._laid_out(*rows)
+    z, kept = cnn._forward(net, *laid)
+    whole = cnn._backward(net, laid[0], laid[2], kept, np.array([0.7]))
+    monkeypatch.setattr(cnn, "BATCH_BYTES", 1000)
+    for piece in (1, 2, 7, len(kept[2]) - 1, 10_000):
+        monkeypatch.setattr(cnn, "PIECE", piece)
+        assert np.allclose(cnn.logits(*rows, net), z, atol=1e-9)
+        parts = cnn._gradient(net, *rows, lambda z, i, j: np.array([0.7]), 1000)
+        assert all(np.allclose(parts[n], whole[n], atol=1e-9) for n in whole)
+
+
+def test_memory_does_not_grow_with_a_text():
+    net, size = small_net(kind=np.float32), 6_000_000
+    rows = k.utf8(pa.array([("one two three\nfour, " * (size // 20))[:size]]))
+    y, share = np.array([0, 1] * 5), np.ones(10)
+    texts = k.utf8(pa.array([f"{'good' if i % 2 else 'bad'} text {i} " * (60_000 if i == 3 else 20) for i in range(10)]))
+    for run in (lambda: cnn.score(*rows, net), lambda: cnn.fit(*texts, y, share)):
+        tracemalloc.start()
+        run()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 150e6  # all filters of the whole text at once: 900 MB
+
+
 def test_the_gradient_equals_differences():
     net, texts = small_net(5), TEXTS[1:5] + [TEXTS[8]]
     laid = cnn._laid_out(*bytes_of(texts))
