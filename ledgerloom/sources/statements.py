@@ -5,10 +5,10 @@ Readers take a path or rows (path, content) of whole files and return ledger-sha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.expressions import check_digit_ok, invoice_key, parse_br
+from ledgerloom.functions.expressions import check_digit_ok, fenced, invoice_key, parse_br
 from ledgerloom.schema import EXPENSE, INCOME
 
 #: Titles of refunds, entities of HTML, lines of daily balances.
@@ -80,14 +80,20 @@ def parse_statement_text(files: DataFrame) -> DataFrame:
 def parse_card_bill(files: DataFrame, detail: str, summary: str) -> DataFrame:
     """Detail lines ``dd/MM TEXT [nn/nn] value`` of card bills (path, content, vencimento).
 
-    The last header above a line (``detail`` or ``summary``) says whether it counts; instalments are taken
-    out of the text; months after the due month belong to the year before.
+    The last header above a line of the same text (``detail`` or ``summary``) says whether it counts, also where several
+    texts have one path; instalments are taken out of the text; months after the due month belong to the year before.
     """
-    rows = files.select("path", "vencimento", F.posexplode(F.split("content", r"\r?\n")).alias("n", "line"))
-    header = F.when(F.col("line").contains(detail), "detail").when(F.col("line").contains(summary), "summary")
-    w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    kind = lambda x: F.when(x.contains(detail), "detail").when(x.contains(summary), "summary")
+    rows = fenced(files.select("path", "vencimento", F.split("content", r"\r?\n").alias("lines")))
+    heads = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), kind(x).alias("kind"))), lambda h: h["kind"].isNotNull())
+    rows = fenced(rows.withColumn("heads", heads))
+    # from each header to the next one, which needs no window over the lines
+    end = lambda i: F.coalesce(F.get("heads", i + 1)["at"], F.size("lines"))
+    parts = F.transform("heads", lambda h, i: F.struct(h["kind"].alias("kind"), h["at"].alias("at"), F.slice("lines", h["at"] + 1, end(i) - h["at"]).alias("part")))
+    rows = rows.select("path", "vencimento", F.explode(F.filter(parts, lambda p: p["kind"] == "detail")).alias("p"))
+    rows = rows.select("path", "vencimento", "p.at", F.posexplode("p.part").alias("i", "line")).withColumn("n", F.col("at") + F.col("i"))
     pattern = r"^\s*(\d{2})/(\d{2})\s+(.+?)(?:\s+(\d{2}/\d{2}))?\s+(-?[\d.]+,\d{2})\s*$"
-    rows = rows.withColumn("section", F.last(header, ignorenulls=True).over(w)).filter((F.col("section") == "detail") & F.col("line").rlike(pattern))
+    rows = rows.filter(F.col("line").rlike(pattern))
     part = lambda i: F.regexp_extract("line", pattern, i)
     due, month = F.col("vencimento"), part(2).cast("int")
     year = F.when(month <= F.month(due), F.year(due)).otherwise(F.year(due) - 1)

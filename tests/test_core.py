@@ -63,6 +63,13 @@ def test_card_bill_year_turn_and_sections(spark):
     assert got == [(dt.date(2023, 12, 5), "LOJA", "02/03", 10.0), (dt.date(2024, 1, 5), "OUTRA", None, 1000.0)]
 
 
+def test_card_bills_of_one_path_have_their_own_sections(spark):
+    texts = ["05/01 ANTES 1,00\nDETALHE\n05/01 A 1,00\n05/01 B 2,00\nRESUMO\n05/01 FORA 3,00", "DETALHE\n06/01 C 4,00", "06/01 ANTES 5,00\n06/01 ANTES 6,00\n06/01 ANTES 7,00\nRESUMO\n07/01 DETALHE 8,00\n\n08/01 D 9,00"]
+    files = spark.createDataFrame([("p", t, dt.date(2024, 1, 20)) for t in texts], "path string, content string, vencimento date").coalesce(1)
+    got = sorted((r["local"], r["n"]) for r in S.parse_card_bill(files, "DETALHE", "RESUMO").collect())
+    assert got == [("A", 2), ("B", 3), ("C", 1), ("D", 6), ("DETALHE", 4)]
+
+
 def test_nfe(spark):
     body = "3524011234567800019055001000000001112345678"
     total = sum(int(c) * (2 + i % 8) for i, c in enumerate(reversed(body)))
