@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -149,13 +150,31 @@ class DocumentRule:
     sub: tuple[tuple[str, int, int | None, tuple[str, ...], tuple[str, ...]], ...] = ()
 
 
+_WORD, _SPACE = r"[\pL\pN_\x{345}]", r"[\t\n\f\r ]"  # U+0345 is no letter, but its capital is
+_PART = re.compile(r"\\[pP](?:\{\w+\}|\w)|\\.|\(\?[^:)]*[:)]|\[\^?\]?(?:\\.|[^\]\\])*\]|[iI]")
+
+
+def by_line(pattern: str) -> str:
+    """The pattern, ignoring case, line by line, as DuckDB reads it: letters and digits of any script are words, lines end
+    at \\n only, a vertical tab is no blank, and of the letters i the dotted capital and the dotless small one are others.
+    """
+
+    def part(m: re.Match) -> str:
+        t = m[0]
+        if t in ("i", "I"):
+            return f"(?-u:{t})"
+        return re.sub(r"\\(.)", lambda e: {"w": _WORD, "s": _SPACE}.get(e[1], e[0]), t)
+
+    return "(?imud)" + _PART.sub(part, pattern)
+
+
 def matches(patterns: tuple[str, ...], text: Column, every: bool) -> Column:
     """All or any of the patterns, ignoring case, line by line; no pattern matches nothing."""
     if not patterns:
         return F.lit(False)
     out = None
     for p in patterns:
-        hit = F.coalesce(text.rlike("(?imu)" + p), F.lit(False))
+        hit = F.coalesce(text.rlike(by_line(p)), F.lit(False))
         out = hit if out is None else (out & hit if every else out | hit)
     return out
 
