@@ -20,9 +20,11 @@ K = "identificador"
 BR = "translate(format_number({}, 2), ',.', '.,')"
 
 
-def text(spark, d, expr: str, *keep: str):
-    """(path, content, ...): one text for each ledger row."""
-    return ledger(spark, d).select(F.col(K).cast("string").alias("path"), F.expr(expr).alias("content"), *keep)
+def text(spark, d, expr: str, *keep: str, spread: bool = False):
+    """(path, content, ...): one text for each ledger row; ``spread`` where parsing them takes longer than a shuffle of the rows."""
+    rows = ledger(spark, d)
+    rows = rows.repartition(8 * spark.sparkContext.defaultParallelism, K) if spread else rows  # a small file is one task else
+    return rows.select(F.col(K).cast("string").alias("path"), F.expr(expr).alias("content"), *keep)
 
 
 # ---- statements
@@ -115,13 +117,13 @@ def _key() -> str:
 def xml_invoices(spark, d):
     """Keys with a wrong digit are no invoices; cancelled ones are marked."""
     bad = _key()[:43] + str((int(_key()[43]) + 1) % 10)
-    return statements.parse_nfe(text(spark, d, NFE.format(key=f"if({K} % 5 = 0, '{bad}', '{_key()}')")))
+    return statements.parse_nfe(text(spark, d, NFE.format(key=f"if({K} % 5 = 0, '{bad}', '{_key()}')"), spread=True))
 
 
 @query(f"""{W} SELECT CAST({K} AS VARCHAR) AS path, 1 AS item, 'A' AS codigo, categoria AS descricao, valor AS valor_total, 1.50 AS icms, 0.00 AS ipi, 0.25 AS pis, 0.00 AS cofins FROM ledger UNION ALL SELECT CAST({K} AS VARCHAR), 2, 'B', NULL, 2.00, 0.00, 0.00, 0.00, 0.00 FROM ledger""")
 def xml_items(spark, d):
     """Four taxes at any depth, each item by itself."""
-    return statements.parse_nfe_items(text(spark, d, NFE.format(key=f"'{_key()}'"))).drop("qtde")
+    return statements.parse_nfe_items(text(spark, d, NFE.format(key=f"'{_key()}'"), spread=True)).drop("qtde")
 
 
 LAYOUTS = [

@@ -112,27 +112,28 @@ def parse_boleto(files: DataFrame) -> DataFrame:
     )
 
 
-#: An invoice's tree, below the root of a processed one or as the root itself, with the answers and events around it.
-_INVOICE = """struct<_Id: string, ide: struct<dhEmi: string, dEmi: string>, emit: struct<CNPJ: string, xNome: string>,
- det: array<struct<_nItem: string, prod: struct<cProd: string, xProd: string, qCom: string, vProd: string>,
- imposto: struct<ICMS: map<string, struct<vICMS: string>>, IPI: map<string, struct<vIPI: string>>, PIS: map<string, struct<vPIS: string>>, COFINS: map<string, struct<vCOFINS: string>>>>>,
- total: struct<ICMSTot: struct<vNF: string>>>"""
+#: The parts of an invoice's tree that are read, below the root of a processed one or as the root itself, with the answers and events around it.
+_HEAD = """_Id: string, ide: struct<dhEmi: string, dEmi: string>, emit: struct<CNPJ: string, xNome: string>, total: struct<ICMSTot: struct<vNF: string>>"""
+_ITEMS = """det: array<struct<_nItem: string, prod: struct<cProd: string, xProd: string, qCom: string, vProd: string>,
+ imposto: struct<ICMS: map<string, struct<vICMS: string>>, IPI: map<string, struct<vIPI: string>>, PIS: map<string, struct<vPIS: string>>, COFINS: map<string, struct<vCOFINS: string>>>>>"""
 _STATE = "struct<infEvento: struct<tpEvento: string, cStat: string>>"
-_NFE = f"NFe struct<infNFe: {_INVOICE}>, infNFe {_INVOICE}, chNFe string, protNFe struct<infProt: struct<chNFe: string, cStat: string>>, evento {_STATE}, retEvento {_STATE}, cStat string"
+_AROUND = f"chNFe string, protNFe struct<infProt: struct<chNFe: string, cStat: string>>, evento {_STATE}, retEvento {_STATE}, cStat string"
 
 
-def nfe_trees(files: DataFrame) -> DataFrame:
+def nfe_trees(files: DataFrame, invoice: str = f"{_HEAD}, {_ITEMS}") -> DataFrame:
     """(path, nota, x): each file's XML in one structured pass, whatever its prefixes; ``nota`` is the invoice in it.
 
-    Entities and CDATA are text, comments are nothing; a file that is not well-formed has nulls.
+    Entities and CDATA are text, comments are nothing; a file that is not well-formed has nulls. The fence keeps it one
+    pass: each use of the tree would else parse the file again.
     """
-    tree = files.select("path", F.from_xml("content", _NFE, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}).alias("x"))
-    return tree.select("path", F.coalesce("x.NFe.infNFe", "x.infNFe").alias("nota"), "x")
+    fields = f"NFe struct<infNFe: struct<{invoice}>>, infNFe struct<{invoice}>, {_AROUND}"
+    tree = files.select("path", F.from_xml("content", fields, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}).alias("x"))
+    return fenced(tree).select("path", F.coalesce("x.NFe.infNFe", "x.infNFe").alias("nota"), "x")
 
 
 def parse_nfe(files: DataFrame) -> DataFrame:
     """Headers of invoices (path, content as XML): model 55 with a valid 44-digit key; cancelled ones are marked."""
-    rows = nfe_trees(files).withColumn("chave", invoice_key(F.coalesce("x.protNFe.infProt.chNFe", "x.chNFe", "nota._Id")))
+    rows = nfe_trees(files, _HEAD).withColumn("chave", invoice_key(F.coalesce("x.protNFe.infProt.chNFe", "x.chNFe", "nota._Id")))
     rows = rows.filter(F.col("chave").isNotNull()).filter(check_digit_ok(F.col("chave")) & (F.substring("chave", 21, 2) == "55"))
     states = F.array("x.protNFe.infProt.cStat", "x.retEvento.infEvento.cStat", "x.cStat")
     events = F.array("x.evento.infEvento.tpEvento", "x.retEvento.infEvento.tpEvento")
@@ -147,7 +148,7 @@ def parse_nfe(files: DataFrame) -> DataFrame:
 
 def parse_nfe_items(files: DataFrame) -> DataFrame:
     """(path, item, codigo, descricao, qtde, valor_total, icms, ipi, pis, cofins): each item by itself, taxes of any kind, 0 without."""
-    items = nfe_trees(files).select("path", F.posexplode("nota.det").alias("item", "i"))
+    items = nfe_trees(files, _ITEMS).select("path", F.posexplode("nota.det").alias("item", "i"))
 
     def tax(name: str, field: str) -> Column:
         kinds = F.transform(F.map_values(F.col(f"i.imposto.{name}")), lambda v: v[field].try_cast("decimal(18,2)"))
