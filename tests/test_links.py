@@ -1,7 +1,12 @@
 """Document types, links, prescriptions and similar files on odd rows, against SQL or plain code."""
 
+import datetime as dt
+
 import duckdb
+import numpy as np
+from pyspark.sql import functions as F
 
+from ledgerloom.operators import linking as K
 from ledgerloom.plans import catalogue
 
 
@@ -13,3 +18,55 @@ def test_document_types_of_odd_letters_and_line_ends_equal_sql(spark, tmp_path):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert got == sorted(duck.execute(catalogue.SQL["document_types"]).fetchall()) and len(got) == len(rows)
+
+
+def test_an_invoice_is_parsed_once(spark, sf):
+    for name in ("xml_invoices", "xml_items"):
+        plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("from_xml(") == 1, name
+
+
+def test_first_items_of_periods_equal_a_plain_search(spark):
+    rng = np.random.default_rng(2)
+    names = ["", "AB", "AB CD", "cd", "É", "AB  CD", None]
+    items = [(int(i), " ".join(rng.choice(["ab", "cd", "ef", "é", "abcd"], rng.integers(1, 4))), dt.date(1969, 1, 1) + dt.timedelta(int(rng.integers(0, 800)))) for i in rng.permutation(600)]
+    items += [(1000, None, dt.date(1969, 5, 5)), (1001, "ab", None), (-5, "ab", dt.date(1999, 1, 1)), (1002, "ab cd", dt.date(1990, 1, 1))]
+    rx = [(i, names[rng.integers(0, len(names))], dt.date(1968, 10, 1) + dt.timedelta(int(rng.integers(0, 900))), int(rng.integers(-1, 8))) for i in range(300)]
+    rx += [(300, "ab", dt.date(1960, 1, 1), 600), (301, "ab", dt.date(1975, 1, 1), 1), (302, "ab", None, 3)]
+    want = {}
+    for r, name, since, months in rx:
+        if name is None or since is None:
+            continue
+        name = name.upper()
+        fits = [i for i, t, d in items if t and d and name.split(" ")[0] in t.upper().split() and name in t.upper() and since <= d <= since + dt.timedelta(30 * months)]
+        want |= {r: min(fits)} if fits else {}
+    got = K.within_validity(spark.createDataFrame(rx, "rx int, name string, since date, months int"), spark.createDataFrame(items, "item int, text string, date date"))
+    assert {r["rx"]: r["item"] for r in got.collect()} == want and len(want) > 100
+
+
+def test_a_frequent_medicine_makes_no_pairs(spark):
+    rx = spark.range(3000).selectExpr("id as rx", "'ab' as name", "date '2020-01-01' + cast(id % 500 as int) as since", "3 as months")
+    items = spark.range(30000).selectExpr("id as item", "'ab cd' as text", "date '2020-01-01' + cast(id % 700 as int) as date")
+    found = K.within_validity(rx, items)
+    assert found.count() == 3000
+    assert found.agg(F.max("item")).first()[0] == 499
+    made = joined_rows(found)
+    assert 0 < made < 30000
+
+
+def joined_rows(df):
+    """The most rows that a join of the run makes."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    plan, most = df._jdf.queryExecution().executedPlan(), 0
+    todo = [plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan]
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        if "Join" in name:
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        kids = p.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+        if "QueryStage" in name:
+            todo.append(p.plan())
+    return most
