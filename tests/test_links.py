@@ -1,13 +1,18 @@
 """Document types, links, prescriptions and similar files on odd rows, against SQL or plain code."""
 
 import datetime as dt
+from decimal import Decimal
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import linking as K
+from ledgerloom.operators import nearest as N
 from ledgerloom.plans import catalogue
+from test_oracle import rows
 
 
 def test_document_types_of_odd_letters_and_line_ends_equal_sql(spark, tmp_path):
@@ -70,3 +75,77 @@ def joined_rows(df):
         if "QueryStage" in name:
             todo.append(p.plan())
     return most
+
+
+def near_rows(rng, n, m, values=400):
+    day = lambda k: dt.date(1969, 11, 1) + dt.timedelta(int(k))
+    money = lambda: Decimal(int(rng.integers(-20, values))) / (1 if rng.random() < 0.9 else 100)
+    docs = [(f"d{i}", day(rng.integers(0, 90)), money(), int(rng.integers(-5, 40))) for i in range(n)] + [("n1", None, Decimal(5), 1), ("n2", day(3), None, 2), ("n3", day(40), Decimal(50), None)]
+    txs = [(int(i) * 7, day(rng.integers(0, 90)), money(), int(rng.integers(-5, 40))) for i in rng.permutation(m)] + [(-1, None, Decimal(5), 1), (-2, day(3), None, 2), (-3, day(40), Decimal(50), None)]
+    return docs, txs
+
+
+def near_frames(spark, docs, txs):
+    return spark.createDataFrame(docs, "doc string, doc_date date, total decimal(18,2), s long"), spark.createDataFrame(txs, "tx long, tx_date date, value decimal(18,2), c long")
+
+
+@pytest.mark.parametrize("days, percent, most", [(7, 0.02, 1.0), (30, 0.1, None)])
+def test_best_windows_and_pairs_equal_the_joined_ones(spark, days, percent, most):
+    docs, txs = near_frames(spark, *near_rows(np.random.default_rng(days), 400, 900))
+    pairs = K.candidates(docs, txs, days, percent).cache()
+    listed = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = listed(pairs.select("doc", "tx", "delta", F.round("diff", 6)))
+    assert listed(N.all_pairs(docs, txs, days, percent, ["doc"]).select("doc", "tx", "delta", F.round("diff", 6))) == want and len(want) > 500
+    first = pairs.groupBy("doc").agg(F.min(F.struct("delta", "diff")).alias("m")).select("doc", "m.delta", F.round("m.diff", 6))
+    assert listed(N.first_window(docs, txs, days, percent, ["doc"]).select("doc", "delta", F.round("diff", 6))) == listed(first)
+    same, other = F.col("s") % 7 == F.col("c") % 7, F.col("s") % 3 == F.col("c") % 3
+    tiers = [N.Tier(F.col("c") % 7, F.col("s") % 7, 0.3, 0.1), N.Tier(F.col("c") % 3, F.col("s") % 3, 0.1)]
+    part = F.least(F.col("diff") / F.greatest(F.abs(F.col("total").cast("double")), F.lit(1.0)), F.lit(1.0))
+    raw = 1 - F.col("delta") * 0.02 - 0.5 * part + F.when(same, F.when(F.col("delta") == 0, 0.4).otherwise(0.3)).when(other, 0.1).otherwise(0.0)
+    scored = pairs.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(raw, F.lit(most or 9.0))), 4))
+    base = [1 - delta * 0.02 for delta in range(days + 1)]
+    decided = K.decide(scored, 0.02, 0.7)
+    assert listed(K.verdicts(N.best_two(docs, txs, days, percent, base, tiers, ["doc"], most), 0.02, 0.7)) == listed(decided)
+    one = N.best_two(docs, txs, days, percent, base, tiers, ["doc"], most, second=False)
+    assert listed(one) == listed(decided.select("doc", "tx", "score", F.lit(None)))
+
+
+def test_large_places_are_read_in_blocks(spark, monkeypatch):
+    docs, txs = near_frames(spark, *near_rows(np.random.default_rng(4), 300, 300, 60))
+    placed = N._placed(docs, txs, 7, 0.02, 0.01, [(F.lit(0), F.lit(0))], ["doc"])
+    listed = [tuple(r) for r in placed.collect()]
+    taken = []
+
+    def run(place):
+        taken.append(len(place.doc["day"]))
+        for shift in range(-7, 8):
+            for d, t, _ in place.pairs(0, np.arange(len(place.doc["day"])), shift):
+                yield d, [pa.array(place.tx["tx"][t])]
+
+    table = pa.Table.from_pylist([dict(zip(placed.columns, r[:-1] + ({"doc": r[-1]["doc"]} if r[-1] else None,))) for r in listed])
+    answer = lambda: sorted((r["kept"]["doc"], r["tx"]) for b in N._batches(run, 1, 7, ["kept", "tx"])(iter(table.to_batches(16))) for r in b.to_pylist())
+    whole = answer()
+    monkeypatch.setattr(N, "BLOCK", 32)
+    monkeypatch.setattr(N, "PAIRS", 20)
+    taken.clear()
+    assert answer() == whole and len(whole) > 200 and len(taken) > 10
+
+
+def test_best_links_list_no_pairs(spark):
+    docs = spark.range(1500).selectExpr("cast(id as string) doc", "date '2020-01-01' doc_date", "cast(1000 as decimal(18,2)) total", "id s")
+    txs = spark.range(1500).selectExpr("id tx", "date '2020-01-02' tx_date", "cast(1001 as decimal(18,2)) value", "id c")
+    found = N.best_two(docs, txs, 7, 0.02, [1.0] * 8, [N.Tier(F.col("c") % 7, F.col("s") % 7, 0.3)], ["doc"])
+    assert joined_rows(found) == 0 and {r["tx"] for r in found.collect()} == {0, 1, 2, 3, 4, 5, 6}
+
+
+@pytest.mark.parametrize("name", ["link_decision", "bulk_links", "link_diagnosis", "grid_min_window", "medical_links", "link_candidates", "pix_links"])
+def test_links_join_no_pairs_and_hold_repeated_documents(spark, sf, tmp_path, name):
+    assert "mapInArrow" in (plan := catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()) or "MapInArrow" in plan
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    twice = li.filter("l_orderkey % 5 = 0").selectExpr("* except (l_extendedprice, l_shipdate)", "l_extendedprice * 1.001 as l_extendedprice", "l_shipdate + interval 1 day as l_shipdate")
+    li.unionByName(twice).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.read.parquet(f"{sf}/orders.parquet").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    duck = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert rows(catalogue.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(duck.execute(catalogue.SQL[name]).df())
