@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import graph as G
 from ledgerloom.operators import linking as K
+from ledgerloom.operators import nearest as N
 from ledgerloom.operators import rules as R
 
 from .catalogue import query
@@ -42,11 +43,16 @@ def pix_links(spark, d):
  b AS (SELECT doc, arg_min(tx, (-score, tx)) AS tx, max(score) AS score FROM s GROUP BY 1) SELECT *, least(1.0::DOUBLE, score) AS weight FROM b WHERE score >= 0.55""")
 def medical_links(spark, d):
     """30 days, 10 %, bonuses for id, person and tag; documents of one kind."""
-    air = table(spark, d, "lineitem").filter("l_returnflag = 'A'").select(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("doc"))
-    docs = documents(spark, d).join(air, "doc", "left_semi")
+    docs = documents(spark, d, "l_returnflag").filter("l_returnflag = 'A'").drop("l_returnflag")
     s, c = F.col("l_suppkey"), F.col("o_custkey")
-    scored = K.candidates(docs, transactions(spark, d), 30, 0.1).withColumn("score", K.medical_score(0.02, s % 7 == c % 7, s % 3 == c % 3, c % 2 == 0))
-    return K.best_link(scored, 0.55)
+    odd = F.abs(c % 2)  # the tag is on even ones
+    same, person = (c % 7) * 2, (c % 3) * 2
+    tiers = [N.Tier(same + odd, (s % 7) * 2, 0.3), N.Tier(same + odd, (s % 7) * 2 + 1, 0.2), N.Tier(person + odd, (s % 3) * 2, 0.2), N.Tier(person + odd, (s % 3) * 2 + 1, 0.1), N.Tier(odd, F.lit(0), 0.1)]
+    base = [1 - delta * 0.02 for delta in range(31)]
+    best = lambda docs: N.best_two(docs, transactions(spark, d), 30, 0.1, base, tiers, ["doc"], most=None, second=False)
+    once = lambda docs: best(docs).filter("score >= 0.55").select("doc", "tx", "score", F.least(F.lit(1.0), "score").alias("weight"))
+    several = lambda docs: K.best_link(K.candidates(docs, transactions(spark, d), 30, 0.1).withColumn("score", K.medical_score(0.02, s % 7 == c % 7, s % 3 == c % 3, c % 2 == 0)), 0.55)
+    return N.by_document(docs, once, several)
 
 
 @query("""WITH r AS (SELECT p_partkey AS rx, string_split(p_name, ' ')[1] AS name, CAST(DATE '1994-01-01' + CAST(p_partkey % 1000 AS INTEGER) AS DATE) AS since, CAST(p_size % 6 + 1 AS INTEGER) AS months FROM part),
