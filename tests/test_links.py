@@ -149,3 +149,31 @@ def test_links_join_no_pairs_and_hold_repeated_documents(spark, sf, tmp_path, na
     for t in ("lineitem", "orders"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert rows(catalogue.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(duck.execute(catalogue.SQL[name]).df())
+
+
+def test_similar_files_equal_a_plain_search(spark):
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(300)]
+    row = lambda i: (i, str(rng.choice(["a", "b"])), dt.date(2024, 1, 1) + dt.timedelta(int(rng.integers(0, 25))), int(rng.integers(0, 1 << 32)) & int(rng.integers(0, 1 << 32)), rng.choice(vocabulary, rng.integers(0, 150), replace=False).tolist())
+    failed, good = [row(i) for i in range(120)] + [(120, "a", dt.date(2024, 1, 5), (1 << 32) - 1, ["w1"])], [row(1000 + i) for i in range(150)] + [(1150, "a", dt.date(2024, 1, 5), 0, ["w1", "w2"])]
+    want = {}
+    for f, k, d, h, w in failed:
+        for g, k2, d2, h2, w2 in good:
+            delta = abs((d - d2).days)
+            if k == k2 and delta <= 3:
+                bits, near, common = 1 - bin(h ^ h2).count("1") / 32, max(0.0, 1 - delta / 3), min(1.0, len(set(w) & set(w2)) / 3)
+                score = round(0.5 * bits + 0.3 * near + 0.2 * common if bits > 0 else (0.3 * near + 0.2 * common) / 0.5, 6)
+                if score >= 0.7 and (f not in want or (-score, g) < (-want[f][1], want[f][0])):
+                    want[f] = (g, score)
+    frame = lambda x: spark.createDataFrame(x, "file long, kind string, date date, phash long, words array<string>")
+    got = {r["file"]: (r["similar"], r["score"]) for r in K.similar_file(frame(failed), frame(good), 3, (0.5, 0.3, 0.2), 0.7).collect()}
+    assert got == want and len(want) > 30
+
+
+def test_bits_of_words_are_voted_once(spark, sf):
+    words = [["a", "b", "c"], [], None, ["x"] * 5 + ["y"] * 4, ["é", "b"]]
+    df = spark.createDataFrame([(w,) for w in words], "w array<string>")
+    got = [r[0] for r in df.select(K.likeness_bits(F.col("w"))).collect()]
+    hashes = [r[0] for r in df.select(F.transform("w", lambda w: F.xxhash64(w))).collect()]
+    assert got == [sum(1 << i for i in range(32) if 2 * sum(h >> i & 1 for h in hs or []) > len(hs or [])) for hs in hashes]
+    assert catalogue.QUERIES["similar_files"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 4
